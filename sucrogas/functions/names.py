@@ -369,23 +369,25 @@ def parse_title(title: str | None, places: Places) -> tuple[Name, bool]:
     companies are named where a joint-venture mark stands or where two words are left
     that are neither generic nor parts of one name joined by "e".
     """
-    words, _ = places.cut(tokens(title))
-    words = [w for w in words if w == "|" or w not in TITLE_WORDS]
-    parts = " ".join(words)
-    name = parse_tokens(tuple(w for w in parts.split() if w != "|"))
-    two = bool(title and _MARKS.search(title)) and bool(name.others)
-    if not two and name.others:
-        two = bool(re.search(r"\be\b", parts)) and len(name.others) == 1 and _two_cores(parts.split())
+    words = title_words(title, places)
+    name = parse_tokens(tuple(words))
+    two = bool(name.others) and (bool(_MARKS.search(title)) or _two_cores(words))
     return name, two
 
 
+def title_words(title: str | None, places: Places) -> list[str]:
+    """The tokens of a title without places and project words."""
+    words, _ = places.cut(tokens(title))
+    return [w for w in words if w != "|" and w not in TITLE_WORDS]
+
+
 def _two_cores(words: list[str]) -> bool:
     """Whether two core words stand with an "e" between them."""
     seen = joined = False
     for w in words:
         if w == "e" and seen:
             joined = True
-        elif w != "|" and generic(w) is None:
+        elif generic(w) is None:
             if seen and joined:
                 return True
             seen = True
