@@ -1,4 +1,6 @@
 """Registered queries of the subpackage with their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from sucrogas.llm import queries
+
+QUERIES = {**queries.QUERIES}
+SQL = {**queries.SQL}
