@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sucrogas.llm.names_link import gazetteer, name_classes, variant_pairs
+from sucrogas.llm.projects import match_projects
 from sucrogas.session import table
 
 MONTHLY = "anp_monthly_sp_plants_from_pilar2b"
@@ -26,5 +27,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(classes)
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project rows with the plant they are about."""
+    names, _ = company_names(spark, sf_dir)
+    return match_projects(table(spark, sf_dir, PROJECTS), table(spark, sf_dir, SNAPSHOTS), names, table(spark, sf_dir, "municipalities")).select("id", "cnpj")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of ``p4_found`` with their confidence."""
+    names, _ = company_names(spark, sf_dir)
+    return match_projects(table(spark, sf_dir, PROJECTS), table(spark, sf_dir, SNAPSHOTS), names, table(spark, sf_dir, "municipalities"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence}
 SQL: dict[str, str] = {}
