@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sucrogas.llm.mixing import mix, mix_report
 from sucrogas.llm.names_link import gazetteer, name_classes, variant_pairs
+from sucrogas.llm.packing import pack, packing_report
 from sucrogas.llm.projects import match_projects
-from sucrogas.session import table
+from sucrogas.llm.splitting import split_documents
+from sucrogas.llm.tokens import with_token_counts
+from sucrogas.session import ensure_checkpoint_dir, table
 
 MONTHLY = "anp_monthly_sp_plants_from_pilar2b"
 SNAPSHOTS = "anp_biomethane_plants_latest_from_pilar2b"
@@ -39,5 +43,64 @@ def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_projects(table(spark, sf_dir, PROJECTS), table(spark, sf_dir, SNAPSHOTS), names, table(spark, sf_dir, "municipalities"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence}
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their token counts; kept, because packing and mixing read them more than once."""
+    ensure_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
+    return with_token_counts(docs.select("doc_id", "source", "text"), "text").select("doc_id", "source", "tokens").checkpoint()
+
+
+def limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[str, int, int]]:
+    """The limits of one purpose: a handful of rows of a fixed table."""
+    rows = table(spark, sf_dir, "token_limits").where(F.col("purpose") == purpose).select("limit_id", "capacity_tokens", "overlap_tokens").orderBy("limit_id").limit(100).collect()
+    return [(r[0], int(r[1]), int(r[2] or 0)) for r in rows]
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's container under each pack limit."""
+    return pack(token_counts(spark, sf_dir), "doc_id", "tokens", [(n, c) for n, c, _ in limits(spark, sf_dir, "pack")])
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and fill of each pack limit."""
+    return packing_report(p7_pack(spark, sf_dir))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mix in schedule order."""
+    return mix(token_counts(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source in every mix."""
+    return mix_report(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered pieces of every document above a split limit."""
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return split_documents(docs, "doc_id", "text", limits(spark, sf_dir, "split"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, tokens and kinds of cuts per split limit."""
+    levels = ["token", "word", "clause", "sentence", "line", "paragraph"]
+    pieces = p9_split(spark, sf_dir)
+    return pieces.groupBy("limit_id").agg(
+        F.count_distinct("doc_id").alias("documents"), F.count("*").alias("pieces"), F.max("tokens").alias("most_tokens"), F.avg("tokens").alias("mean_tokens"),
+        *[F.sum((F.col("cut_level") == i).cast("long")).alias(f"cuts_at_{n}") for i, n in enumerate(levels)],
+    )
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_confidence": p4_confidence,
+    "p7_pack": p7_pack,
+    "p7_report": p7_report,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_split": p9_split,
+    "p9_report": p9_report,
+}
 SQL: dict[str, str] = {}
