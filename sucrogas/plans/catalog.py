@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sucrogas.plans import problems
+from sucrogas.plans import chain, places, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_MODULES = (chain, places, problems)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that ``entry`` runs."""
-    return problems.p1_found(spark, sf_dir)
+    return chain.mass_balance(spark, sf_dir)
