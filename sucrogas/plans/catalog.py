@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sucrogas.plans import chain, places, problems
+from sucrogas.plans import calibration, chain, places, problems
 
-_MODULES = (chain, places, problems)
+_MODULES = (chain, places, calibration, problems)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
