@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,28 +12,52 @@ from sucrogas.llm.tokens import TOKENIZER_DIR, VOCABULARY, encode, token_bytes
 
 # Levels of boundaries, the best first: page or paragraph, line, sentence, clause, word, any token.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, TOKEN = 5, 4, 3, 2, 1, 0
-_BREAK = re.compile(
-    r"(?P<p>\f|(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*)|(?P<l>\r\n|\n|\r)|(?P<s>[.!?…][\"'”’)\]]*\s+)|(?P<c>[;:,–]\s+)|(?P<w>\s+)"
-)
+# White space, and the marks that end sentences and clauses or close quotations.
+_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
+_STOPS, _PAUSES, _CLOSERS = (np.array([ord(c) for c in x], dtype=np.uint32) for x in (".!?\u2026", ";:,\u2013", "\"'\u201d\u2019)]"))
 #: A better boundary is taken if it lies in the last part of the room; each level down needs a longer piece.
 LEAST_FILL = (0.0, 0.9, 0.85, 0.7, 0.5, 0.5)
 
 
+def _table(*sets: np.ndarray) -> np.ndarray:
+    """A lookup per code point: bit i is set for the members of the i-th set."""
+    table = np.zeros(0x3001, dtype=np.uint8)
+    for i, members in enumerate(sets):
+        table[members] |= 1 << i
+    return table
+
+
+_KINDS = _table(_SPACES, _STOPS, _PAUSES, _CLOSERS)
+
+
 def boundaries(text: str) -> np.ndarray:
     """Level of the cut before each character position 0..len(text).
 
-    Line and paragraph breaks belong to the piece before them; the space between words or sentences may
-    go to either side, as byte-level tokens carry it in front.
+    Works on runs of white space: a run with a form feed or two line ends (CR LF is one) is a paragraph
+    break, with one a line break; these belong to the piece before them.  Other runs separate
+    sentences, clauses or words by the mark before them, and may go to either side, as byte-level
+    tokens carry the space in front.
     """
-    level = np.zeros(len(text) + 1, dtype=np.int8)
-    for m in _BREAK.finditer(text):
-        kind = m.lastgroup
-        found = {"p": PARAGRAPH, "l": LINE, "s": SENTENCE, "c": CLAUSE, "w": WORD}[kind]
-        level[m.end()] = found
-        if kind in "scw":
-            space = m.start() + len(m.group().rstrip())
-            level[space] = max(level[space], found)
-    level[0] = level[len(text)] = PARAGRAPH
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    level = np.zeros(len(cp) + 1, dtype=np.int8)
+    kind = _KINDS[np.minimum(cp, 0x3000)]
+    space = (kind & 1).astype(bool) & (cp <= 0x3000)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], space, [False]]).view(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    if len(start):
+        lf, cr = cp == 10, cp == 13
+        breaks = lf | cr
+        breaks[1:] &= ~(lf[1:] & cr[:-1])
+        so_far = np.concatenate([[0], np.cumsum(breaks + 2 * (cp == 12))])
+        n = so_far[end] - so_far[start]
+        last = np.maximum(start - 1, 0)
+        closed = (kind[last] & 8 > 0) & (last > 0)
+        mark = kind[np.where(closed, last - 1, last)]
+        soft = np.where(mark & 2 > 0, SENTENCE, np.where(mark & 4 > 0, CLAUSE, WORD))
+        found = np.where(n >= 2, PARAGRAPH, np.where(n == 1, LINE, soft))
+        level[end] = found
+        level[start] = np.where(n == 0, soft, level[start])
+    level[0] = level[-1] = PARAGRAPH
     return level
 
 
