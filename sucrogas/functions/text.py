@@ -119,7 +119,7 @@ def days_in_month(c: Column) -> Column:
     return F.dayofmonth(F.last_day(c))
 
 
-_TOKEN = re.compile(r"[-+]?\d{1,3}(?:\.\d{3})+(?:,\d+)?|[-+]?\d+(?:,\d+)?(?:\.\d+)?")
+_TOKEN = re.compile(r"(?<![\w.,])(?:[-+]?\d{1,3}(?:\.\d{3})+(?:,\d+)?|[-+]?\d+(?:,\d+)?(?:\.\d+)?)")
 
 
 class _NumberTokens:

@@ -98,10 +98,9 @@ def scd2_merge(current: DataFrame, updates: DataFrame, key: str, attributes: lis
     rows take part in the join.  Updates dated before the open version's start are ignored, NULL keys
     too; the hash covers NULL attributes as values.
     """
-    new = latest(updates.select(key, date, *attributes), [key], date, [date, *attributes])
-    new = new.select(key, F.col(date).alias("_from"), *[F.col(a).alias(f"_new_{a}") for a in attributes]).withColumn(
-        "_new_hash", F.xxhash64(*[F.coalesce(F.col(f"_new_{a}").cast("string"), F.lit("\0")) for a in attributes])
-    )
+    given = updates.select(key, F.col(date).alias("_version"), F.col(date).alias("_from"), *[F.col(a).alias(f"_new_{a}") for a in attributes])
+    new = latest(given, [key], "_version", ["_from", *[f"_new_{a}" for a in attributes]])
+    new = new.withColumn("_new_hash", F.xxhash64(*[F.coalesce(F.col(f"_new_{a}").cast("string"), F.lit("\0")) for a in attributes]))
     end = F.lit(OPEN_END).cast("date")
     columns = [key, *attributes, "valid_from", "valid_to", "attr_hash"]
     closed = current.where(F.col("valid_to") != end).select(*columns)
