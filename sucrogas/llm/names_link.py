@@ -72,7 +72,7 @@ def business_words(text: str) -> tuple[str, ...]:
     out = []
     for w in tokens(text):
         g = generic(w)
-        if g is None or w in CONNECTIVES and len(w) > 1 or w.isdigit() or (g and all(x in LEGAL for x in g)):
+        if g is None or w in CONNECTIVES or w.isdigit() or (g and all(x in LEGAL for x in g)):
             continue
         out.append(g[0] if len(g) == 1 and len(w) > 3 else w)
     return tuple(out)
