@@ -69,8 +69,12 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(_SA.sub(" sa ", s))
 
 
-def damerau(a: str, b: str, limit: int) -> int:
-    """Restricted Damerau-Levenshtein distance, or ``limit + 1`` when it is larger."""
+def damerau(a: str, b: str, limit: int, swap_cost: int = 1) -> int:
+    """Restricted Damerau-Levenshtein distance, or ``limit + 1`` when it is larger.
+
+    With a ``swap_cost`` of 2 another letter counts as two errors, so that up to 2 only slips remain:
+    letters left out, doubled or turned round.
+    """
     if a == b:
         return 0
     la, lb = len(a), len(b)
@@ -82,7 +86,7 @@ def damerau(a: str, b: str, limit: int) -> int:
         cur = [i] + [0] * lb
         best = i
         for j in range(1, lb + 1):
-            c = min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (a[i - 1] != b[j - 1]))
+            c = min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + swap_cost * (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 c = min(c, prev2[j - 2] + 1)
             cur[j] = c
@@ -266,7 +270,7 @@ def nicknamed(core: str) -> bool:
 
 
 def core_match(a: str, b: str) -> float:
-    """How surely two cores are one word: 1 equal, 0.9 one error, 0.8 shortened, 0.7 both, 0.6 two errors, 0 different."""
+    """How surely two cores are one word: 1 equal, 0.9 one error, 0.8 shortened, 0.7 both, 0.6 two slips, 0 different."""
     if not a or not b:
         return 0.0
     if a == b:
@@ -280,7 +284,7 @@ def core_match(a: str, b: str) -> float:
             return 0.8
     if (na or nb) and sa == sb:
         return 0.8
-    if min(len(a), len(b)) >= 8 and damerau(a, b, 2) <= 2:
+    if min(len(a), len(b)) >= 8 and damerau(a, b, 2, swap_cost=2) <= 2:
         return 0.6
     for short, full in ((a, sb), (b, sa)):
         if min(len(short), len(full)) >= 6 and damerau(short, full, 1) <= 1 and abs(len(short) - len(full)) <= 1:
