@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sucrogas.session import ensure_checkpoint_dir
+
 
 def spread_rank(df: DataFrame, group: list[str], order: Column, buckets: int, rank: str = "rank", weight: str | None = None, before: str = "before") -> DataFrame:
     """A rank from 0 (and the running sum of ``weight`` before each row) inside every group.
@@ -33,3 +35,40 @@ def spread_rank(df: DataFrame, group: list[str], order: Column, buckets: int, ra
     if weight:
         lifted = lifted.withColumn(before, F.col("_lw") + F.col("_s"))
     return lifted.drop("_o", "_b", "_r", "_s", "_lb", "_ln", "_lw", *[f"_g{i}" for i in range(len(group))])
+
+
+def running_before(df: DataFrame, group: list[str], order: list[Column], weights: list[str]) -> DataFrame:
+    """Adds ``before_<w>``: the sum of each weight over the rows of the group that come earlier in the order.
+
+    The rows are range partitioned by group and order and sorted within partitions; sums inside a partition are lifted by
+    those of the partitions before, so no group is worked on by a single task.  The sorted rows are
+    checkpointed, as range boundaries are sampled and must not change when a task runs again.  ``order``
+    should be unique within a group; equal rows are put in an arbitrary order.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [F.col(g) for g in group]
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    local = placed.withColumn("_p", F.shiftright("_id", 33))
+    # One row per group and partition that holds some of it.
+    sizes = local.groupBy(*group, "_p").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    lifts = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_p").alias("_lp"), *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_l_{w}") for w in weights])
+    match = F.col("_p") == F.col("_lp")
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy("_p", *group).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = local.withColumns({f"_s_{w}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights})
+    out = sums.join(lifts, match).withColumns({f"before_{w}": F.col(f"_l_{w}") + F.col(f"_s_{w}") for w in weights})
+    return out.drop("_id", "_p", "_lp", *[f"_g{i}" for i in range(len(group))], *[f"_{x}_{w}" for w in weights for x in "ls"])
+
+
+def value_ranks(df: DataFrame, group: list[str], value: str, descending: bool = True) -> DataFrame:
+    """Per group and distinct value: ``n`` rows, ``rank`` (competition rank, 1 first) and ``upto`` (rows at or before it).
+
+    Rows are counted per value before anything is ordered, so a value that a third of the rows share
+    is one row.  NULL values are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    order = F.col(value).desc() if descending else F.col(value)
+    ranked = running_before(counts, group, [order], ["n"])
+    return ranked.select(*group, value, "n", (F.col("before_n") + 1).alias("rank"), (F.col("before_n") + F.col("n")).alias("upto"))

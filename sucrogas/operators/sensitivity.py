@@ -16,14 +16,12 @@ def factor_space(params: DataFrame) -> DataFrame:
     return params.select("id", "central", "low", "high", reason.alias("excluded_because"), reason.isNull().alias("is_factor"))
 
 
-def override(params: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Parameters per scenario: an overridden one takes its value as central, low and high.
+def override(params: DataFrame, overrides: DataFrame, scenarios: list[int]) -> DataFrame:
+    """Parameters of each listed scenario: an overridden one takes its value as central, low and high.
 
-    ``overrides``: ``scenario_id``, ``id``, ``value``.  Every scenario that appears gets all parameters.
+    ``overrides``: ``scenario_id``, ``id``, ``value``; the scenario ids are a parameter of the run (hundreds), exploded as a literal.
     """
-    scenarios = overrides.select("scenario_id").distinct()
-    ids = params.agg(F.collect_list(F.struct("id", "central", "low", "high")).alias("_p"))  # a registry of about a hundred rows
-    grid = scenarios.join(F.broadcast(ids)).select("scenario_id", F.explode("_p").alias("_p")).select("scenario_id", "_p.*")
+    grid = params.select("id", "central", "low", "high", F.explode(F.array(*[F.lit(s) for s in scenarios])).alias("scenario_id"))
     j = grid.join(overrides, ["scenario_id", "id"], "left")
     return j.select("scenario_id", "id", *[F.coalesce("value", x).alias(x) for x in ("central", "low", "high")])
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sucrogas.operators.ranks import running_before, value_ranks
 from sucrogas.operators.spatial import haversine_km
 from sucrogas.session import ensure_checkpoint_dir
 
@@ -34,13 +35,12 @@ def normalize(df: DataFrame, criteria: dict[str, str], method: str = "linear", e
             out = out.withColumn(f"n_{c}", x)
         return out
     for c, way in criteria.items():
-        # Distinct values are few compared with rows; ranks are made on them and joined back.
-        values = df.groupBy(F.col(c).alias("_v")).agg(F.sum(kept.cast("long")).alias("_k")).where(F.col("_v").isNotNull())
-        order = Window.orderBy("_v")
-        below = F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        ranked = values.select("_v", F.coalesce(below, F.lit(0)).alias("_below"), F.sum("_k").over(order).alias("_upto"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
-        share = F.try_divide((F.col("_below") + F.col("_upto")).cast("double"), 2 * F.col("_n"))
-        table = ranked.select("_v", (1 - share if way == "lower" else share).alias(f"n_{c}"))
+        every = df.where(kept & F.col(c).isNotNull()).count()
+        # Excluded values between the kept ones are placed by the same order.
+        values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.sum(kept.cast("long")).alias("k"))
+        placed = running_before(values, [], [F.col("_v")], ["k"])
+        share = F.try_divide((2 * F.col("before_k") + F.col("k")).cast("double"), F.lit(2.0 * (every or 0)))
+        table = placed.select("_v", (1 - share if way == "lower" else share).alias(f"n_{c}"))
         out = out.join(table, F.col(c) == F.col("_v"), "left").drop("_v")
     return out
 
@@ -57,11 +57,11 @@ def score(df: DataFrame, weights: dict[str, float], excluded: str | None = None,
     return df.withColumn(name, F.when(~F.coalesce(F.col(excluded), F.lit(False)), s) if excluded else s)
 
 
-def rank_scores(df: DataFrame, key: str, value: str, by: list[str] | None = None) -> DataFrame:
+def rank_scores(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Competition rank in descending order; NULL values stay unranked.  Ties share the smallest rank."""
-    order = Window.partitionBy(*(by or [])).orderBy(F.col(value).desc())
-    ranked = df.where(F.col(value).isNotNull()).select(*(by or []), key, F.rank().over(order).alias("rank"))
-    return df.join(ranked, [*(by or []), key], "left")
+    by = by or []
+    ranked = value_ranks(df, by, value).select(*by, value, "rank")
+    return df.join(ranked, [*by, value], "left")
 
 
 def weight_draws(names: list[str], n: int, concentration: float, seed: int) -> list[tuple]:
@@ -80,7 +80,7 @@ def weight_sensitivity(df: DataFrame, key: str, names: list[str], draws: list[tu
     for i, c in enumerate(names):
         s = s + F.col(f"n_{c}") * F.col(f"_d.w{i}")
     long = df.select(key, *[f"n_{c}" for c in names], F.explode(lit).alias("_d")).select(key, F.col("_d.draw").alias("draw"), F.round(s, 12).alias("s")).where(F.col("s").isNotNull())
-    ranked = long.withColumn("r", F.rank().over(Window.partitionBy("draw").orderBy(F.col("s").desc())))
+    ranked = long.join(value_ranks(long, ["draw"], "s").select("draw", "s", F.col("rank").alias("r")), ["draw", "s"])
     p = F.percentile("r", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return ranked.groupBy(key).agg(p.alias("_p"), F.avg((F.col("r") <= top_k).cast("double")).alias("p_top_k")).select(
         key, F.col("_p")[1].alias("rank_median"), F.col("_p")[0].alias("rank_p05"), F.col("_p")[2].alias("rank_p95"), "p_top_k"

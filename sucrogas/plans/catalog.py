@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sucrogas.plans import calibration, chain, places, problems, registry
+from sucrogas.plans import calibration, chain, loading, places, problems, registry
 
-_MODULES = (chain, places, calibration, registry, problems)
+_MODULES = (chain, places, calibration, registry, loading, problems)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 

@@ -94,7 +94,7 @@ def feasibility_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s1_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = supply.storage(residues(spark, sf_dir), KEYS, 0.4, [8, 9, 10, 11], {12: 1.0, 1: 1.0, 2: 1.0, 3: 1.0}, 0.03)
-    return s.select(*KEYS, F.date_format("month", "yyyy-MM").alias("month"), *[F.round(c, 7).alias(c) for c in ("fed_t", "stored_t", "released_t", "lost_t", "stock_t")])
+    return s.select(*KEYS, F.date_format("month", "yyyy-MM").alias("month"), *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("fed_t", "stored_t", "released_t", "lost_t", "stock_t")])
 
 
 def storage_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ SQL = {
         feed_cod_so4 >= 10 AS cod_so4_ok, feed_k <= 3 AS k_ok, NULL::BOOLEAN AS tan_ok FROM bal)
         SELECT mill_id, crop_year, {_M}, olr_ok, hrt_ok, ts_ok, cod_so4_ok, k_ok, tan_ok,
         coalesce(olr_ok, true) AND hrt_ok AND coalesce(ts_ok, true) AND coalesce(cod_so4_ok, true) AND coalesce(k_ok, true) AS feasible FROM f""",
-    "s1_storage": f"WITH {_STORE} SELECT mill_id, crop_year, {_M}, {_R(['fed_t', 'stored_t', 'released_t', 'lost_t', 'stock_t'], 7)} FROM st",
+    "s1_storage": f"WITH {_STORE} SELECT mill_id, crop_year, {_M}, {', '.join(f'round({c} + 1e-10, 6) AS {c}' for c in ('fed_t', 'stored_t', 'released_t', 'lost_t', 'stock_t'))} FROM st",
     "storage_balance": f"""WITH {_STORE} SELECT mill_id, crop_year, round(sum(stored_t), 5) AS stored_t, round(sum(released_t), 5) AS released_t, round(sum(lost_t), 5) AS lost_t,
         round(arg_max(stock_t, month), 5) AS end_stock_t FROM st GROUP BY 1, 2""",
     "annuity_by_mill": f"""WITH {_BAL}, a AS (SELECT mill_id, crop_year, sum(biomethane_nm3) AS annual, max(biomethane_nm3 / days) AS peak FROM bal GROUP BY 1, 2),

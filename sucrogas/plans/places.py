@@ -105,7 +105,7 @@ _LIN = f"""{_PA}, b AS (SELECT min(p_retailprice) AS l1, max(p_retailprice) AS h
 def suitability_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = siting.score(siting.normalize(_parts(spark, sf_dir), _CRIT, "linear", "excluded"), {"p_retailprice": 2.0, "p_size": 1.0}, "excluded")
     n = n.withColumn("score", F.round("score", 10))
-    return siting.rank_scores(n, "p_partkey", "score").select("p_partkey", F.round("n_p_retailprice", 9).alias("n_price"), F.round("n_p_size", 9).alias("n_size"), "score", "rank")
+    return siting.rank_scores(n, "score").select("p_partkey", F.round("n_p_retailprice", 9).alias("n_price"), F.round("n_p_size", 9).alias("n_size"), "score", "rank")
 
 
 def suitability_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
