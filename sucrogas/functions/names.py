@@ -159,7 +159,8 @@ def generic(token: str) -> tuple[str, ...] | None:
     scored = [x for x in scored if x[0] <= _most(x[1])]
     if scored:
         return (scored[0][1],)
-    begun = {w for key in deletes(t, 1) for w, start in _BEGUN.get(key, ()) if damerau(t, start, 1) <= 1}
+    # Shorter ones are left to the choice between several words, so that no short core is mistaken for a beginning.
+    begun = {w for key in deletes(t, 1) for w, start in _BEGUN.get(key, ()) if damerau(t, start, 1) <= 1} if len(t) >= 7 else set()
     if begun:
         return (begun.pop(),) if len(begun) == 1 else ()
     return _segment(t)
@@ -173,6 +174,8 @@ def _segment(t: str) -> tuple[str, ...] | None:
         if ways[i] is None:
             continue
         for w in words:
+            if w == "sa" and i + 2 < len(t):
+                continue
             if t.startswith(w, i) and ways[i + len(w)] is None:
                 ways[i + len(w)] = (*ways[i], w)
         rest = t[i:]
@@ -241,15 +244,14 @@ def parse_tokens(words: tuple[str, ...]) -> Name:
             sector.update(_SINGULAR.get(x, x) for x in g if x in SECTOR)
     if not cores:
         return Name("", frozenset(sector), ())
-    best = max(range(len(cores)), key=lambda i: (_strangeness(cores[i]), -i)) if len(cores) > 1 else 0
+    best = max(range(len(cores)), key=lambda i: (*_strangeness(cores[i]), -i)) if len(cores) > 1 else 0
     return Name(cores[best], frozenset(sector), tuple(c for i, c in enumerate(cores) if i != best))
 
 
 @lru_cache(maxsize=100_000)
-def _strangeness(core: str) -> float:
-    """Distance to the nearest generic word as a share of the length, in steps of a fifth."""
-    d = min(damerau(core, w, 5) for w in GENERIC if len(w) >= MIN_CORE)
-    return int(5 * d / max(1, len(core)))
+def _strangeness(core: str) -> tuple[int, int]:
+    """Distance to the nearest generic word (up to 6), then the length."""
+    return min(damerau(core, w, 5) for w in GENERIC if len(w) >= MIN_CORE), len(core)
 
 
 _LAST_SYLLABLE = re.compile(r"[^aeiou]{0,2}[aeiou]$")
@@ -375,7 +377,9 @@ def parse_title(title: str | None, places: Places) -> tuple[Name, bool]:
     """
     words = title_words(title, places)
     name = parse_tokens(tuple(words))
-    two = bool(name.others) and (bool(_MARKS.search(title)) or _two_cores(words))
+    # A misspelt business word is near some generic word, the name of a company is not.
+    second = any(_strangeness(o)[0] >= 4 for o in name.others)
+    two = second and (bool(_MARKS.search(title)) or _two_cores(words))
     return name, two
 
 
