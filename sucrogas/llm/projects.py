@@ -80,7 +80,10 @@ def match_projects(projects: DataFrame, snapshots: DataFrame, names: DataFrame,
     caps = caps.groupBy(F.col("record_id").cast("long").alias("id")).agg(F.max("value").alias("cap"))
     left = project_records(projects, places, index).join(root, "core", "left").join(caps, "id", "left")
     left = left.select("id", "core", F.coalesce("root", "core").alias("root"), "place", "uf", "cap").distinct()
-    left = left.withColumn("lid", F.concat_ws("\x01", F.col("id").cast("string"), "core", "place")).checkpoint()
+    # Rows that say the same about company, place, state and capacity are compared once.
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    said = left.withColumn("lid", F.concat_ws("\x01", "core", blank("place"), blank("uf"), blank("cap"))).checkpoint()
+    left = said.select("lid", "core", "root", "place", "uf", "cap").distinct()
     right = plant_records(snapshots).join(root, "core", "left").select("cnpj", "core", F.coalesce("root", "core").alias("root"), "place", "uf", "caps")
     right = right.withColumn("rid", F.concat_ws("\x01", "cnpj", "core", "place", "uf")).checkpoint()
     level = lambda c: F.lpad(F.floor(F.log(c) * 20).cast("string"), 4, "0")
@@ -91,11 +94,12 @@ def match_projects(projects: DataFrame, snapshots: DataFrame, names: DataFrame,
         ("company, state, capacity", text("root", F.coalesce("uf", F.lit("")), F.coalesce(level(F.col("cap")), F.lit(""))), text("root", F.coalesce("uf", F.lit("")), level(F.array_max("caps")))),
     ]
     pairs = sorted_neighbourhood(left, right, "lid", "rid", passes)
-    a = left.select("lid", "id", F.col("core").alias("core_a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"), F.col("uf").alias("uf_a"), F.col("cap").alias("cap_a"))
+    a = left.select("lid", F.col("core").alias("core_a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"), F.col("uf").alias("uf_a"), F.col("cap").alias("cap_a"))
     b = right.select("rid", "cnpj", F.col("core").alias("core_b"), F.col("root").alias("root_b"), F.col("place").alias("place_b"), F.col("uf").alias("uf_b"), F.col("caps").alias("caps_b"))
     scored = score_pairs(pairs.join(a, "lid").join(b, "rid"))
     placed = F.coalesce(F.col("s_place") == 1, F.lit(False))
     unplaced = F.col("place_a").isNull() & (F.coalesce(F.col("s_capacity"), F.lit(0.0)) > 0.99) & F.coalesce(F.col("s_state") == 1, F.lit(False))
     state = F.coalesce(F.col("s_state") == 1, F.lit(True))
     good = scored.where((F.col("s_name") >= MIN_NAME) & state & (placed | unplaced) & (F.col("confidence") >= MIN_CONFIDENCE))
-    return best_match(good, "id", "cnpj")
+    per_statement = best_match(good, "lid", "cnpj")
+    return best_match(said.select("id", "lid").join(per_statement, "lid"), "id", "cnpj")
