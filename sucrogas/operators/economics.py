@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: normal cubic metres of methane per MMBtu at the lower heating value used for conversion.
@@ -25,3 +25,9 @@ def power_law(capacity: Column, specific: Column, reference: Column, exponent: C
 def annuity_cost(investment: Column, output: Column, rate: Column, years: Column, fixed: Column, variable: Column) -> Column:
     """Cost per unit of output: annuity and fixed cost over the output, plus variable cost; NULL where there is no output."""
     return F.when(output > 0, (investment * crf(rate, years) + fixed) / output + variable)
+
+
+def power_fit(df: DataFrame, keys: list[str], size: str, amount: str) -> DataFrame:
+    """Scaling exponent and intercept of ln(amount) on ln(size) per key, with r2 and n; only positive pairs count, NULL where undetermined."""
+    use = df.where((F.col(size) > 0) & (F.col(amount) > 0)).select(*keys, F.log(size).alias("x"), F.log(amount).alias("y"))
+    return use.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("exponent"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sucrogas.operators.ranks import spread_rank
+
 #: Mean and authalic Earth radius.
 EARTH_KM = 6371.0088
 AUTHALIC_M = 6371007.181
@@ -103,3 +107,44 @@ def class_area(pixels: DataFrame, codes: list[int], cell_deg: float) -> DataFram
     kept = pixels.where(F.col("code").isin(codes))
     cell = F.concat_ws("_", F.floor(F.col("lat") / cell_deg).cast("string"), F.floor(F.col("lon") / cell_deg).cast("string"))
     return kept.groupBy(cell.alias("cell"), "code").agg(F.sum(area).alias("area_ha"), F.count("*").alias("pixels"))
+
+
+def od_matrix(origins: DataFrame, destinations: DataFrame, o_id: str, d_id: str, fetch: Callable[[list[tuple], list[tuple]], list[list[float | None]]], table_size: int) -> DataFrame:
+    """Distances from every origin to every destination by a table service, in requests of at most ``table_size`` points.
+
+    Both sides are numbered and cut into blocks; a request is one (origin block, destination block) and requests
+    run in parallel.  ``fetch`` takes (lat, lon) lists and gives rows of kilometres, None where there is no way.
+    A full matrix is what is asked for, so every block meets every other; both tables are candidate lists.
+    """
+    half = max(1, table_size // 2)
+
+    def blocks(df: DataFrame, key: str, tag: str) -> DataFrame:
+        ranked = spread_rank(df.select(F.col(key).alias("k"), "lat", "lon"), [], F.xxhash64("k"), 16)
+        placed = ranked.select("k", "lat", "lon", F.floor(F.col("rank") / half).alias("b"))
+        return placed.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("k", "lat", "lon"))).alias(tag)).select(F.col("b").alias(f"{tag}b"), tag)
+
+    o, d = blocks(origins, o_id, "o"), blocks(destinations, d_id, "d")
+    d_blocks = [r["db"] for r in d.select("db").collect()]
+    pairs = o.withColumn("db", F.explode(F.array(*[F.lit(x) for x in d_blocks]))).join(d, "db")
+    kinds = dict(origins.dtypes)[o_id], dict(destinations.dtypes)[d_id]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for a, z in zip(b["o"], b["d"], strict=True):
+                km = fetch([(x["lat"], x["lon"]) for x in a], [(x["lat"], x["lon"]) for x in z])
+                yield pd.DataFrame([(x["k"], y["k"], km[i][j]) for i, x in enumerate(a) for j, y in enumerate(z)], columns=[o_id, d_id, "km"])
+
+    return pairs.repartition(max(1, len(d_blocks)), "ob", "db").select("o", "d").mapInPandas(run, f"{o_id} {kinds[0]}, {d_id} {kinds[1]}, km double")
+
+
+def polyconic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lon0: float) -> Column:
+    """Plane distance in the spherical polyconic projection about a central meridian."""
+
+    def xy(lat: Column, lon: Column) -> tuple[Column, Column]:
+        p, dl = F.radians(lat), F.radians(lon - lon0)
+        e = dl * F.sin(p)
+        cot = F.cos(p) / F.nullif(F.sin(p), F.lit(0.0))
+        return F.coalesce(cot * F.sin(e), dl), F.coalesce(p + cot * (1 - F.cos(e)), p)
+
+    (x1, y1), (x2, y2) = xy(lat1, lon1), xy(lat2, lon2)
+    return F.lit(EARTH_KM) * F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))
