@@ -87,7 +87,7 @@ def successors(level: np.ndarray, legal: np.ndarray, capacity: int, overlap: int
         last = np.maximum.accumulate(np.where(ok, ends, -1))[reach]
         enough = (last > ends) & (last - begin >= LEAST_FILL[want] * capacity)
         out = np.where(enough, last, out)
-    out = np.where(out <= ends, np.minimum(np.maximum(ends + 1, 0), reach), out)  # only where no boundary is legal
+    out = np.where(out <= ends, reach, out)  # only where no boundary is legal
     out = np.where(reach == n, n, out)
     out[n] = n
     return out
@@ -146,7 +146,8 @@ def split_documents(
     document is tokenised), consecutive pieces share exactly ``overlap`` tokens, and cuts lie at the best natural
     boundary near the end of the room: paragraph or page, line, sentence, clause, word; in texts
     without any, between two tokens and never inside a character.  Where byte tokens make an exact
-    overlap impossible at every boundary, the farthest token boundary is taken.  NULL, empty and short texts give no row.
+    overlap impossible at every boundary, the farthest token boundary is taken; a character that such a cut
+    falls into belongs to the later piece.  NULL, empty and short texts give no row.
     Texts are independent: no shuffle; only offsets cross from Python, the pieces are cut in the JVM.
 
     Returns the document id, ``limit_id``, ``piece`` (from 0), token and character offsets, ``tokens``, ``cut_level``, ``piece_text``.

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -34,7 +34,8 @@ def pieces_cover(text, limits):
         assert whole == text
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
+@example(";a🙂🙂;")
 @given(st.text(alphabet="abc dé.\n\r\f,;€🙂", max_size=300))
 def test_split_round_trip(text):
     pieces_cover(text, LIMITS)
