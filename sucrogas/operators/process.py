@@ -16,7 +16,7 @@ def monthly_loads(feed: DataFrame, substrates: DataFrame, keys: list[str]) -> Da
     property are NULL unless every substrate fed in the month states it.  A feed row of an unknown
     substrate makes the month's sums NULL (nothing is filled in).
     """
-    j = feed.join(F.broadcast(substrates), "substrate", "left")  # a handful of substrates
+    j = feed.join(substrates, "substrate", "left")
     v = F.col("fresh_t") / F.col("density")
     fed = F.col("fresh_t") > 0
     known = lambda c: F.bool_and(F.when(fed, F.col(c).isNotNull()).otherwise(F.lit(True)))
@@ -49,7 +49,7 @@ def mass_balance(feed: DataFrame, loads: DataFrame, volumes: DataFrame, substrat
     design = loads.join(volumes, keys)
     hrt = F.try_divide(F.col("digester_m3"), F.col("flow_m3_d"))
     base = design.select(*keys, "month", "days", "fresh_t", "flow_m3_d", "vs_load_kg_d", "feed_ts", "feed_cod_so4", "feed_k", F.try_divide(F.col("vs_load_kg_d"), F.col("digester_m3")).alias("olr"), hrt.alias("hrt_d"), F.col(nameplate).alias("_cap"))
-    j = feed.withColumnRenamed("fresh_t", "_m").join(base.select(*keys, "month", "hrt_d"), [*keys, "month"]).join(F.broadcast(substrates), "substrate")
+    j = feed.withColumnRenamed("fresh_t", "_m").join(base.select(*keys, "month", "hrt_d"), [*keys, "month"]).join(substrates, "substrate")
     eta = F.when(F.col("rate_k").isNull() | F.col("hrt_d").isNull(), F.lit(1.0)).otherwise(1 - F.exp(-F.col("rate_k") * F.col("hrt_d")))
     ch4 = F.when(F.col("_m") <= 0, 0.0).when(F.col("basis") == "cod", F.col("_m") / F.col("density") * F.col("cod") * F.col("removal") * F.col("ch4_yield")).otherwise(F.col("_m") * F.col("ts") * F.col("vs") * F.col("bmp") * bmp_fullscale * eta)
     gas = j.groupBy(*keys, "month").agg(F.sum(ch4).alias("ch4_nm3"))

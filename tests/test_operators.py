@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sucrogas.operators import calibrate, economics, process, quality, sensitivity, siting, spatial, supply
-from sucrogas.operators.ranks import spread_rank
+from sucrogas.operators.ranks import spread_rank, value_ranks
 from sucrogas.plans import chain
 
 
@@ -134,3 +134,13 @@ def test_spread_rank_is_a_rank(spark):
     for _, part in out.groupby("g", dropna=False):
         part = part.sort_values("rank")
         assert list(part["rank"]) == list(range(len(part))) and list(part["before"]) == [0, *part["w"].cumsum()[:-1]]
+
+
+def test_value_ranks_brute(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(rng.integers(0, 40, 300))] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for r in value_ranks(df, ["g"], "v").collect():
+        same = [v for g, v in rows if g == r.g and v is not None]
+        assert r.rank == 1 + sum(v > r.v for v in same) and r.upto == sum(v >= r.v for v in same) and r.n == same.count(r.v)
+    assert value_ranks(df.limit(0), ["g"], "v").collect() == []
