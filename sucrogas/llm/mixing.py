@@ -10,6 +10,8 @@ from sucrogas.operators.ranks import spread_rank
 #: Tokens of a block, and parts a source is ordered in.
 BLOCK_TOKENS = 512
 BUCKETS = 64
+#: Most rows of the plan that are broadcast.
+MAX_BROADCAST = 20_000
 GOLDEN = 0.6180339887498949
 
 
@@ -63,7 +65,9 @@ def source_blocks(docs: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TO
     """
     need = F.ceil(F.col("slots") * F.col("target_share") * block_tokens / F.greatest(F.col("tokens"), F.lit(1))).cast("int")
     uses = plan.where("slots > 0 AND tokens > 0").select("mix_id", "source", F.explode(F.sequence(F.lit(1), F.least(F.greatest(need, F.lit(1)), F.col("max_repeats")))).alias("repeat"), F.col("tokens").alias("source_tokens"))
-    rows = docs.where("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(uses), "source")  # a few rows per mix
+    # One row per mix, source and repeat: counted before it is sent to every task, joined by shuffle beyond the bound.
+    few = uses.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    rows = docs.where("tokens > 0").select("doc_id", "source", "tokens").join(F.broadcast(uses) if few else uses, "source")
     ordered = spread_rank(rows, ["mix_id", "source", "repeat"], F.xxhash64("doc_id", "repeat", "mix_id", F.lit(seed)), BUCKETS, rank="_rank", weight="tokens", before="_before")
     start = (F.col("repeat") - 1) * F.col("source_tokens") + F.col("_before")
     return ordered.select("mix_id", "source", "repeat", "doc_id", "tokens", F.floor(start / block_tokens).alias("block"))
