@@ -3,9 +3,11 @@
 The lengths are grouped into classes; a *configuration* says how many items of each class share a
 container.  The covering LP over configurations is solved by multiplicative weights: the
 weights price the classes, a knapsack dynamic program finds the configuration of highest price,
-its classes become cheaper.  The fractional solution is rounded down, and what is left is packed
-by the same dynamic program with whole counts.  Only the length histogram (at most ``capacity``
-numbers) reaches the driver; items get their containers in parallel by their rank in a class.
+a small share of the demand is covered by it and its classes become cheaper.  The same prices bound
+the LP from below, and the search ends when the cover is within ``GAP`` of that bound.  The fractional
+solution is rounded, and what is left is packed by the same dynamic program with whole counts.  Only
+the length histogram (at most ``capacity`` numbers) reaches the driver; items get their containers in
+parallel by their rank in a class.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from sucrogas.operators.ranks import spread_rank
 #: Cells of the knapsack table and most classes; both bound the driver's work whatever the data.
 CELLS = 2048
 CLASSES = 384
-#: Most of a class's demand that one round covers, how fast covered classes become cheap, and most rounds.
-STEP = 1.0
-LEARN = 0.3
-ROUNDS = 3000
+#: Most of a class's demand that one round covers in the first passes (then halved), and how much cheaper (as a power of e) such a round makes it.
+STEPS = (1.0, 0.1)
+LEARN = 0.1
+#: A cover this near to the lower bound of the LP, or within the same whole container, ends the search; no pass begins that would exceed so many rounds.
+GAP = 0.005
+ROUNDS = 8000
 #: A class's first price is its length to this power: above 1, long items, which are hard to place, come first.
 SLOPE = 1.05
 #: Parts a class is ranked in.
@@ -33,12 +37,13 @@ BUCKETS = 32
 
 
 class Plan(NamedTuple):
-    """Containers per configuration: class of each size, and per class the slots with their containers."""
+    """Containers per configuration: class of each size, per class the slots with their containers, and the LP's lower bound for these classes."""
 
     class_of: np.ndarray
     slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     containers: int
     rounds: int
+    bound: float
 
 
 def group_sizes(sizes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -82,53 +87,75 @@ def knapsack(cells: np.ndarray, prices: np.ndarray, supply: np.ndarray, capacity
     return out
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
-    """Configurations with whole multiplicities that hold all items of the histogram (sizes 1..capacity)."""
-    tops = group_sizes(sizes, counts, CLASSES)
-    cls = np.searchsorted(tops, sizes)
-    demand = np.bincount(cls, weights=counts, minlength=len(tops)).astype(np.int64)
-    grid = max(1, -(-capacity // CELLS))
-    room = capacity // grid
-    cells = np.minimum(-(-tops // grid), room)
-    todo = demand.copy()
-    chosen: list[tuple[np.ndarray, int]] = []
+def cover(cells: np.ndarray, demand: np.ndarray, room: int, prices: np.ndarray) -> tuple[list[list[tuple[np.ndarray, float]]], float, np.ndarray, int]:
+    """Fractional covers of the demand by configurations: those of the first pass and of the best one.
 
-    # Fractional covering by multiplicative weights.
-    weights = np.ones(len(tops))
-    covered = np.zeros(len(tops))
-    patterns: dict[bytes, list] = {}
-    rounds = 0
-    mean = (np.bincount(cls, weights=counts * sizes, minlength=len(tops)) / np.maximum(demand, 1) / capacity) ** SLOPE
-    for rounds in range(1, ROUNDS + 1):
-        open_ = covered < 1 - 1e-9
-        if not open_.any():
-            break
-        # A class is priced by its length, and dearer the less of it is covered.
-        prices = np.where(open_, mean * weights, 0.0)
-        a = knapsack(cells, prices, np.where(open_, demand, 0), room)
-        used = a > 0
-        if not used.any():
+    A pass covers every class exactly.  Prices are dual values: divided by the dearest configuration, what they
+    give for the demand is a lower bound of the LP.  Each pass takes smaller steps and starts at the prices of the
+    best bound so far.  Returns also that bound, its prices and the number of rounds.
+    """
+    length = cells / room
+    bound, best = float(length @ demand) / float(length @ knapsack(cells, length, demand, room)), prices
+    covers: list[tuple[float, list[tuple[np.ndarray, float]]]] = []
+    rounds, step = 0, STEPS[0]
+    while True:
+        before, start, covered = rounds, best, np.zeros(len(cells))
+        patterns: dict[bytes, list] = {}
+        while (open_ := covered < 1 - 1e-9).any():
+            rounds += 1
+            p = start * np.exp(-LEARN / step * covered)
+            p /= p[open_].max()
+            a = knapsack(cells, np.where(open_, p, 0.0), np.where(open_, demand, 0), room)
+            if open_.all() and (low := float(p @ demand) / float(p @ a)) > bound:
+                bound, best = low, p
+            used = a > 0
+            x = float(np.min(demand[used] * np.minimum(1 - covered[used], step) / a[used]))
+            covered += a * x / demand
+            patterns.setdefault(a.tobytes(), [a, 0.0])[1] += x
+        covers.append((sum(x for _, x in patterns.values()), [(a, x) for a, x in patterns.values()]))
+        finer = STEPS[len(covers)] if len(covers) < len(STEPS) else step / 2
+        if min(covers, key=lambda c: c[0])[0] <= max(bound * (1 + GAP), np.ceil(bound - 1e-6)) or rounds + (rounds - before) * step / finer > ROUNDS:
             break
-        need = demand * (1 - covered)
-        x = float(np.min(np.minimum(need, np.maximum(STEP * demand, 1.0))[used] / a[used]))
-        covered += a * x / demand
-        weights = np.exp(-LEARN * covered)
-        entry = patterns.setdefault(a.tobytes(), [a, 0.0])
-        entry[1] += x
-    for a, x in patterns.values():
-        n = int(x)
+        step = finer
+    found = [covers[0], min(covers, key=lambda c: c[0])]
+    return [c for _, c in found[: 1 + (found[0] is not found[1])]], bound, best, rounds
+
+
+def whole(patterns: list[tuple[np.ndarray, float]], cells: np.ndarray, demand: np.ndarray, room: int, prices: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """A fractional cover in whole containers, rounded so that the running total keeps up; the rest by the same program with whole counts."""
+    todo = demand.copy()
+    chosen: list[tuple[np.ndarray, int]] = []
+    due = 0.0
+    for a, x in sorted(patterns, key=lambda e: -e[1]):
         used = a > 0
-        n = min(n, int(np.min(todo[used] // a[used])))
+        due += x
+        n = min(int(due + 1e-9), int(np.min(todo[used] // a[used])))
+        due -= int(due + 1e-9)
         if n > 0:
             chosen.append((a, n))
             todo -= a * n
-    # What rounding left, by the same program with whole counts; length is the price.
     while todo.any():
-        a = knapsack(cells, (tops / capacity) ** SLOPE, todo, room)
+        a = knapsack(cells, prices / prices[todo > 0].max(), todo, room)
         used = a > 0
         n = int(np.min(todo[used] // a[used]))
         chosen.append((a, n))
         todo -= a * n
+    return chosen
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
+    """Configurations with whole multiplicities that hold all items of the histogram (sizes 1..capacity)."""
+    tops = group_sizes(sizes, counts, CLASSES)
+    cls = np.searchsorted(tops, sizes)
+    demand = np.bincount(cls, weights=counts, minlength=len(tops)).astype(np.int64)
+    grid = max(1, -(-capacity // CELLS))
+    room = capacity // grid
+    cells = np.minimum(-(-tops // grid), room)
+    mean = (np.bincount(cls, weights=counts * sizes, minlength=len(tops)) / np.maximum(demand, 1) / capacity) ** SLOPE
+    covers, bound, dual, rounds = cover(cells, demand, room, mean)
+    # Rounded with either price for the rest; every plan is a whole one, the one with fewest containers is taken.
+    plans = [whole(c, cells, demand, room, p) for c in covers for p in ((tops / capacity) ** SLOPE, dual)]
+    chosen = min(plans, key=lambda c: sum(n for _, n in c))
 
     slots: dict[int, list[tuple[int, int, int]]] = {}
     at = np.zeros(len(tops), dtype=np.int64)
@@ -141,7 +168,7 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
     table = {k: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for k, v in slots.items()}
     class_of = np.full(capacity + 1, -1, dtype=np.int32)
     class_of[sizes] = cls
-    return Plan(class_of, table, first, rounds)
+    return Plan(class_of, table, first, rounds, bound)
 
 
 def pack(items: DataFrame, item: str, size: str, limits: list[tuple[str, int]], buckets: int = BUCKETS) -> DataFrame:

@@ -96,6 +96,13 @@ def test_plan_holds_every_item(h):
     assert p.containers <= 2 * -(-int((sizes * counts).sum()) // 64) + 1
 
 
+def test_plan_iterates_to_the_bound():
+    # 4 x 128 is dearest at first, but a 261 without a 128 wastes half a container: the optimum is 1.25 containers per 261.
+    for n in (100, 1000):
+        p = packing.solve(np.array([128, 261]), np.array([2 * n, n]), 512)
+        assert p.containers == 5 * n // 4 and p.containers <= p.bound * (1 + packing.GAP)
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(20):
