@@ -144,12 +144,12 @@ def upper_bound(edges: DataFrame, supply: DataFrame, q_min: float) -> DataFrame:
     return best.agg(F.coalesce(F.sum(F.col("w") * F.col("s")), F.lit(0.0)).alias("covered")), viable
 
 
-def greedy_coverage(edges: DataFrame, supply: DataFrame, q_min: float, max_hubs: int, target_share: float | None = None, fixed: list | None = None, cut_every: int = 5) -> DataFrame:
+def greedy_coverage(edges: DataFrame, supply: DataFrame, q_min: float, max_hubs: int | None = None, target_share: float | None = None, fixed: list | None = None, cut_every: int = 5) -> DataFrame:
     """Hubs opened one by one, each the one that adds most supply (ties: lowest hub), while it adds at least ``q_min``.
 
     Every step is one aggregation over the edges joined with the best weight each source has so far; the
     driver sees one row per step.  The state is checkpointed every few steps.  ``fixed`` hubs are opened first.
-    Stops at ``max_hubs`` new hubs, at ``target_share`` of all supply or when nothing adds enough.
+    Stops at ``max_hubs`` new hubs (None: no limit), at ``target_share`` of all supply or when nothing adds enough.
     Returns ``step``, ``hub``, ``fixed``, ``gain``, ``covered``.
     """
     spark = edges.sparkSession
@@ -168,7 +168,7 @@ def greedy_coverage(edges: DataFrame, supply: DataFrame, q_min: float, max_hubs:
             row = gains.where(F.col("j") == hub).collect()
             gain, is_fixed = (row[0]["g"] if row else 0.0), True
         else:
-            if sum(not s[2] for s in steps) >= max_hubs or (target_share is not None and total > 0 and covered >= target_share * total):
+            if (max_hubs is not None and sum(not s[2] for s in steps) >= max_hubs) or (target_share is not None and total > 0 and covered >= target_share * total):
                 break
             row = gains.where(~F.col("j").isin(done)).select("j", F.round("g", 9).alias("g")).orderBy(F.col("g").desc(), "j").limit(1).collect()
             if not row or row[0]["g"] <= 0 or row[0]["g"] < q_min:

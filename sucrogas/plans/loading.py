@@ -67,8 +67,8 @@ def hub_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First greedy step that reaches 10, 20 and 30 % of the supply."""
-    t = siting.greedy_coverage(places.edges(spark, sf_dir), places.customers(spark, sf_dir).select(F.col("c_custkey").alias("i"), "s"), 1000.0, 6)
+    """First greedy step that reaches 10, 20 and 30 % of the supply; the steps end with the last share."""
+    t = siting.greedy_coverage(places.edges(spark, sf_dir), places.customers(spark, sf_dir).select(F.col("c_custkey").alias("i"), "s"), 1000.0, target_share=0.3)
     total = places.customers(spark, sf_dir).agg(F.sum("s")).first()[0]
     return siting.hubs_for_share(t, total or 0.0, [0.1, 0.2, 0.3])
 

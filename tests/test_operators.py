@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.operators import calibrate, economics, process, quality, sensitivity, siting, spatial, supply
 from sucrogas.operators.ranks import spread_rank, value_ranks
-from sucrogas.plans import chain
+from sucrogas.plans import chain, loading, places
 
 
 def test_reference_case(spark):
@@ -86,6 +86,21 @@ def test_greedy_fixed_and_target(spark):
     assert [(r.hub, r.fixed) for r in t] == [(0, True), (2, False)]
 
 
+def test_coverage_curve_reaches_every_share(spark, tmp_path):
+    """More than six hubs are needed for 20 and 30 %; the steps are those of a naive greedy over all suppliers."""
+    d = str(tmp_path)
+    spark.createDataFrame([(i, i % 25, "BUILDING", 1000.0 + i * 37 % 500) for i in range(1, 401)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(j, j % 25, 1.0) for j in range(1, 81)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    s = np.array([1000.0 + i * 37 % 500 for i in range(1, 401)])
+    w = np.zeros((400, 80))
+    for r in places.edges(spark, d).collect():
+        w[r.i - 1, r.j - 1] = r.w
+    hubs = naive_greedy(w, s, 1000.0, 80)
+    share = [w[:, hubs[:k]].max(axis=1) @ s / s.sum() for k in range(1, len(hubs) + 1)]
+    want = [next(k for k, x in enumerate(share, 1) if x >= t) for t in (0.1, 0.2, 0.3)]
+    assert want[2] > 6 and list(loading.coverage_curve(spark, d).first()) == want
+
+
 def test_spaced_selection_naive(spark):
     pts = [(i, float(i % 7) * 0.3 - 22, float(i // 7) * 0.3 - 47, (i * 5) % 23) for i in range(40)]
     df = spark.createDataFrame(pts, "k int, lat double, lon double, r int")
