@@ -16,8 +16,6 @@ from sucrogas.session import ensure_checkpoint_dir
 MAX_PLACES = 100_000
 #: Least alignment of the business words of two names whose core words are near but not equal.
 MIN_ALIGNMENT = 0.5
-#: Core words carried by at most so many names are searched two letters around.
-RARE = 3
 MAX_ROUNDS = 20
 
 
@@ -154,16 +152,15 @@ def core_links(cores: DataFrame) -> DataFrame:
     """For each core word the better-known core word it is a variant of, if any.
 
     ``cores``: ``core``, ``freq`` (names that carry it), ``sample`` (a name with the most business words).
-    The symmetric-delete neighbourhoods (one letter left out; two for rare words, whose correct form may
-    be missing) of the core and of its stem are joined on equality, so words one error apart, shortened
-    words and words with a short ending in place of the last syllable meet without comparing all pairs.  Candidates are verified by the distance and by
+    The symmetric-delete neighbourhoods (up to two letters left out of the core, one of its stem) are
+    joined on equality, so words up to two errors apart, shortened words and words with a short ending in place of the last syllable meet without comparing all pairs.  Candidates are verified by the distance and by
     the optimal alignment of the other words.  The parent is the best match among the words with
     larger (frequency, word), so links form a forest.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(c, f, s, k) for c, f, s in zip(b.core, b.freq, b["sample"], strict=True) for k in deletes(c, 2 if f <= RARE else 1) | deletes(stem(c), 1) if len(k) >= 4]
+            out = [(c, f, s, k) for c, f, s in zip(b.core, b.freq, b["sample"], strict=True) for k in deletes(c, 2) | deletes(stem(c), 1) if len(k) >= 4]
             yield pd.DataFrame(out, columns=["core", "freq", "sample", "key"])
 
     index = cores.mapInPandas(keys, "core string, freq long, sample string, key string")
@@ -176,9 +173,9 @@ def core_links(cores: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = []
-            for x, y, fx, sx, fy, sy in zip(p.a, p.b, p.fa, p.sa, p.fb, p.sb, strict=True):
+            for x, y, sx, fy, sy in zip(p.a, p.b, p.sa, p.fb, p.sb, strict=True):
                 m = core_match(x, y)
-                if (m >= 0.7 or m >= 0.6 and min(fx, fy) <= RARE) and same_words(sx, sy):
+                if m >= 0.6 and same_words(sx, sy):
                     out.append((x, y, m + 0.05 * (len(business_words(sx)) > 0 and len(business_words(sy)) > 0), fy))
             yield pd.DataFrame(out, columns=["a", "b", "score", "fb"])
 

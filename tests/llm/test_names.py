@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from sucrogas.llm.names_link import alignment, assignment, gazetteer, name_classes, variant_pairs
+from sucrogas.llm.names_link import alignment, assignment, core_links, gazetteer, name_classes, variant_pairs
 
 PLACES = ["Monte Vererapó", "Ararimbora", "Porto Iricoara da Serra"]
 NAMES = [
@@ -27,6 +27,12 @@ def test_pairs_are_those_within_companies(spark):
     assert run(spark, NAMES + NAMES, TITLES) == want
 
 
+def test_two_slips_are_found_whatever_the_frequency(spark):
+    rows = [("prafagrasana", 40, "Prafagrasana Energia"), ("prafgraana", 9, "Prafgraana Energia"), ("prfagraasana", 1, "Prfagraasana Energia"), ("outracoisa", 40, "Outracoisa Energia")]
+    links = core_links(spark.createDataFrame(rows, "core string, freq long, sample string")).collect()
+    assert {(r.core, r.parent) for r in links} == {("prafgraana", "prafagrasana"), ("prfagraasana", "prafagrasana")}
+
+
 def test_empty(spark):
     assert run(spark, [], []) == set() and run(spark, [None], [None]) == set()
 
