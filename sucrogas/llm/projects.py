@@ -88,10 +88,14 @@ def match_projects(projects: DataFrame, snapshots: DataFrame, names: DataFrame,
     right = right.withColumn("rid", F.concat_ws("\x01", "cnpj", "core", "place", "uf")).checkpoint()
     level = lambda c: F.lpad(F.floor(F.log(c) * 20).cast("string"), 4, "0")
     text = lambda *cs: F.concat_ws("|", *cs)
+    # A plant stands in the order at every capacity it has had, so a row that states an earlier one finds it.
+    at = lambda c: text("root", F.coalesce("uf", F.lit("")), level(c))
+    had = F.filter("caps", lambda c: c > 0)
+    every = F.explode(F.when(F.size(had) > 0, F.transform(had, at)).otherwise(F.array(text("root", F.coalesce("uf", F.lit(""))))))
     passes = [
         ("company and place", text("root", "place"), text("root", "place")),
         ("place and company", F.when(F.col("place").isNotNull(), text("place", "root")), text("place", "root")),
-        ("company, state, capacity", text("root", F.coalesce("uf", F.lit("")), F.coalesce(level(F.col("cap")), F.lit(""))), text("root", F.coalesce("uf", F.lit("")), level(F.array_max("caps")))),
+        ("company, state, capacity", text("root", F.coalesce("uf", F.lit("")), F.coalesce(level(F.col("cap")), F.lit(""))), every),
     ]
     pairs = sorted_neighbourhood(left, right, "lid", "rid", passes)
     a = left.select("lid", F.col("core").alias("core_a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"), F.col("uf").alias("uf_a"), F.col("cap").alias("cap_a"))

@@ -56,3 +56,16 @@ def test_projects(spark):
     assert got == {1: "1", 2: "3", 4: "4"}
     assert match_projects(projects.limit(0), snaps, names, muni).collect() == []
     assert match_projects(projects, snaps.limit(0), names, muni).collect() == []
+
+
+def test_unplaced_project_states_an_earlier_capacity(spark):
+    muni = spark.createDataFrame([("Ararimbora", "SP")], "municipio string, uf string")
+    plant = lambda c, town, cap, year: (date(year, 1, 1), c, "Gojeguli Biometano Ltda.", town, "SP", cap, datetime(year, 1, 2))
+    # Plant 1 grew from 1,000 to 90,000; six others of the company lie between in the order of the latest capacities.
+    rows = [plant("1", "ZULAIMA", 1000.0, 2023), plant("1", "ZULAIMA", 90000.0, 2025)] + [plant(str(i), f"TOWN {i}", 1000.0 * 1.9 ** (i - 1), 2025) for i in range(2, 8)]
+    snaps = spark.createDataFrame(rows, "snapshot_date date, cnpj string, razao_social string, municipio string, uf string, cap_biometano_m3d double, delivered_at timestamp")
+    projects = spark.createDataFrame(
+        [(1, "Gojeguli", None, "SP", 1000.0, "m3/d", None, None)], "id long, project string, location string, uf string, capacity_value double, capacity_unit string, capacity_basis string, notes string"
+    )
+    got = match_projects(projects, snaps, snaps.select(F.col("razao_social").alias("name")), muni).collect()
+    assert [(r.id, r.cnpj.lstrip("0")) for r in got] == [(1, "1")]
