@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.operators.ranks import spread_rank
 
-#: Cells of the knapsack table and most classes; both bound the driver's work whatever the data.
-CELLS = 2048
+#: Most classes; with the capacity, which is the length of the knapsack table, they bound the driver's work whatever the data.
 CLASSES = 384
 #: Most of a class's demand that one round covers in the first passes (then halved), and how much cheaper (as a power of e) such a round makes it.
 STEPS = (1.0, 0.1)
@@ -76,12 +75,12 @@ def knapsack(cells: np.ndarray, prices: np.ndarray, supply: np.ndarray, capacity
             new = value[: capacity + 1 - room] + take * prices[k]
             better = new > value[room:] + 1e-15
             value[room:] = np.where(better, new, value[room:])
-            steps.append((k, take, better))
+            steps.append((k, take, np.packbits(better)))
     out = np.zeros(len(cells), dtype=np.int64)
     at = int(np.argmax(value >= value[-1] - 1e-12)) if capacity else 0
     for k, take, better in reversed(steps):
         room = take * int(cells[k])
-        if at >= room and better[at - room]:
+        if at >= room and better[(at - room) >> 3] >> (7 - (at - room & 7)) & 1:
             out[k] += take
             at -= room
     return out
@@ -148,13 +147,10 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
     tops = group_sizes(sizes, counts, CLASSES)
     cls = np.searchsorted(tops, sizes)
     demand = np.bincount(cls, weights=counts, minlength=len(tops)).astype(np.int64)
-    grid = max(1, -(-capacity // CELLS))
-    room = capacity // grid
-    cells = np.minimum(-(-tops // grid), room)
     mean = (np.bincount(cls, weights=counts * sizes, minlength=len(tops)) / np.maximum(demand, 1) / capacity) ** SLOPE
-    covers, bound, dual, rounds = cover(cells, demand, room, mean)
+    covers, bound, dual, rounds = cover(tops, demand, capacity, mean)
     # Rounded with either price for the rest; every plan is a whole one, the one with fewest containers is taken.
-    plans = [whole(c, cells, demand, room, p) for c in covers for p in ((tops / capacity) ** SLOPE, dual)]
+    plans = [whole(c, tops, demand, capacity, p) for c in covers for p in ((tops / capacity) ** SLOPE, dual)]
     chosen = min(plans, key=lambda c: sum(n for _, n in c))
 
     slots: dict[int, list[tuple[int, int, int]]] = {}

@@ -103,6 +103,11 @@ def test_plan_iterates_to_the_bound():
         assert p.containers == 5 * n // 4 and p.containers <= p.bound * (1 + packing.GAP)
 
 
+def test_plan_counts_single_tokens():
+    assert packing.solve(np.array([1]), np.array([3 * 8192]), 8192).containers == 3
+    assert packing.solve(np.array([4095, 4097]), np.array([50, 50]), 8192).containers == 50
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(20):
