@@ -1,46 +1,35 @@
-"""Company names as people type them: repair, tokens, core word and comparison.
+"""Company names as people type them: repair, tokens, and comparison by the words that set a name apart.
 
-A company name is read as one *core* word (the invented part), *sector* words and
-*legal* words.  Sector and legal words may be abbreviated, reduced to initials,
-misspelt, glued to a neighbour or missing; the core may carry a typing error, lose
-its last syllable or get a short suffix in its place.  All functions are pure Python,
-cached by token, and are called from Arrow-batched functions only.
+Which words are common and which are a company's own is not listed here: a ``Vocabulary`` learns it from the
+names of the data at hand.  Common words may be abbreviated, reduced to initials, misspelt, glued
+to a neighbour or missing; a company's own word may carry a slip, lose its last syllable or end in the
+beginning of a common word instead.  Everything is pure Python, cached by token, and is called from
+Arrow-batched functions only.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
-# Portuguese legal forms and additions that never tell companies apart.
+# Legal forms and additions of Brazilian company names, which never tell companies apart.
 LEGAL = frozenset(
     """ltda ltd lt limitada sa sociedade anonima eireli spe me epp cia companhia grupo usina matriz filial outros
-    recuperacao judicial ex plant expansion expansao unidade projeto""".split()
+    recuperacao judicial""".split()
 )
-# Words of the line of business.
-SECTOR = frozenset(
-    """acucar adubos agroindustrial agropecuaria alcool ambientais ambiental biogas biometano bioenergia central
-    comercializacao comercio destilaria ecoparque energia engenharia gas gases gestao industria laticinios
-    participacoes renovaveis renovavel residuos saneamento solucoes suinocultura tratamento valorizacao""".split()
-)
-# Abbreviations that are no prefix of the word, and other spellings of it.
-ALIASES = {"bioch4": "biometano", "ch4": "biometano", "ecopq": "ecoparque", "enga": "engenharia", "pq": "ecoparque"}
-_SINGULAR = {"renovaveis": "renovavel", "ambientais": "ambiental", "gases": "gas"}
-CONNECTIVES = frozenset("e de do da dos das a o em com and with of the".split())
-# Short endings put in the place of a core's last syllable.
-NICK_ENDINGS = ("bio", "gas")
-GENERIC = sorted(LEGAL | SECTOR, key=lambda w: (-len(w), w))
-MIN_CORE = 5
+# Words that join others, in Portuguese and English.
+CONNECTIVES = frozenset("e de do da dos das a o em and with of the ex".split())
 
 _DIGITS = str.maketrans("013458", "oieasb")
-_SA = re.compile(r"\bs\s*[./]?\s*a\b\.?")
+_SA = re.compile(r"\bs\s*[./]?\s*a\b\.?|(?<=[a-z])s\.a\b\.?")
 _TOKEN = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-
-
 _PAIR = re.compile("[ÃÂ](.)", re.S)
+_TAIL = re.compile(r"\d+$")
+_ROMAN = re.compile(r"(?:x{1,2}|i{1,3}|iv|vi{0,3}|ix)$")
 
 
 def _unpair(m: re.Match) -> str:
@@ -62,11 +51,11 @@ def fold(text: str) -> str:
 
 
 def tokens(text: str | None) -> list[str]:
-    """Folded word tokens; glued capitals are split, dotted legal forms joined."""
+    """Folded word tokens; glued capitals are split, dotted legal forms joined, the formula of methane written out."""
     if not text:
         return []
     s = fold(_CAMEL.sub(" ", repair(text)).replace("ª", "a"))
-    return _TOKEN.findall(_SA.sub(" sa ", s))
+    return _TOKEN.findall(_SA.sub(" sa ", s).replace("ch4", "metano"))
 
 
 def damerau(a: str, b: str, limit: int, swap_cost: int = 1) -> int:
@@ -117,286 +106,345 @@ def deletes(word: str, most: int) -> set[str]:
     return out
 
 
-def _neighbourhood() -> dict[str, list[str]]:
-    index: dict[str, list[str]] = {}
-    for w in GENERIC:
-        if len(w) >= MIN_CORE:
-            for key in deletes(w, _most(w)) | deletes(phonetic(w), _most(w)):
-                index.setdefault(key, []).append(w)
-    return index
-
-
-def _beginnings() -> dict[str, list[tuple[str, str]]]:
-    index: dict[str, list[tuple[str, str]]] = {}
-    for w in [*GENERIC, "ecopq"]:
-        for n in range(MIN_CORE, len(w)):
-            for key in deletes(w[:n], 1):
-                index.setdefault(key, []).append((ALIASES.get(w, w), w[:n]))
-    return index
-
-
-def _most(word: str) -> int:
-    return 2 if len(word) >= 9 else 1
-
-
-@lru_cache(maxsize=200_000)
-def generic(token: str) -> tuple[str, ...] | None:
-    """The legal or sector words a token stands for; ``()`` where it is a connective or could
-    be several of them, None for a core word."""
-    if token in CONNECTIVES or len(token) == 1 or token.isdigit():
-        return ()
-    if token in ALIASES:
-        return (ALIASES[token],)
-    t = letters(token)
-    if t in LEGAL or t in SECTOR:
-        return (t,)
-    hits = [w for w in GENERIC if w.startswith(t)] if len(t) > 3 else []
-    if len(t) < MIN_CORE or hits:
-        return (hits[0],) if len(hits) == 1 else ()
-    p = phonetic(t)
-    near = {w for key in deletes(t, 2) | deletes(p, 2) for w in _NEAR.get(key, ())}
-    scored = sorted((min(damerau(t, w, 2), damerau(p, phonetic(w), 2)), w) for w in near)
-    scored = [x for x in scored if x[0] <= _most(x[1])]
-    if scored:
-        return (scored[0][1],)
-    # Shorter ones are left to the choice between several words, so that no short core is mistaken for a beginning.
-    begun = {w for key in deletes(t, 1) for w, start in _BEGUN.get(key, ()) if damerau(t, start, 1) <= 1} if len(t) >= 7 else set()
-    if begun:
-        return (begun.pop(),) if len(begun) == 1 else ()
-    return _segment(t)
-
-
-def _segment(t: str) -> tuple[str, ...] | None:
-    """Split a glued token into generic words and connectives only."""
-    words = [*GENERIC, "de", "e", "em"]
-    ways: list[tuple[str, ...] | None] = [()] + [None] * len(t)
-    for i in range(len(t)):
-        if ways[i] is None:
-            continue
-        for w in words:
-            if w == "sa" and i + 2 < len(t):
-                continue
-            if t.startswith(w, i) and ways[i + len(w)] is None:
-                ways[i + len(w)] = (*ways[i], w)
-        rest = t[i:]
-        if i and len(rest) >= 4 and ways[len(t)] is None:  # an unfinished or misspelt last word
-            hit = next((w for w in GENERIC if w.startswith(rest) or (len(w) >= 6 and damerau(rest, w, 1) <= 1)), None)
-            if hit:
-                ways[len(t)] = (*ways[i], hit)
-    return ways[len(t)]
-
-
-@lru_cache(maxsize=200_000)
-def unglue(token: str) -> tuple[str, tuple[str, ...]]:
-    """A core word freed from generic words written directly before or after it."""
-    t = letters(token)
-    found: list[str] = []
-    again = True
-    while again:
-        again = False
-        for w in GENERIC:
-            if len(w) < 5 and w not in ("ltda", "spe", "cia"):
-                continue
-            if len(t) - len(w) >= MIN_CORE:
-                if t.endswith(w) and w != "cia":
-                    t, again = t[: -len(w)], True
-                elif t.startswith(w) and w in ("grupo", "usina", "cia", "biometano", "projeto"):
-                    t, again = t[len(w) :], True
-                if again:
-                    found.append(w)
-                    break
-    return t, tuple(found)
+def assignment(cost: list[list[float]]) -> list[int]:
+    """The column for each row that minimises the total cost (Hungarian algorithm with potentials); rows <= columns."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, way, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while match[j0]:
+            used[j0] = True
+            i0, delta, j1 = match[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            match[j0], j0 = match[way[j0]], way[j0]
+    out = [-1] * n
+    for j in range(1, m + 1):
+        if match[j]:
+            out[match[j] - 1] = j - 1
+    return out
 
 
-_NEAR = _neighbourhood()
-_BEGUN = _beginnings()
+def _legal(t: str) -> bool:
+    """Whether a token is a legal form, the beginning of a long one, or several written together."""
+    if t in LEGAL or len(t) >= 5 and any(w.startswith(t) for w in LEGAL):
+        return True
+    return any(len(w) < len(t) and t.startswith(w) and _legal(t[len(w) :]) for w in LEGAL if len(w) > 2)
 
 
-class Name(NamedTuple):
-    """A parsed name: core word (phonetic form, '' when there is none), sector words, further core words."""
+class Unit(NamedTuple):
+    """A word of a name: its text, how much it says, and whether it is common (else the company's own)."""
 
-    core: str
-    sector: frozenset[str]
-    others: tuple[str, ...]
+    text: str
+    weight: float
+    common: bool
 
 
-@lru_cache(maxsize=300_000)
-def parse(text: str | None) -> Name:
-    """Core and sector of one company name.
+class Agreement(NamedTuple):
+    """Two aligned names: likeness of the best pair of own words, weight left over on the lighter and on the heavier side, business words matched."""
 
-    NULL, empty and purely generic texts give an empty core.  Of several words that are
-    not generic the one least like any generic word is the core.
-    """
-    return parse_tokens(tuple(tokens(text)))
+    own: float
+    lighter: float
+    heavier: float
+    shared: float
 
 
-def parse_tokens(words: tuple[str, ...]) -> Name:
-    """``parse`` for text already cut into tokens."""
-    cores: list[str] = []
-    sector: set[str] = set()
-    for w in words:
-        g = generic(w)
-        if g is None:
-            core, glued = unglue(w)
-            sector.update(_SINGULAR.get(x, x) for x in glued if x in SECTOR)
-            cores.append(phonetic(core))
-        else:
-            sector.update(_SINGULAR.get(x, x) for x in g if x in SECTOR)
-    if not cores:
-        return Name("", frozenset(sector), ())
-    best = max(range(len(cores)), key=lambda i: (*_strangeness(cores[i]), -i)) if len(cores) > 1 else 0
-    return Name(cores[best], frozenset(sector), tuple(c for i, c in enumerate(cores) if i != best))
+#: Weight of a word that is not common, and of a letter that stands for a word.
+OWN_WEIGHT, LETTER_WEIGHT = 6.0, 0.4
+#: Most weight that both names may have left over and still be one company's; with an unsure own word.
+LEFT_OVER, LEFT_OVER_UNSURE = 1.6, 1.0
+#: Own words less alike than this need a common word to agree as well.
+UNSURE = 0.7
+#: Shortest word that may carry a slip.
+MIN_SLIP = 5
 
 
-@lru_cache(maxsize=100_000)
-def _strangeness(core: str) -> tuple[int, int]:
-    """Distance to the nearest generic word (up to 6), then the length."""
-    return min(damerau(core, w, 5) for w in GENERIC if len(w) >= MIN_CORE), len(core)
+def _slips(word: str) -> int:
+    return 2 if len(word) >= 9 else 1
 
 
 _LAST_SYLLABLE = re.compile(r"[^aeiou]{0,2}[aeiou]$")
 
 
-def stem(core: str) -> str:
-    """The core without its last syllable, or without a short ending put in that place."""
-    for end in NICK_ENDINGS:
-        if core.endswith(end) and len(core) - len(end) >= 4:
-            return core[: -len(end)]
-    cut = _LAST_SYLLABLE.sub("", core)
-    return cut if len(cut) >= 4 else core
-
-
-def nicknamed(core: str) -> bool:
-    """Whether the core carries one of the short endings."""
-    return any(core.endswith(e) and len(core) - len(e) >= 4 for e in NICK_ENDINGS)
+class Vocabulary:
+    """The common words of a set of names, with the number of names that hold each.
 
+    ``counts`` are the words found with many different companies (see ``operators.vocabulary.learn``), ``total`` the
+    number of names.  An empty vocabulary is valid: then all words but legal forms are a company's own.
+    """
 
-def core_match(a: str, b: str) -> float:
-    """How surely two cores are one word: 1 equal, 0.9 one error, 0.8 shortened, 0.7 both, 0.6 two slips, 0 different."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if min(len(a), len(b)) >= MIN_CORE and damerau(a, b, 1) <= 1:
-        return 0.9
-    sa, sb = stem(a), stem(b)
-    na, nb = nicknamed(a), nicknamed(b)
-    for short, full in ((a, sb), (b, sa)):
-        if short == full:
+    def __init__(self, counts: dict[str, int], total: int):
+        self.words: dict[str, tuple[str, float]] = {}
+        self.near: dict[str, list[str]] = {}
+        self.starts: dict[str, list[str]] = {}
+        self.begun: dict[str, set[str]] = {}
+        self._units: dict[str, tuple[Unit, ...]] = {}
+        self._like: dict[tuple[str, str], float] = {}
+        self._profiles: dict[str, tuple[Unit, ...]] = {}
+        for w in sorted(counts, key=lambda w: (-counts[w], w)):
+            if w in CONNECTIVES or len(w) < 2 or any(c.isdigit() for c in w) or _legal(w):
+                continue
+            if any(self._known(w[:i]) and self._known(w[i:]) and (w[:i] in self.words or w[i:] in self.words) for i in range(1, len(w))):
+                continue  # written together, read as its parts
+            other = self._nearest(w)
+            alias = other is not None and counts[other] >= 3 * counts[w]  # a frequent misspelling
+            self.words[w] = self.words[other] if alias else (w, max(1.0, min(OWN_WEIGHT, math.log((total + 1) / counts[w]))))
+            if len(w) >= MIN_SLIP:
+                for key in deletes(w, _slips(w)) | deletes(phonetic(w), _slips(w)):
+                    self.near.setdefault(key, []).append(w)
+            if alias:
+                continue
+            for n in range(2, len(w)):
+                self.starts.setdefault(w[:n], []).append(w)
+                if n >= MIN_SLIP:
+                    for key in deletes(w[:n], 1):
+                        self.begun.setdefault(key, set()).add(w[:n])
+        self.legal_near = {key: w for w in sorted(LEGAL) if len(w) >= 4 for key in deletes(w, 1)}
+        self.glue = sorted({w for w in self.words if len(w) >= 3} | {w for w in LEGAL if len(w) >= 2} | {"de", "e", "em"}, key=lambda w: (-len(w), w))
+        self.ends = {w[:3] for w, (canon, _) in self.words.items() if len(w) >= 3 and canon == w}
+
+    def __reduce__(self):
+        raise TypeError("send the counts, not the vocabulary")
+
+    def _known(self, part: str) -> bool:
+        return part in self.words and len(part) >= 3 or part in ("e", "de", "em") or len(part) >= 2 and part in LEGAL
+
+    def _nearest(self, token: str) -> str | None:
+        if len(token) < MIN_SLIP:
+            return None
+        p = phonetic(token)
+        near = {w for key in deletes(token, 2) | deletes(p, 2) for w in self.near.get(key, ())}
+        scored = sorted((min(damerau(token, w, 2), damerau(p, phonetic(w), 2)), w) for w in near)
+        return next((w for d, w in scored if d <= _slips(w) and d <= _slips(token)), None)
+
+    def unit(self, text: str, common: bool) -> Unit:
+        """A word with its weight: common ones by their frequency, beginnings and letters less, own words by their length up to four letters."""
+        if not common:
+            return Unit(text, OWN_WEIGHT * min(1.0, len(text) * len(text) / 16), False)
+        if len(text) == 1:
+            return Unit(text, LETTER_WEIGHT, True)
+        if text in self.words:
+            return Unit(text, self.words[text][1], True)
+        if text in self.starts:
+            return Unit(text, min(self.words[w][1] for w in self.starts[text]) * min(1.0, len(text) / 4), True)
+        return Unit(text, 2.0, True)
+
+    def units(self, token: str) -> tuple[Unit, ...]:
+        """The words a token stands for: none for legal forms, connectives and numbers, several for a glued token."""
+        got = self._units.get(token)
+        if got is None:
+            if len(self._units) > 500_000:
+                self._units.clear()
+            got = self._units[token] = self._read(token)
+        return got
+
+    def _read(self, token: str) -> tuple[Unit, ...]:
+        if token in CONNECTIVES or token.isdigit() or len(token) > 1 and _ROMAN.match(token):
+            return ()
+        if len(token) == 1:
+            return (self.unit(token, True),)
+        t = letters(token)
+        t = _TAIL.sub("", token) if _TAIL.search(token) and len(_TAIL.sub("", token)) >= 4 else t
+        if _legal(t):
+            return ()
+        if t in self.words:
+            return (self.unit(self.words[t][0], True),)
+        if len(t) >= 4:
+            w = next((self.legal_near[k] for k in sorted(deletes(t, 1)) if k in self.legal_near), None)
+            if w and damerau(t, w, 1) <= 1:
+                return ()
+        near = self._nearest(t)
+        if near:
+            return (self.unit(self.words[near][0], True),)
+        t = t if t in self.starts else phonetic(t) if phonetic(t) in self.starts else t
+        if t in self.starts:
+            return (self.unit(t, True),)
+        if len(t) >= 7 and any(damerau(t, s, 1) <= 1 for key in deletes(t, 1) for s in self.begun.get(key, ())):
+            return (self.unit(t, True),)
+        parts = self._segment(t)
+        if parts:
+            return tuple(u for w in parts for u in (self.units(w) if w != t else ()))
+        own, glued = self._unglue(t)
+        return (self.unit(phonetic(own), False), *(u for w in glued for u in self.units(w)))
+
+    def _segment(self, t: str) -> list[str] | None:
+        """A glued token cut into common words, legal forms and connectives; the last may be unfinished or misspelt."""
+        ways: list[list[str] | None] = [[]] + [None] * len(t)
+        for i in range(len(t)):
+            if ways[i] is None:
+                continue
+            for w in self.glue:
+                if len(w) <= len(t) - i and ways[i + len(w)] is None and (len(w) > 2 or i > 0 or w in ("e", "de")) and t.startswith(w, i):
+                    ways[i + len(w)] = [*ways[i], w]
+            rest = t[i:]
+            if i and ways[len(t)] is None and (rest in self.starts and len(rest) >= 3 and any(len(w) > 2 for w in ways[i]) or len(rest) >= 6 and self._nearest(rest)):
+                ways[len(t)] = [*ways[i], rest]
+        return ways[len(t)]
+
+    def _unglue(self, t: str) -> tuple[str, list[str]]:
+        """A word freed from common words of five letters or legal forms written directly before or after it."""
+        found: list[str] = []
+        again = True
+        while again:
+            again = False
+            for w in self.glue:
+                if len(t) - len(w) < MIN_SLIP or len(w) < 5 and w not in ("ltda", "spe"):
+                    continue
+                if t.endswith(w) or t.startswith(w) and w not in ("ltda", "spe"):
+                    t = t[: -len(w)] if t.endswith(w) else t[len(w) :]
+                    found.append(w)
+                    again = True
+                    break
+        return t, found
+
+    def profile(self, words: str | list[str] | None) -> tuple[Unit, ...]:
+        """The words of a name (or of a list of tokens) in order; empty for NULL, blank and purely legal texts."""
+        if isinstance(words, str):
+            got = self._profiles.get(words)
+            if got is None:
+                if len(self._profiles) > 200_000:
+                    self._profiles.clear()
+                got = self._profiles[words] = self.profile(tokens(words))
+            return got
+        return tuple(u for w in words or () for u in self.units(w))
+
+    def read(self, written: str) -> tuple[Unit, ...]:
+        """The profile that ``write`` gave."""
+        got = self._profiles.get("=" + written)
+        if got is None:
+            got = self._profiles["=" + written] = tuple(self.unit(w.removeprefix("="), not w.startswith("=")) for w in written.split())
+        return got
+
+    def stem(self, word: str) -> tuple[str, bool]:
+        """A word without its last syllable or without the beginning of a common word in that place, and whether it had the latter."""
+        if word[-3:] in self.ends and len(word) >= 7:
+            return word[:-3], True
+        cut = _LAST_SYLLABLE.sub("", word)
+        return (cut if len(cut) >= 4 else word), False
+
+    def own_likeness(self, a: str, b: str) -> float:
+        """How surely two own words are one: 1 equal, 0.9 one slip, 0.8 shortened, 0.7 both, 0.6 two slips, 0 different."""
+        if a == b:
+            return 1.0
+        key = (a, b) if a < b else (b, a)
+        got = self._like.get(key)
+        if got is None:
+            if len(self._like) > 500_000:
+                self._like.clear()
+            got = self._like[key] = self._own_likeness(*key)
+        return got
+
+    def _own_likeness(self, a: str, b: str) -> float:
+        low = min(len(a), len(b))
+        if low >= MIN_SLIP and damerau(a, b, 1) <= 1:
+            return 0.9
+        (sa, na), (sb, nb) = self.stem(a), self.stem(b)
+        if min(len(sa), len(sb)) >= 4 and (a == sb or b == sa or (na or nb) and sa == sb):
             return 0.8
-    if (na or nb) and sa == sb:
-        return 0.8
-    if min(len(a), len(b)) >= 8 and damerau(a, b, 2, swap_cost=2) <= 2:
-        return 0.6
-    for short, full in ((a, sb), (b, sa)):
-        if min(len(short), len(full)) >= 6 and damerau(short, full, 1) <= 1 and abs(len(short) - len(full)) <= 1:
-            return 0.7
-    if (na or nb) and min(len(sa), len(sb)) >= 5 and damerau(sa, sb, 1) <= 1:
-        return 0.7
-    for nick, full in ((sa, b), (sb, a)):
-        if nick in (a, b) or len(nick) < MIN_CORE:
-            continue
-        if any(0 < len(full) - n <= 3 and damerau(nick, full[:n], 1) <= 1 for n in (len(nick) - 1, len(nick), len(nick) + 1)) and (nicknamed(a) or nicknamed(b)):
+        if low >= 8 and damerau(a, b, 2, swap_cost=2) <= 2:
             return 0.6
-    return 0.0
-
-
-# The lines of business as they are written in full.
-PHRASES = [
-    frozenset(x.split())
-    for x in (
-        "acucar alcool, adubos gestao residuos, agroindustrial, agropecuaria, ambiental, biogas participacoes, biometano, bioenergia, "
-        "central residuos, comercializacao biometano, destilaria bioenergia, ecoparque, energia renovavel, engenharia ambiental, "
-        "gas energia, gas renovavel, gestao residuos, industria comercio gas, laticinios biogas, saneamento energia, "
-        "solucoes ambiental, suinocultura energia, tratamento residuos, valorizacao biogas"
-    ).split(", ")
-]
-
-
-def sectors_agree(a: frozenset[str], b: frozenset[str]) -> bool:
-    """Words are dropped but not exchanged: one set must hold the other, or one line of business both."""
-    u = a | b
-    return a <= b or b <= a or any(u <= p for p in PHRASES)
-
-
-def same_company(a: str | None, b: str | None) -> bool:
-    """Whether two names are spellings of one company; NULL and core-less names match only when equal in tokens."""
-    if a is None or b is None:
-        return False
-    if a == b:
-        return True
-    x, y = parse(a), parse(b)
-    if not x.core or not y.core:
-        return tokens(a) == tokens(b)
-    m = core_match(x.core, y.core)
-    if m >= 1.0:
-        return True
-    return m > 0 and (sectors_agree(x.sector, y.sector) or m >= 0.9 and bool(x.sector & y.sector))
+        for short, full in ((a, sb), (b, sa)):
+            if min(len(short), len(full)) >= 6 and abs(len(short) - len(full)) <= 1 and damerau(short, full, 1) <= 1:
+                return 0.7
+        if na or nb:
+            if min(len(sa), len(sb)) >= MIN_SLIP and damerau(sa, sb, 1) <= 1:
+                return 0.7
+            for nick, full in ((sa, b), (sb, a)):
+                if nick not in (a, b) and len(nick) >= MIN_SLIP and any(0 < len(full) - n <= 3 and damerau(nick, full[:n], 1) <= 1 for n in range(len(nick) - 1, len(nick) + 2)):
+                    return 0.6
+        return 0.0
 
+    def likeness(self, x: Unit, y: Unit) -> float:
+        """Likeness of two words: equal 1, abbreviation 0.9, initial 0.8, letters of the word in order 0.7, a slip 0.9, else 0."""
+        a, b = x.text, y.text
+        if a == b:
+            return 1.0
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        if not x.common and not y.common and (own := self.own_likeness(a, b)):
+            return own
+        if long.startswith(short) and (x.common or y.common or len(short) != 2):
+            return 0.8 if len(short) == 1 else 0.9
+        if len(short) == 1 or short[0] != long[0] and not (len(short) >= 6 and x.common and y.common):
+            return 0.0
+        if len(short) >= MIN_SLIP and (damerau(short, long, 2) <= _slips(short) or any(damerau(short, long[:n], 1) <= 1 for n in (len(short) - 1, len(short), len(short) + 1))):
+            return 0.9
+        return 0.7 if len(short) <= 5 and len(long) > len(short) and _within(short, long) else 0.0
+
+    def align(self, a: tuple[Unit, ...], b: tuple[Unit, ...]) -> Agreement:
+        """Optimal assignment of the words of two names.
+
+        Initials and abbreviations may stand for words, and joined initials ("GR") for several.
+        """
+        a, b = self._spread(a, b), self._spread(b, a)
+        if not a or not b:
+            return Agreement(0.0, 0.0, sum(u.weight for u in a or b), 0.0)
+        x, y = (a, b) if len(a) <= len(b) else (b, a)
+        like = [[self.likeness(s, t) for t in y] for s in x]
+        got = assignment([[-v * min(s.weight, t.weight) for v, t in zip(row, y, strict=True)] for row, s in zip(like, x, strict=True)])
+        pairs = [(i, j) for i, j in enumerate(got) if j >= 0 and like[i][j] >= 0.6]
+        mine, yours = {i for i, _ in pairs}, {j for _, j in pairs}
+        own = max((self.own_likeness(x[i].text, y[j].text) for i, j in pairs if not x[i].common and not y[j].common), default=0.0)
+        if not own and (all(u.common for u in x) or all(u.common for u in y)):
+            # Without an own word on one side the word that says most has to agree, and nothing may be left on either side.
+            top = max(range(len(x)), key=lambda i: x[i].weight)
+            if len(pairs) == max(len(x), len(y)) and x[top].weight >= 2:
+                own = min(like[i][j] for i, j in pairs)
+        left = sorted((sum(u.weight for i, u in enumerate(x) if i not in mine), sum(u.weight for j, u in enumerate(y) if j not in yours)))
+        return Agreement(own, left[0], left[1], sum(like[i][j] for i, j in pairs if x[i].common or y[j].common))
+
+    def _spread(self, a: tuple[Unit, ...], b: tuple[Unit, ...]) -> tuple[Unit, ...]:
+        """The words of ``a`` with joined initials put apart: short words that agree with no word of ``b`` but whose letters all begin one."""
+        out: list[Unit] = []
+        for u in a:
+            initials = [c for c in u.text if c not in "ed"]
+            joined = 1 < len(u.text) <= 4 and u.text not in self.words and not any(self.likeness(u, t) for t in b)
+            begin = [any(t.text.startswith(c) for t in b) for c in initials]
+            if joined and begin and (all(begin) or begin[0] and len(u.text) <= 3):
+                out += [Unit(c, LETTER_WEIGHT, True) for c in initials]
+            else:
+                out.append(u)
+        return tuple(out)
 
-# Words of project titles around the company and the place.
-TITLE_WORDS = frozenset("projeto biometano upb jv plant expansion expansao unidade planta fase usina i ii iii iv v".split())
+    def score(self, a: tuple[Unit, ...], b: tuple[Unit, ...]) -> float:
+        """How surely two names are one company's, 0 if they are not: an own word must agree, and not both may have words left over."""
+        m = self.align(a, b)
+        if m.own < 0.6 or m.lighter > (LEFT_OVER if m.own >= 0.9 else LEFT_OVER_UNSURE) or m.own < UNSURE and m.shared < 0.7:
+            return 0.0
+        return m.own + 0.03 * min(m.shared, 3.0) - 0.01 * m.lighter
 
 
-class Places:
-    """A gazetteer of place names for removal from titles; its size is that of the place table, not of the data."""
+def write(profile: tuple[Unit, ...]) -> str:
+    """A profile as a text: its words in order, own ones with a "=" before them."""
+    return " ".join(u.text if u.common else "=" + u.text for u in profile)
 
-    def __init__(self, names: list[str]):
-        self.first: dict[str, list[tuple[str, ...]]] = {}
-        for n in sorted({tuple(tokens(x)) for x in names if x}, key=lambda t: (-len(t), t)):
-            if n:
-                self.first.setdefault(n[0], []).append(n)
-
-    def cut(self, words: list[str]) -> tuple[list[str], list[tuple[str, ...]]]:
-        """The words without places, a "|" in the place of each, and the places."""
-        out: list[str] = []
-        found: list[tuple[str, ...]] = []
-        i = 0
-        while i < len(words):
-            for name in self.first.get(words[i], ()):
-                if tuple(words[i : i + len(name)]) == name:
-                    found.append(name)
-                    out.append("|")
-                    i += len(name)
-                    break
-            else:
-                out.append(words[i])
-                i += 1
-        return out, found
 
+def _within(short: str, long: str) -> bool:
+    it = iter(long)
+    return all(c in it for c in short)
 
-_MARKS = re.compile(r"^\s*jv\b|\s[+/&]\s|\(\s*with\b|\(\s*com\b", re.I)
 
+@lru_cache(maxsize=4)
+def vocabulary(counts: tuple[tuple[str, int], ...], total: int) -> Vocabulary:
+    """A vocabulary from its counts, built once per process; the counts are what is sent to tasks."""
+    return Vocabulary(dict(counts), total)
 
-def parse_title(title: str | None, places: Places) -> tuple[Name, bool]:
-    """The company of a project title, and whether the title names two companies.
 
-    Places of the gazetteer, plant numbers and project words are left out first.  Two
-    companies are named where a joint-venture mark stands or where two words are left
-    that are neither generic nor parts of one name joined by "e".
-    """
-    words = title_words(title, places)
-    name = parse_tokens(tuple(words))
-    # A misspelt business word is near some generic word, the name of a company is not.
-    second = any(_strangeness(o)[0] >= 4 for o in name.others)
-    two = second and (bool(_MARKS.search(title)) or _two_cores(words))
-    return name, two
-
-
-def title_words(title: str | None, places: Places) -> list[str]:
-    """The tokens of a title without places and project words."""
-    words, _ = places.cut(tokens(title))
-    return [w for w in words if w != "|" and w not in TITLE_WORDS]
-
-
-def _two_cores(words: list[str]) -> bool:
-    """Whether two core words stand with an "e" between them."""
-    seen = joined = False
-    for w in words:
-        if w == "e" and seen:
-            joined = True
-        elif generic(w) is None:
-            if seen and joined:
-                return True
-            seen = True
-    return False
+def same_company(a: str | None, b: str | None, words: Vocabulary) -> bool:
+    """Whether two names are spellings of one company; NULL equals nothing, names without words only an equal name."""
+    if a is None or b is None:
+        return False
+    return a == b or words.score(words.profile(a), words.profile(b)) > 0

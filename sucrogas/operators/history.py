@@ -1,21 +1,24 @@
-"""History of changing attributes: type-two versions from readings, and their incremental merge."""
+"""History of changing attributes: type-two versions, merged delivery by delivery."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from sucrogas.functions.names import same_company
+from sucrogas.functions.names import same_company, vocabulary
 from sucrogas.operators.snapshots import latest
+from sucrogas.operators.vocabulary import learn, name_tokens
+from sucrogas.session import ensure_checkpoint_dir
 
 OPEN_END = "9999-12-31"
+READING = "struct<date:date,version:timestamp,capacity:double,company:int>"
 
 
-def canonical_names(names: list[str], same: Callable[[str, str], bool] = same_company) -> list[int]:
+def canonical_names(names: list[str], same: Callable[[str, str], bool]) -> list[int]:
     """Group numbers for spellings: two names share one if ``same`` links them, directly or through others."""
     group = list(range(len(names)))
 
@@ -32,59 +35,107 @@ def canonical_names(names: list[str], same: Callable[[str, str], bool] = same_co
     return [root(i) for i in range(len(names))]
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _groups(spellings: pd.Series) -> pd.Series:
-    return spellings.map(lambda xs: canonical_names([x for x in xs]) if len(xs) > 1 else [0] * len(xs))
+def company_numbers(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The companies behind the spellings of each key: ``key``, ``name``, ``company`` (a number within the key).
+
+    The common words are learned from all names; the spellings of one key, which are few whatever its rows, are compared
+    with each other.  NULL keys and names have no row.
+    """
+    spelt = df.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key).alias("key"), F.col(name).alias("name")).distinct()
+    names = spelt.select("name").distinct()
+    common, total = learn(names.withColumn("words", name_tokens("name")), "name", "words")
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def groups(spellings: pd.Series) -> pd.Series:
+        words = vocabulary(common, total)
+        return spellings.map(lambda xs: canonical_names(list(xs), lambda a, b: same_company(a, b, words)) if len(xs) > 1 else [0] * len(xs))
+
+    per_key = spelt.groupBy("key").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    both = F.arrays_zip("names", groups("names").alias("company"))
+    return per_key.select("key", F.explode(both).alias("_g")).select("key", F.col("_g.names").alias("name"), F.col("_g.company").alias("company"))
 
 
-def monthly_versions(df: DataFrame, key: str, date: str, version: str, capacity: str, operator: str, tolerance: float) -> DataFrame:
-    """Versions of a plant's capacity and operator with the period each was valid.
+def empty_dimension(df: DataFrame, key: str) -> DataFrame:
+    """A dimension of ``merge_versions`` without rows, for the keys of ``df``."""
+    fields = f"key {dict(df.dtypes)[key]}, valid_from date, valid_to date, capacity double, company int, attr_hash bigint, seed_capacity double, seed_company int"
+    return df.sparkSession.createDataFrame([], f"{fields}, readings array<{READING}>")
 
-    Of the readings of one key and date the one with the latest ``version`` is valid (equal
-    versions: the larger payload).  A version starts at the key's first date and wherever the
-    capacity is stated and differs by more than ``tolerance`` from the last stated one, or the
-    operator is stated and is another company than the last stated one.  NULL is no change,
-    missing dates do not end a version, values may return.  A version ends the day before the
-    next start; the last is open until 9999-12-31.  Rows with a NULL key or date are ignored.
 
-    The spellings of one key are few (they are read as an array per key after the readings
-    have been reduced to one per date), so the name comparison never sees more than one key.
-    Returns key, ``version_no``, ``valid_from``, ``valid_to`` (dates), capacity and operator as
-    stated in the version (first stated value, NULL if none), and ``attr_hash``.
+def merge_versions(current: DataFrame, delivery: DataFrame, tolerance: float) -> DataFrame:
+    """Type-two merge of one delivery of readings into a dimension.
+
+    ``current``: one row per key and version with its period, attributes, ``attr_hash``, the attributes last stated before it (``seed_*``) and the
+    readings it was stated by.  ``delivery``: ``key``, ``date``, ``version``, ``capacity``, ``company``, any number of dates per key in any
+    order, late ones and corrections too.  Of the readings of one key and date the one with the latest version is valid (equal
+    versions: the larger payload).
+
+    The attribute hash of each reading is compared with that of the version it follows: an equal hash confirms the version, another one closes
+    it the day before and opens a new one.  Before the hash is taken, a capacity within ``tolerance`` of the last stated one is replaced by that
+    one, and so is a NULL attribute.  Closed history from before a key's first delivered date passes through untouched; the versions
+    that the delivery reaches are opened again.  Everything is done on one partitioning by key; a key is as
+    large as its calendar.  NULL keys and dates are ignored; an empty delivery changes nothing.
     """
-    valid = latest(df.select(key, date, version, capacity, operator), [key, date], version, [capacity, operator])
-    row = F.struct(F.col(date).alias("date"), F.col(capacity).cast("double").alias("capacity"), F.col(operator).alias("operator"))
-    per_key = valid.groupBy(key).agg(F.collect_list(row).alias("_rows"), F.collect_set(operator).alias("_names"))
-    per_key = per_key.withColumn("_names", F.array_sort("_names"))
-    named = per_key.select(key, "_rows", F.map_from_arrays("_names", _groups("_names")).alias("_entity"))
-    flat = named.select(key, "_entity", F.explode("_rows").alias("_r")).select(
-        key, "_r.*", F.when(F.col("_r.operator").isNotNull(), F.element_at("_entity", F.col("_r.operator"))).alias("_company")
-    )
-    order = Window.partitionBy(key).orderBy("date")
+    reading = F.struct("date", F.col("version").cast("timestamp").alias("version"), F.col("capacity").cast("double").alias("capacity"), F.col("company").cast("int").alias("company"))
+    given = delivery.where(F.col("key").isNotNull() & F.col("date").isNotNull()).select("key", F.array(reading).alias("readings"), F.col("date").alias("_given"))
+    key = Window.partitionBy("key")
+    both = current.withColumn("_given", F.lit(None).cast("date")).unionByName(given, allowMissingColumns=True).withColumn("_first", F.min("_given").over(key))
+    reached = F.col("_given").isNotNull() | F.coalesce(F.col("valid_to") >= F.date_sub("_first", 1), F.lit(False))
+    seed = F.min(F.when(reached & F.col("valid_from").isNotNull(), F.struct("valid_from", "seed_capacity", "seed_company"))).over(key)
+    rows = both.withColumn("_seed", seed).withColumn("_r", F.explode_outer(F.when(reached, F.col("readings")))).withColumn("_d", F.col("_r.date"))
+    newest = F.row_number().over(Window.partitionBy("key", "_d").orderBy(F.desc("_r")))
+    valid = rows.withColumn("_n", newest).where(F.col("_d").isNull() | (F.col("_n") == 1))
+
+    order = Window.partitionBy("key").orderBy("_d")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last_capacity = F.last("capacity", ignorenulls=True).over(before)
-    last_company = F.last("_company", ignorenulls=True).over(before)
-    first = F.row_number().over(order) == 1
-    other_capacity = F.coalesce(F.abs(F.col("capacity") - last_capacity) > tolerance, F.lit(False))
-    other_company = F.coalesce(F.col("_company") != last_company, F.lit(False))
-    marked = flat.withColumn("_start", (first | other_capacity | other_company).cast("int"))
-    numbered = marked.withColumn("version_no", F.sum("_start").over(order))
-    versions = numbered.groupBy(key, "version_no").agg(
-        F.min("date").alias("valid_from"),
-        F.min_by("capacity", F.when(F.col("capacity").isNotNull(), F.col("date"))).alias(capacity),
-        F.min_by("operator", F.when(F.col("operator").isNotNull(), F.col("date"))).alias(operator),
-        F.min_by("_company", F.when(F.col("_company").isNotNull(), F.col("date"))).alias("_company"),
-    )
-    by_version = Window.partitionBy(key).orderBy("version_no")
-    return versions.select(
-        key,
-        "version_no",
-        "valid_from",
-        F.coalesce(F.date_sub(F.lead("valid_from").over(by_version), 1), F.lit(OPEN_END).cast("date")).alias("valid_to"),
-        capacity,
-        operator,
-        F.xxhash64(F.coalesce(F.round(capacity, 2).cast("string"), F.lit("\0")), F.coalesce(F.col("_company").cast("string"), F.lit("\0"))).alias("attr_hash"),
-    )
+    last = lambda a: F.coalesce(F.last(f"_r.{a}", ignorenulls=True).over(before), F.col(f"_seed.seed_{a}"))
+    c, o = F.col("_r.capacity"), F.col("_r.company")
+    stated = valid.withColumns({"_c": last("capacity"), "_o": last("company"), "_start": F.min("_d").over(key)})
+    new_c = F.when(F.abs(c - F.col("_c")) > tolerance, c).otherwise(F.col("_c"))
+    new_o = F.when(o != F.col("_o"), o).otherwise(F.col("_o"))
+    differs = attribute_hash(new_c, new_o) != attribute_hash(F.col("_c"), F.col("_o"))
+    opened = stated.withColumn("_opens", F.when(differs | (F.col("_d") == F.col("_start")), F.col("_d")))
+    placed = opened.withColumn("_from", F.coalesce(F.last("_opens", ignorenulls=True).over(order), F.col("valid_from")))
+    at = F.when(F.col("_d") == F.col("_from"), F.struct("_c", "_o"))
+    first = lambda a: F.min_by(f"_r.{a}", F.when(F.col(f"_r.{a}").isNotNull(), F.col("_d")))
+    versions = placed.groupBy("key", "_from").agg(
+        F.max(F.when(F.col("_d").isNull(), F.struct("valid_to", "capacity", "company", "attr_hash", "seed_capacity", "seed_company", "readings"))).alias("_old"),
+        F.collect_list("_r").alias("_readings"), first("capacity").alias("_capacity"), first("company").alias("_company"), F.max(at).alias("_at"),
+    )
+    end = F.coalesce(F.date_sub(F.lead("_from").over(key.orderBy("_from")), 1), F.lit(OPEN_END).cast("date"))
+    capacity, company = F.coalesce("_capacity", "_at._c"), F.coalesce("_company", "_at._o")
+    fresh = F.struct(end.alias("valid_to"), capacity.alias("capacity"), company.alias("company"), attribute_hash(capacity, company).alias("attr_hash"), F.col("_at._c").alias("seed_capacity"), F.col("_at._o").alias("seed_company"), F.col("_readings").alias("readings"))
+    return versions.select("key", F.col("_from").alias("valid_from"), F.coalesce("_old", fresh).alias("_v")).select("key", "valid_from", "_v.*")
+
+
+def attribute_hash(*attributes: Column) -> Column:
+    """The hash of a version's attributes; NULL is a value."""
+    return F.xxhash64(*[F.coalesce(a.cast("string"), F.lit("\0")) for a in attributes])
+
+
+def delivered_history(df: DataFrame, key: str, date: str, version: str, capacity: str, operator: str, tolerance: float) -> DataFrame:
+    """The history of a table of readings, its rows merged delivery by delivery: one delivery is what was loaded in one calendar year.
+
+    See ``merge_versions``.  The company of each spelling is found first (``company_numbers``), so that another spelling is no change.  The years
+    are those of the table (NULL versions come first); each merge is cut off by ``checkpoint()``.  Returns key (named as given),
+    ``valid_from``, ``valid_to``, ``capacity``, ``company`` (number within the key), ``attr_hash``.  An empty table gives no rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    numbers = company_numbers(df, key, operator).withColumnRenamed("name", "_operator")
+    cells = df.select(F.col(key).alias("key"), F.col(date).cast("date").alias("date"), F.col(version).cast("timestamp").alias("version"), F.col(capacity).cast("double").alias("capacity"), F.col(operator).alias("_operator"))
+    rows = cells.distinct().join(numbers, ["key", "_operator"], "left").select("key", "date", "version", "capacity", "company", F.coalesce(F.year("version"), F.lit(0)).alias("_year")).checkpoint()
+    years = sorted(r[0] for r in rows.select("_year").distinct().collect())  # a calendar
+    dimension = empty_dimension(df, key)
+    for y in years:
+        dimension = merge_versions(dimension, rows.where(F.col("_year") == y).drop("_year"), tolerance).checkpoint()
+    return dimension.select(F.col("key").alias(key), "valid_from", "valid_to", "capacity", "company", "attr_hash")
+
+
+def recomputed_history(df: DataFrame, key: str, date: str, version: str, capacity: str, operator: str, tolerance: float) -> DataFrame:
+    """The same from all readings at once: one delivery merged into an empty dimension."""
+    numbers = company_numbers(df, key, operator).withColumnRenamed("name", "_operator")
+    cells = df.select(F.col(key).alias("key"), F.col(date).cast("date").alias("date"), F.col(version).cast("timestamp").alias("version"), F.col(capacity).cast("double").alias("capacity"), F.col(operator).alias("_operator"))
+    rows = cells.join(numbers, ["key", "_operator"], "left").drop("_operator")
+    return merge_versions(empty_dimension(df, key), rows, tolerance).select(F.col("key").alias(key), "valid_from", "valid_to", "capacity", "company", "attr_hash")
 
 
 def scd2_merge(current: DataFrame, updates: DataFrame, key: str, attributes: list[str], date: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.functions import cnpj
 from sucrogas.operators.anomalies import implausible_readings
-from sucrogas.operators.history import monthly_versions
+from sucrogas.operators.history import delivered_history
 from sucrogas.operators.snapshots import snapshot_changes
 from sucrogas.operators.units import capacities_in_common_units, readings_in_common_units
 from sucrogas.session import table
@@ -64,7 +64,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of each plant's capacity and operator with their periods."""
-    v = monthly_versions(table(spark, sf_dir, MONTHLY), "plant_id", "date", "loaded_at", "cap_biometano_m3d", "operator", 0.01)
+    v = delivered_history(table(spark, sf_dir, MONTHLY), "plant_id", "date", "loaded_at", "cap_biometano_m3d", "operator", 0.01)
     return v.select("plant_id", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"))
 
 
