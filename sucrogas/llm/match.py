@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sucrogas.functions.names import core_match
-from sucrogas.llm.names_link import assignment
+from sucrogas.functions.names import assignment
 from sucrogas.session import ensure_checkpoint_dir
 
 #: Distinct neighbouring sort keys that are compared on either side.
@@ -72,26 +71,19 @@ def confidence(similarities: dict[str, Column]) -> Column:
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Field similarities and confidence of candidate pairs.
 
-    Needs ``core_a``/``core_b`` (core words), ``root_a``/``root_b`` (their classes), ``place_a``/``place_b``, ``uf_a``/``uf_b``,
+    Needs ``company_a``/``company_b`` (classes of names), ``place_a``/``place_b``, ``uf_a``/``uf_b``,
     ``cap_a`` (double) and ``caps_b`` (array of capacities the plant has had).  A NULL field is left
     out of the mean.
     """
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["s_name"] = [1.0 if ra == rb else core_match(ca or "", cb or "") for ra, rb, ca, cb in zip(b.root_a, b.root_b, b.core_a, b.core_b, strict=True)]
-            yield b
-
-    fields = pairs.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
-    named = pairs.mapInPandas(names, f"{fields}, s_name double") if pairs.columns else pairs
     closest = F.array_min(F.transform("caps_b", lambda c: F.abs(F.log(F.col("cap_a") / c))))
+    both = lambda c: F.when(F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull(), (F.col(f"{c}_a") == F.col(f"{c}_b")).cast("double"))
     s = {
-        "name": F.col("s_name"),
-        "place": F.when(F.col("place_a").isNotNull() & F.col("place_b").isNotNull(), (F.col("place_a") == F.col("place_b")).cast("double")),
-        "state": F.when(F.col("uf_a").isNotNull() & F.col("uf_b").isNotNull(), (F.col("uf_a") == F.col("uf_b")).cast("double")),
+        "name": both("company"),
+        "place": both("place"),
+        "state": both("uf"),
         "capacity": F.when((F.col("cap_a") > 0) & (F.size("caps_b") > 0), F.exp(-closest)),
     }
-    return named.select("*", *[v.alias(f"s_{k}") for k, v in s.items() if k != "name"]).withColumn("confidence", confidence({k: F.col(f"s_{k}") for k in s}))
+    return pairs.select("*", *[v.alias(f"s_{k}") for k, v in s.items()]).withColumn("confidence", confidence({k: F.col(f"s_{k}") for k in s}))
 
 
 def best_match(scored: DataFrame, left_id: str, right_id: str) -> DataFrame:
@@ -102,25 +94,32 @@ def best_match(scored: DataFrame, left_id: str, right_id: str) -> DataFrame:
 
 
 def one_to_one(scored: DataFrame, left_id: str, right_id: str, block: str) -> DataFrame:
-    """One-to-one assignment of highest total confidence within blocks.
+    """One-to-one assignment of highest total confidence within blocks: left id, right id, ``confidence``.
 
     ``block`` names a column that no match crosses (e.g. company and place); a block is solved exactly by
-    the Hungarian algorithm in one task and is as large as one company's plants in one place.
-    Pairs that are no candidates cannot be assigned.
+    the Hungarian algorithm and is as large as one company's plants in one place, so its pairs are read as one array.
+    Pairs that are no candidates cannot be assigned; of several rows of a pair the highest confidence counts; a NULL block is a block.
     """
+    best = scored.groupBy(block, left_id, right_id).agg(F.max("confidence").alias("confidence"))
+    blocks = best.groupBy(block).agg(F.collect_list(F.struct(F.col(left_id).alias("l"), F.col(right_id).alias("r"), F.col("confidence").alias("c"))).alias("_p")).select("_p")
 
-    def solve(b: pd.DataFrame) -> pd.DataFrame:
-        left, right = sorted(b[left_id].unique()), sorted(b[right_id].unique())
+    def solve(pairs: list) -> list[tuple]:
+        if len(pairs) == 1:
+            return [(pairs[0]["l"], pairs[0]["r"], pairs[0]["c"])]
+        left, right = sorted({p["l"] for p in pairs}), sorted({p["r"] for p in pairs})
         flip = len(left) > len(right)
         rows, cols = (right, left) if flip else (left, right)
-        cost = [[2.0] * len(cols) for _ in rows]
         at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-        for x, y, c in zip(b[left_id], b[right_id], b.confidence, strict=True):
-            r, k = (y, x) if flip else (x, y)
-            cost[at[r]][to[k]] = min(cost[at[r]][to[k]], 1 - c)
+        cost = [[2.0] * len(cols) for _ in rows]
+        for p in pairs:
+            r, k = (p["r"], p["l"]) if flip else (p["l"], p["r"])
+            cost[at[r]][to[k]] = 1 - p["c"]
         got = [(rows[i], cols[j], 1 - cost[i][j]) for i, j in enumerate(assignment(cost)) if j >= 0 and cost[i][j] <= 1]
-        out = [(y, x, c) if flip else (x, y, c) for x, y, c in got]
-        return pd.DataFrame(out, columns=[left_id, right_id, "confidence"]).astype({"confidence": float})
+        return [(y, x, c) if flip else (x, y, c) for x, y, c in got]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([t for pairs in b["_p"] for t in solve(list(pairs))], columns=[left_id, right_id, "confidence"]).astype({"confidence": float})
 
     kinds = dict(scored.dtypes)
-    return scored.select(block, left_id, right_id, "confidence").groupBy(block).applyInPandas(solve, f"{left_id} {kinds[left_id]}, {right_id} {kinds[right_id]}, confidence double")
+    return blocks.mapInPandas(run, f"{left_id} {kinds[left_id]}, {right_id} {kinds[right_id]}, confidence double")

@@ -3,133 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sucrogas.functions.names import CONNECTIVES, LEGAL, PHRASES, Places, core_match, deletes, generic, parse, parse_title, sectors_agree, stem, title_words, tokens
+from sucrogas.functions.names import deletes, tokens, vocabulary, write
+from sucrogas.llm.titles import Places, title_profiles, title_tokens
+from sucrogas.operators.vocabulary import Counts, learn
 from sucrogas.session import ensure_checkpoint_dir
 
-#: A gazetteer is a table of official places; beyond this size it would not be one and must not be sent to every task.
-MAX_PLACES = 100_000
-#: Least alignment of the business words of two names whose core words are near but not equal.
-MIN_ALIGNMENT = 0.5
+#: Least likeness of two own words whose names are compared.
+MIN_LIKENESS = 0.6
 MAX_ROUNDS = 20
 
 
-def gazetteer(places: DataFrame | None, column: str) -> Places:
-    """The place names as a lookup for tasks; its size is checked, because it is sent to all of them.
+def tokenised(names: DataFrame, titles: DataFrame | None, places: Places) -> DataFrame:
+    """One row per distinct non-empty string with its tokens (titles without places and project words).
 
-    Beyond ``MAX_PLACES`` distinct names a ValueError tells to pass a smaller table or none (titles
-    are then parsed without taking places out).
-    """
-    if places is None:
-        return Places([])
-    names = [r[0] for r in places.where(F.col(column).isNotNull()).select(column).distinct().limit(MAX_PLACES + 1).collect()]
-    if len(names) > MAX_PLACES:
-        raise ValueError(f"more than {MAX_PLACES} place names")
-    return Places(names)
-
-
-def assignment(cost: list[list[float]]) -> list[int]:
-    """The column for each row that minimises the total cost (Hungarian algorithm with potentials); rows <= columns."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, way, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
-        while match[j0]:
-            used[j0] = True
-            i0, delta, j1 = match[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = [-1] * n
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
-@lru_cache(maxsize=100_000)
-def business_words(text: str) -> tuple[str, ...]:
-    """The tokens of a name that are neither its core nor legal words nor connectives; initials stay."""
-    out = []
-    for w in tokens(text):
-        g = generic(w)
-        if g is None or w in CONNECTIVES or w.isdigit() or (g and all(x in LEGAL for x in g)):
-            continue
-        out.append(g[0] if len(g) == 1 and len(w) > 3 else w)
-    return tuple(out)
-
-
-@lru_cache(maxsize=200_000)
-def token_likeness(a: str, b: str) -> float:
-    """Likeness of two business words: equal 1, abbreviation 0.9, initial 0.8, else 0."""
-    if a == b:
-        return 1.0
-    short, long = sorted((a, b), key=len)
-    if long.startswith(short):
-        return 0.8 if len(short) == 1 else 0.9
-    if len(short) > 1 and len(short) <= 4 and long[0] == short[0] and _within(short, long):
-        return 0.7
-    return 0.0
-
-
-def _within(short: str, long: str) -> bool:
-    it = iter(long)
-    return all(c in it for c in short)
-
-
-def alignment(a: str, b: str) -> float:
-    """Share of the business words of the shorter name that the optimal assignment finds in the longer one.
-
-    Initials and abbreviations may stand for words, and joined initials ("GR") for several; a name
-    without business words agrees with any.
-    """
-    x, y = business_words(a), business_words(b)
-    if len(x) > len(y):
-        x, y = y, x
-    if not x:
-        return 1.0
-    spread = [t for w in x for t in (list(w) if len(w) <= 3 and not any(token_likeness(w, z) for z in y) else [w])]
-    spread = [t for t in spread if t not in "ed" or len(y) <= len(x)] or list(x)
-    if len(spread) > len(y):
-        spread, y = list(y), tuple(spread)
-    like = [[token_likeness(s, t) for t in y] for s in spread]
-    got = assignment([[1 - v for v in row] for row in like])
-    return sum(like[i][j] for i, j in enumerate(got) if j >= 0) / len(spread)
-
-
-def same_words(a: str, b: str) -> bool:
-    """Whether the business words of two names speak for one company."""
-    x, y = parse(a), parse(b)
-    if sectors_agree(x.sector, y.sector) and (x.sector or y.sector) and any(x.sector | y.sector <= p for p in PHRASES):
-        return True
-    return alignment(a, b) >= MIN_ALIGNMENT
-
-
-def parsed_names(names: DataFrame, titles: DataFrame | None, places: Places) -> DataFrame:
-    """One row per distinct non-empty string with its core word.
-
-    ``names`` and ``titles`` have one column ``name``.  A string found in both is read as a name.
-    Returns ``name``, ``core`` ('' if none), ``second`` (the core of a second company of a title, else
-    ''), ``n_sector`` and ``clean``, the text without places and project words.
+    ``names`` and ``titles`` have one column ``name``.  A string found in both is read as a name.  Returns ``name``, ``kind`` (0 name, 1 title), ``words``.
     """
     tagged = names.select("name", F.lit(0).alias("kind"))
     if titles is not None:
@@ -137,100 +29,136 @@ def parsed_names(names: DataFrame, titles: DataFrame | None, places: Places) ->
     distinct = tagged.where(F.col("name").isNotNull() & (F.trim("name") != "")).groupBy("name").agg(F.min("kind").alias("kind"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["words"] = [tokens(n) if k == 0 else title_tokens(n, places) for n, k in zip(b.name, b.kind, strict=True)]
+            yield b
+
+    return distinct.mapInPandas(run, "name string, kind int, words array<string>")
+
+
+def profiled(strings: DataFrame, common: Counts, total: int, places: Places) -> DataFrame:
+    """The profile of every string, two for a title that names two companies.
+
+    Returns ``name``, ``profile``, ``parts`` (companies named), ``letters`` (of its common words, how much it states).  Strings
+    without any word ("Ltda.") give no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = vocabulary(common, total)
         for b in batches:
             rows = []
             for name, kind in zip(b.name, b.kind, strict=True):
-                parsed, two = (parse(name), False) if kind == 0 else parse_title(name, places)
-                clean = name if kind == 0 else " ".join(title_words(name, places))
-                rows.append((name, parsed.core, parsed.others[0] if two else "", len(parsed.sector), clean))
-            yield pd.DataFrame(rows, columns=["name", "core", "second", "n_sector", "clean"])
+                found = [words.profile(name)] if kind == 0 else title_profiles(name, places, words)
+                rows += [(name, write(p), len(found), sum(len(u.text) for u in p if u.common)) for p in found if p]
+            yield pd.DataFrame(rows, columns=["name", "profile", "parts", "letters"])
 
-    return distinct.mapInPandas(run, "name string, core string, second string, n_sector int, clean string")
+    return strings.mapInPandas(run, "name string, profile string, parts int, letters int")
 
 
-def core_links(cores: DataFrame) -> DataFrame:
-    """For each core word the better-known core word it is a variant of, if any.
+def word_links(keyed: DataFrame, common: Counts, total: int) -> DataFrame:
+    """Pairs (both ways, and each with itself) of key words that are variants of each other: ``word``, ``other``.
 
-    ``cores``: ``core``, ``freq`` (names that carry it), ``sample`` (a name with the most business words).
-    The symmetric-delete neighbourhoods (up to two letters left out of the core, one of its stem) are
-    joined on equality, so words up to two errors apart, shortened words and words with a short ending in place of the last syllable meet without comparing all pairs.  Candidates are verified by the distance and by
-    the optimal alignment of the other words.  The parent is the best match among the words with
-    larger (frequency, word), so links form a forest.
+    The symmetric-delete neighbourhoods (up to two letters left out of the word, one of its stem) are joined on equality, so words up
+    to two errors apart, shortened words and words with another ending meet without comparing all pairs; how often a
+    word occurs plays no part.  Candidates are verified by distance.
     """
+    words = keyed.select("word").distinct()
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(common, total)
         for b in batches:
-            out = [(c, f, s, k) for c, f, s in zip(b.core, b.freq, b["sample"], strict=True) for k in deletes(c, 2) | deletes(stem(c), 1) if len(k) >= 4]
-            yield pd.DataFrame(out, columns=["core", "freq", "sample", "key"])
+            out = [(w, k) for w in b.word for k in deletes(w, 2) | deletes(v.stem(w)[0], 1) if len(k) >= 4]
+            yield pd.DataFrame(out, columns=["word", "key"])
 
-    index = cores.mapInPandas(keys, "core string, freq long, sample string, key string")
-    a = index.select(F.col("core").alias("a"), F.col("freq").alias("fa"), F.col("sample").alias("sa"), "key")
-    b = index.select(F.col("core").alias("b"), F.col("freq").alias("fb"), F.col("sample").alias("sb"), "key")
-    # A key shared by one core only meets nothing; the others are few per key, as cores are distinct words.
-    pairs = a.join(b, "key").where((F.col("fb") > F.col("fa")) | ((F.col("fb") == F.col("fa")) & (F.col("b") > F.col("a"))))
-    pairs = pairs.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("fa", "sa", "fb", "sb")])
+    index = words.mapInPandas(keys, "word string, key string")
+    near = index.join(index.select(F.col("word").alias("other"), "key"), "key").where("word < other").select("word", "other").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
+        v = vocabulary(common, total)
+        for b in batches:
+            yield b[[v.own_likeness(x, y) >= MIN_LIKENESS for x, y in zip(b.word, b.other, strict=True)]]
+
+    good = near.mapInPandas(verify, "word string, other string")
+    return good.unionByName(good.select(F.col("other").alias("word"), F.col("word").alias("other"))).unionByName(words.select("word", F.col("word").alias("other")))
+
+
+def profile_links(profiles: DataFrame, common: Counts, total: int) -> DataFrame:
+    """For each profile the fuller profile it is a variant of, if any: ``profile``, ``parent``.
+
+    ``profiles``: ``profile``, ``letters``, ``freq``.  Profiles meet if own words of theirs are variants of each other (profiles of common words
+    only: their weightiest word); every pair that meets is aligned word by word, also where the own words are equal.  The parent is the best scored
+    among the profiles with larger (letters, frequency, text), so a short form belongs to one fuller form and links form a forest.
+    """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(common, total)
+        for b in batches:
             out = []
-            for x, y, sx, fy, sy in zip(p.a, p.b, p.sa, p.fb, p.sb, strict=True):
-                m = core_match(x, y)
-                if m >= 0.6 and same_words(sx, sy):
-                    out.append((x, y, m + 0.05 * (len(business_words(sx)) > 0 and len(business_words(sy)) > 0), fy))
-            yield pd.DataFrame(out, columns=["a", "b", "score", "fb"])
+            for p, n, f in zip(b.profile, b.letters, b.freq, strict=True):
+                units = v.read(p)
+                own = {u.text for u in units if not u.common} or {max(units, key=lambda u: (u.weight, u.text)).text}
+                out += [(p, n, f, w) for w in own]
+            yield pd.DataFrame(out, columns=["profile", "letters", "freq", "word"])
+
+    keyed = profiles.mapInPandas(keys, "profile string, letters int, freq long, word string").checkpoint()
+    near = word_links(keyed, common, total)
+    a = keyed.select("word", F.struct("letters", "freq", "profile").alias("a"))
+    b = keyed.select(F.col("word").alias("other"), F.struct("letters", "freq", "profile").alias("b"))
+    # Distinct profiles of one company are few whatever its rows: spellings of common words are already one word here.
+    pairs = a.join(near, "word").join(b, "other").where("b > a").select("a", "b").distinct()
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary(common, total)
+        for p in batches:
+            p["score"] = [v.score(v.read(x), v.read(y)) for x, y in zip(p.x, p.y, strict=True)]
+            yield p[p.score > 0]
 
-    good = pairs.mapInPandas(verify, "a string, b string, score double, fb long")
-    return good.groupBy("a").agg(F.max_by("b", F.struct("score", "fb", "b")).alias("b")).select(F.col("a").alias("core"), F.col("b").alias("parent"))
+    flat = pairs.select(F.col("a.profile").alias("x"), F.col("b.profile").alias("y"), F.col("b.letters").alias("letters"), F.col("b.freq").alias("freq"))
+    good = flat.mapInPandas(score, "x string, y string, letters int, freq long, score double")
+    return good.groupBy(F.col("x").alias("profile")).agg(F.max_by("y", F.struct("score", "letters", "freq", "y")).alias("parent"))
 
 
-def roots(cores: DataFrame, links: DataFrame) -> DataFrame:
-    """Core words with the root of their tree of links, by pointer doubling.
+def roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Profiles with the root of their tree of links, by pointer doubling.
 
     Every round replaces each parent by its parent's parent, so the depth halves; the lineage is cut by
-    ``checkpoint()`` in the shared folder.  Returns ``core``, ``root``.
+    ``checkpoint()`` in the shared folder.  Returns ``profile``, ``root``.
     """
-    ensure_checkpoint_dir(cores.sparkSession)
-    state = cores.select("core").join(links, "core", "left").select("core", F.coalesce("parent", "core").alias("root")).checkpoint()
+    ensure_checkpoint_dir(nodes.sparkSession)
+    state = nodes.select("profile").join(links, "profile", "left").select("profile", F.coalesce("parent", "profile").alias("root")).checkpoint()
     for _ in range(MAX_ROUNDS):
-        up = state.where(F.col("core") != F.col("root")).select(F.col("core").alias("root"), F.col("root").alias("next"))
+        up = state.where(F.col("profile") != F.col("root")).select(F.col("profile").alias("root"), F.col("root").alias("next"))
         moved = state.join(up, "root", "left")
-        state = moved.select("core", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        state = moved.select("profile", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")).checkpoint()
         if state.where("moved").isEmpty():
-            return state.select("core", "root")
-        state = state.select("core", "root")
+            return state.select("profile", "root")
+        state = state.select("profile", "root")
     raise RuntimeError("the links are deeper than 2 ** MAX_ROUNDS")
 
 
-def name_classes(names: DataFrame, titles: DataFrame | None, places: Places) -> tuple[DataFrame, DataFrame]:
-    """Classes of spellings.
+def name_classes(names: DataFrame, titles: DataFrame | None, places: Places) -> DataFrame:
+    """Classes of spellings: ``name``, ``class``, ``parts``.
 
-    ``names``: company names, ``titles``: project titles that may hold a place and other words, both
-    with one column ``name``.  Returns two frames: ``name``, ``class`` for every string that names exactly one
-    company (titles of two companies and strings without a core word, such as "Ltda.", name none and are
-    left out; so are NULL and blank strings), and ``core``, ``root`` for all core words.
+    ``names``: company names, ``titles``: project titles that may hold a place and other words, both with one column ``name``.  One row per
+    distinct string and company it names; ``parts`` is 2 or more for titles that name several.  NULL, blank strings and strings without a
+    word of their own or a common one ("Ltda.") name none and have no row.  A class is called by the profile at its root.
     """
     ensure_checkpoint_dir(names.sparkSession)
-    parsed = parsed_names(names, titles, places).checkpoint()
-    both = parsed.where(F.col("core") != "").select("core", F.col("clean").alias("name"), "n_sector", (F.col("second") == "").alias("single"))
-    second = parsed.where(F.col("second") != "").select(F.col("second").alias("core"), "name", F.lit(-1).alias("n_sector"), F.lit(False).alias("single"))
-    cores = (
-        both.unionByName(second)
-        .groupBy("core")
-        .agg(F.sum(F.col("single").cast("long")).alias("freq"), F.max_by(F.when(F.col("single"), F.col("name")).otherwise(F.lit("")), F.struct("single", "n_sector", "name")).alias("sample"))
-        .checkpoint()
-    )
-    root = roots(cores, core_links(cores))
-    single = parsed.where(F.col("second") == "")
-    classed = single.where(F.col("core") != "").join(root, "core").select("name", F.col("root").alias("class"))
-    return classed, root
+    strings = tokenised(names, titles, places).checkpoint()
+    common, total = learn(strings, "name", "words")
+    parsed = profiled(strings, common, total, places).checkpoint()
+    profiles = parsed.groupBy("profile").agg(F.max("letters").alias("letters"), F.sum((F.col("parts") == 1).cast("long")).alias("freq"))
+    root = roots(profiles, profile_links(profiles, common, total))
+    return parsed.join(root, "profile").select("name", F.col("root").alias("class"), "parts").distinct()
 
 
 def variant_pairs(classes: DataFrame) -> DataFrame:
-    """All pairs of different strings of one class, the smaller first (by code point).
+    """All pairs of different strings that name one company only, the same, the smaller first (by code point).
 
     The result is as large as it is by definition; a class is as large as a company has spellings,
     whatever the number of rows that carry them.
     """
-    a = classes.select("class", F.col("name").alias("name_a"))
-    b = classes.select("class", F.col("name").alias("name_b"))
+    single = classes.where("parts = 1")
+    a = single.select("class", F.col("name").alias("name_a"))
+    b = single.select("class", F.col("name").alias("name_b"))
     return a.join(b, "class").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")

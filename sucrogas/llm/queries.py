@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sucrogas.llm.mixing import mix, mix_report
-from sucrogas.llm.names_link import gazetteer, name_classes, variant_pairs
+from sucrogas.llm.names_link import name_classes, variant_pairs
 from sucrogas.llm.packing import pack, packing_report
 from sucrogas.llm.projects import match_projects
 from sucrogas.llm.splitting import split_documents
+from sucrogas.llm.titles import gazetteer
 from sucrogas.llm.tokens import with_token_counts
 from sucrogas.session import ensure_checkpoint_dir, table
 
@@ -26,21 +27,28 @@ def company_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different strings that name one company."""
-    names, titles = company_names(spark, sf_dir)
-    classes, _ = name_classes(names, titles, gazetteer(table(spark, sf_dir, "municipalities"), "municipio"))
-    return variant_pairs(classes)
+    return variant_pairs(company_classes(spark, sf_dir))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Project rows with the plant they are about."""
-    names, _ = company_names(spark, sf_dir)
-    return match_projects(table(spark, sf_dir, PROJECTS), table(spark, sf_dir, SNAPSHOTS), names, table(spark, sf_dir, "municipalities")).select("id", "cnpj")
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every string with the class of the company it names (one row for each company, if it names several)."""
+    return company_classes(spark, sf_dir)
+
+
+def company_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of all company names and project titles."""
+    names, titles = company_names(spark, sf_dir)
+    return name_classes(names, titles, gazetteer(table(spark, sf_dir, "municipalities"), "municipio"))
 
 
 def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matches of ``p4_found`` with their confidence."""
-    names, _ = company_names(spark, sf_dir)
-    return match_projects(table(spark, sf_dir, PROJECTS), table(spark, sf_dir, SNAPSHOTS), names, table(spark, sf_dir, "municipalities"))
+    """Project rows with the plant they are about and the confidence of the match."""
+    return match_projects(table(spark, sf_dir, PROJECTS), table(spark, sf_dir, SNAPSHOTS), company_classes(spark, sf_dir), table(spark, sf_dir, "municipalities"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of ``p4_confidence`` without their confidence."""
+    return p4_confidence(spark, sf_dir).select("id", "cnpj")
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +102,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_confidence": p4_confidence,
     "p7_pack": p7_pack,

@@ -2,9 +2,15 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from sucrogas.functions.places import PlaceIndex, places_of, state_of
 from sucrogas.llm.match import one_to_one, slots, sorted_neighbourhood
+from sucrogas.llm.names_link import name_classes
+from sucrogas.llm.places import PlaceIndex, places_of, state_of
 from sucrogas.llm.projects import match_projects
+from sucrogas.llm.titles import gazetteer
+
+
+def classes_of(projects, snaps, muni):
+    return name_classes(snaps.select(F.col("razao_social").alias("name")), projects.select(F.col("project").alias("name")), gazetteer(muni, "municipio"))
 
 
 def test_slots_are_the_global_order(spark):
@@ -51,7 +57,7 @@ def test_projects(spark):
         (7, "Outracoisa", "Ararimbora", None, None, None, None, None, "x"),
     ]
     projects = spark.createDataFrame(rows, "id long, project string, location string, uf string, capacity_value double, capacity_unit string, capacity_basis string, notes string, core string")
-    names = snaps.select(F.col("razao_social").alias("name"))
+    names = classes_of(projects, snaps, muni)
     got = {r.id: r.cnpj.lstrip("0") for r in match_projects(projects, snaps, names, muni).collect()}
     assert got == {1: "1", 2: "3", 4: "4"}
     assert match_projects(projects.limit(0), snaps, names, muni).collect() == []
@@ -67,5 +73,5 @@ def test_unplaced_project_states_an_earlier_capacity(spark):
     projects = spark.createDataFrame(
         [(1, "Gojeguli", None, "SP", 1000.0, "m3/d", None, None)], "id long, project string, location string, uf string, capacity_value double, capacity_unit string, capacity_basis string, notes string"
     )
-    got = match_projects(projects, snaps, snaps.select(F.col("razao_social").alias("name")), muni).collect()
+    got = match_projects(projects, snaps, classes_of(projects, snaps, muni), muni).collect()
     assert [(r.id, r.cnpj.lstrip("0")) for r in got] == [(1, "1")]

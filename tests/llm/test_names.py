@@ -1,8 +1,11 @@
 import itertools
+import random
 
 import numpy as np
 
-from sucrogas.llm.names_link import alignment, assignment, core_links, gazetteer, name_classes, variant_pairs
+from sucrogas.functions.names import Vocabulary, assignment
+from sucrogas.llm.names_link import name_classes, variant_pairs, word_links
+from sucrogas.llm.titles import gazetteer, title_profiles
 
 PLACES = ["Monte Vererapó", "Ararimbora", "Porto Iricoara da Serra"]
 NAMES = [
@@ -13,24 +16,38 @@ NAMES = [
 TITLES = ["Biometano Monte Vererapó (Gojeguli)", "Jodulima Ararimbora", "JV Jodulima e Prafagrasa", "Jodulima + Gojeguli", "Projeto Ararimbora / Prafagrasa", "UPB Prafagra II", None]
 
 
+#: Other companies, from which the common words can be learned.
+OTHERS = [f"{''.join(random.Random(i * 31 + j).choices('bcdfglmnprstvz', k=5))}{i}x {line} {legal}" for j, line in enumerate(["Indústria e Comércio de Gás", "Laticínios e Biogás", "Energia Renovável", "Biometano"]) for i in range(12) for legal in ["Ltda.", "Eireli", "S.A."][i % 3 : i % 3 + 1]]
+
+
 def run(spark, names, titles):
     n = spark.createDataFrame([(x,) for x in names], "name string")
     t = spark.createDataFrame([(x,) for x in titles], "name string")
     p = gazetteer(spark.createDataFrame([(x,) for x in PLACES], "m string"), "m")
-    classes, _ = name_classes(n, t, p)
+    classes = name_classes(n, t, p)
     return {(r.name_a, r.name_b) for r in variant_pairs(classes).collect()}
 
 
 def test_pairs_are_those_within_companies(spark):
     groups = [NAMES[0:4] + [TITLES[0]], NAMES[4:7] + [TITLES[1]], NAMES[7:9] + [TITLES[4], TITLES[5]]]
     want = {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
-    assert run(spark, NAMES + NAMES, TITLES) == want
+    assert run(spark, NAMES + NAMES + OTHERS, TITLES) == want
 
 
 def test_two_slips_are_found_whatever_the_frequency(spark):
-    rows = [("prafagrasana", 40, "Prafagrasana Energia"), ("prafgraana", 9, "Prafgraana Energia"), ("prfagraasana", 1, "Prfagraasana Energia"), ("outracoisa", 40, "Outracoisa Energia")]
-    links = core_links(spark.createDataFrame(rows, "core string, freq long, sample string")).collect()
-    assert {(r.core, r.parent) for r in links} == {("prafgraana", "prafagrasana"), ("prfagraasana", "prafagrasana")}
+    """A word that 200 names carry and variants of it with two slips that 60 names carry."""
+    names = [f"Prafagrasana Energia {i}" for i in range(200)] + [f"Prafgraana Energia {i}" for i in range(60)] + ["Outracoisa Energia"]
+    words = spark.createDataFrame([("prafagrasana",), ("prafgraana",), ("prfagraasana",), ("outracoisa",)], "word string")
+    got = {(r.word, r.other) for r in word_links(words, (), 0).collect()}
+    assert ("prafgraana", "prafagrasana") in got and ("prfagraasana", "prafagrasana") in got and not any("outracoisa" in p and p[0] != p[1] for p in got)
+    classes = {r.name: r["class"] for r in name_classes(spark.createDataFrame([(n,) for n in names], "name string"), None, gazetteer(None, "")).collect()}
+    assert len({classes[n] for n in names[:-1]}) == 1 and classes[names[-1]] not in {classes[n] for n in names[:-1]}
+
+
+def test_equal_words_do_not_make_one_company(spark):
+    apart = [["Vale Verde Bioenergia Ltda", "Vale Verde Bioenergia S.A.", "VALE VERDE BIOENERGIA"], ["Vale Verde Laticinios SA"], ["Santa Rosa Bioenergia", "SANTA ROSA"], ["Santa Cruz Laticinios"], ["GÁS VERDE S.A."], ["BIOMETANO VERDE PAULINIA S.A."], ["CRI GEO BIOGAS S.A."]]
+    want = {tuple(sorted(p)) for g in apart for p in itertools.combinations(g, 2)}
+    assert run(spark, [n for g in apart for n in g], []) == want
 
 
 def test_empty(spark):
@@ -48,7 +65,19 @@ def test_assignment_is_optimal():
 
 
 def test_alignment_permits_initials_and_abbreviations():
-    assert alignment("X Latic. e Biog. Ltda", "X Laticínios e Biogás S.A.") > 0.8
-    assert alignment("X L.B. Ltda", "X Laticínios e Biogás S.A.") > 0.7
-    assert alignment("X Ltda", "X Laticínios e Biogás S.A.") == 1.0
-    assert alignment("X Energia Renovável", "X Laticínios e Biogás") < 0.5
+    v = Vocabulary({w: 100 for w in ("laticinios", "biogas", "energia", "renovavel")}, 5000)
+    left = lambda a, b: v.align(v.profile(a), v.profile(b)).lighter
+    assert left("Xalumi Latic. e Biog. Ltda", "Xalumi Laticínios e Biogás S.A.") == 0
+    assert left("Xalumi L.B. Ltda", "Xalumi Laticínios e Biogás S.A.") == 0 == left("Xalumi LB Ltda", "Xalumi Laticínios e Biogás S.A.")
+    assert left("Xalumi Ltda", "Xalumi Laticínios e Biogás S.A.") == 0
+    assert left("Xalumi Energia Renovável", "Xalumi Laticínios e Biogás") > 3
+
+
+def test_titles():
+    v = Vocabulary({w: 100 for w in ("biometano", "energia", "destilaria", "bioenergia")}, 5000)
+    p = gazetteer(None, "")
+    texts = lambda t: [" ".join(u.text for u in x) for x in title_profiles(t, p, v)]
+    assert texts("JV Jodulima e Prafagrasa") == ["jodulima", "prafagrasa"] == texts("Jodulima (with Prafagrasa)")
+    assert texts("Jodulima Destilaria e Bioenergia plant 3") == ["jodulima destilaria bioenergia"]
+    assert texts("Jodulima / Jodullima Energia") == ["jodulima jodulima energia"] or len(texts("Jodulima / Jodullima Energia")) == 1
+    assert texts(None) == texts("") == texts("Ltda. (expansion)") == []
