@@ -19,18 +19,28 @@ NEGATIVE, ABOVE_CAPACITY, CONSTANT_RUN, OUT_OF_SCALE, PERCENT_RANGE, PERCENT_MIS
 
 
 class Limits(NamedTuple):
-    """What counts as implausible; factors are against the source's own expected value
-    (``factor_near``: against its neighbouring readings, so that a shifted season is no spike)."""
+    """What counts as implausible.
+
+    ``spread_up`` and ``spread_down`` are the least standard deviations (log 10) of a source's normal behaviour upwards and
+    downwards: use may well fall to a tenth for a month, but does not double.  ``factor_near`` is against the neighbouring readings, so
+    that a shifted season is no spike.
+    """
 
     alpha: float = 0.05
-    factor_up: float = 2.0
+    spread_up: float = 0.09
+    spread_down: float = 0.44
     factor_near: float = 1.8
-    factor_down: float = 30.0
     run_months: int = 4
     percent_points: float = 10.0
     season: int = 12
 
 
+#: Readings beyond these factors of the source's level take no part in fitting season and trend.
+FIT_UP, FIT_DOWN = 2.0, 30.0
+#: Most cells (series x months) that are decomposed at once.
+CELLS = 400_000
+
+
 def student_quantile(p: float, df: np.ndarray) -> np.ndarray:
     """Quantile of Student's t by the expansion about the normal quantile (error below 1 % from df 5)."""
     z = NormalDist().inv_cdf(p)
@@ -47,6 +57,28 @@ def esd_limit(n: np.ndarray, i: np.ndarray, alpha: float) -> np.ndarray:
     return (left - 1) * t / np.sqrt((left - 2 + t**2) * left)
 
 
+def extreme(residual: np.ndarray, limits: Limits) -> np.ndarray:
+    """Outliers of each row of residuals by the generalised extreme studentised deviate test.
+
+    Deviations are taken from the median and studentised by a robust spread on their side (1.4826 x the median absolute deviation, at
+    least ``spread_up`` / ``spread_down``).  The deviations are ordered; the i-th is compared with the i-th critical value, and all up to
+    the last one beyond its critical value are outliers (at most half of the row).  NaN are no readings.
+    """
+    centre = _nanmedian(residual, 1)[:, None]
+    off = residual - centre
+    mad = 1.4826 * _nanmedian(np.abs(off), 1)[:, None]
+    deviation = np.where(np.isnan(off), -np.inf, np.abs(off) / np.where(off > 0, np.maximum(mad, limits.spread_up), np.maximum(mad, limits.spread_down)))
+    order = np.argsort(-deviation, axis=1, kind="stable")
+    ranked = np.take_along_axis(deviation, order, 1)
+    n = np.sum(~np.isnan(residual), axis=1)[:, None]
+    i = np.broadcast_to(np.arange(1, residual.shape[1] + 1), residual.shape)
+    beyond = (ranked > esd_limit(np.broadcast_to(n, i.shape).astype(float), i.astype(float), limits.alpha)) & (i <= np.maximum(n // 2, 1)) & (n >= 3)
+    last = np.where(beyond.any(axis=1), residual.shape[1] - np.argmax(beyond[:, ::-1], axis=1), 0)[:, None]
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, i, 1)
+    return rank <= last
+
+
 def _nanmedian(a: np.ndarray, axis: int) -> np.ndarray:
     """Median without NaN and without the warning for empty slices."""
     s = np.sort(a, axis=axis)
@@ -128,7 +160,7 @@ def find_implausible(time: np.ndarray, volume: np.ndarray, percent: np.ndarray,
         scale = np.where(np.isnan(scale) | (scale <= 0), 1.0, scale)
         y = np.log10(np.where(volume > 0, volume, np.nan) / scale)
         fit = np.where((y > 0) & ~np.isnan(middle), np.nan, y)
-        low, high, near = np.log10(limits.factor_down), np.log10(limits.factor_up), np.log10(limits.factor_near)
+        low, high, near = np.log10(FIT_DOWN), np.log10(FIT_UP), np.log10(limits.factor_near)
         # Runs in another unit may hold most of a short series: the level is taken from its upper half
         # where the series falls apart into two.
         typical = _nanmedian(fit, 1)
@@ -141,17 +173,12 @@ def find_implausible(time: np.ndarray, volume: np.ndarray, percent: np.ndarray,
             expected = np.where(np.isnan(expected), typical, expected)
             residual = y - expected
             fit = np.where((residual < high) & (residual > -low), y, np.nan)
-        centre = _nanmedian(residual, 1)[:, None]
-        spread = np.maximum(1.4826 * _nanmedian(np.abs(residual - centre), 1)[:, None], 1e-3)
-        n = np.sum(~np.isnan(residual), axis=1)
-        rank = np.argsort(np.argsort(-np.nan_to_num(np.abs(residual - centre)), axis=1), axis=1) + 1
-        steps = np.minimum(rank, np.maximum(1, n // 2)[:, None])
-        beyond = np.abs(residual - centre) > spread * esd_limit(np.broadcast_to(n[:, None], rank.shape).astype(float), steps.astype(float), limits.alpha)
-        down = residual < -low
+        beyond = extreme(residual, limits)
+        down = beyond & (residual < 0)
         usable = ~np.isnan(y) & ~constant & ~down & (y <= 0)
         neighbours = _neighbour_peak(y, usable, 2)
-        up = (residual > high) & ~(y - neighbours <= near)
-        reasons |= np.where(beyond & (up | down), OUT_OF_SCALE, 0)
+        up = beyond & (residual > 0) & ~(y - neighbours <= near)
+        reasons |= np.where(up | down, OUT_OF_SCALE, 0)
     return reasons.astype(np.int32), residual
 
 
@@ -163,13 +190,13 @@ def implausible_readings(
     Of the rows of one source and date the latest ``version`` is valid.  A reading is flagged if it
     is negative or above the capacity, part of a run of equal non-zero values in at least
     ``run_months`` consecutive months, out of scale with the source's own seasonal-trend
-    expectation (beyond the generalised ESD limit and beyond ``factor_up`` / ``factor_down``), or if the
+    expectation (an outlier of the generalised ESD test of its residuals, and if upwards also off its neighbours), or if the
     percentage is outside 0..100 or off the row's own volume and capacity.  Zeros are never out of
     scale.  A NULL capacity is estimated from the second capacity for scaling only; a NULL volume
     or percentage fails no check.  NULL sources or dates are ignored; an empty table gives none.
 
-    A source is read as one array of months (its length is the calendar's, not the data's); the
-    series of a batch are decomposed together as a matrix.  Returns source, date, ``reasons`` (bits), ``residual`` (log 10).
+    A source is read as one array of months (its length is the calendar's, not the data's); series of similar length
+    are decomposed together as a matrix of bounded size, in which long gaps are closed.  Returns source, date, ``reasons`` (bits), ``residual`` (log 10).
     """
     valid = latest(df.select(source, date, version, volume, percent, capacity, second_capacity), [source, date], version, [volume, percent, capacity, second_capacity])
     month = (F.year(date) * 12 + F.month(date) - 1).alias("t")
@@ -179,32 +206,59 @@ def implausible_readings(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 2000):
-                yield _flag(b.iloc[i : i + 2000], limits)
+            yield from _flag(b, limits)
 
     found = flat.mapInPandas(run, "source string, t int, reasons int, residual double")
     return found.select(F.col("source").alias(source), F.make_date(F.floor(F.col("t") / 12).cast("int"), F.col("t") % 12 + 1, F.lit(1)).alias(date), "reasons", "residual")
 
 
-def _flag(b: pd.DataFrame, limits: Limits) -> pd.DataFrame:
-    if not len(b):
-        return pd.DataFrame({"source": pd.Series(dtype=str), "t": pd.Series(dtype="int32"), "reasons": pd.Series(dtype="int32"), "residual": pd.Series(dtype=float)})
-    sizes = b.t.map(len).to_numpy()
-    t = np.concatenate(b.t.to_list()).astype(np.int64)
-    row = np.repeat(np.arange(len(b)), sizes)
-    start = int(t.min())
-    width = int(t.max()) - start + 1
+def closed_up(t: np.ndarray, season: int) -> np.ndarray:
+    """Columns for sorted times: from the season's phase of the first on, gaps of more than two seasons shortened by whole ones.
+
+    Running windows are shorter than a season, so readings on both sides of such a gap never meet and a wrong year costs no memory.
+    """
+    if not len(t):
+        return t
+    gap = np.diff(t)
+    gap = np.where(gap > 2 * season, season + gap % season, gap)
+    return np.concatenate([[t[0] % season], t[0] % season + np.cumsum(gap)]).astype(np.int64)
+
+
+def _flag(b: pd.DataFrame, limits: Limits) -> Iterator[pd.DataFrame]:
+    """Flags of a batch of series, in groups of similar length of at most ``CELLS`` cells (one series at least)."""
+    series = []
+    for n, t in enumerate(b.t):
+        t = np.asarray(t, dtype=np.int64)
+        order = np.argsort(t)
+        series.append((n, order, t[order], closed_up(t[order], limits.season)))
+    series.sort(key=lambda x: x[3][-1])
+    first = 0
+    while first < len(series):
+        last = first + 1
+        while last < len(series) and (last + 1 - first) * (series[last][3][-1] + 1) <= CELLS:
+            last += 1
+        yield _flag_group(b, series[first:last], limits)
+        first = last
+
+
+def _flag_group(b: pd.DataFrame, series: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], limits: Limits) -> pd.DataFrame:
+    width = int(series[-1][3][-1]) + 1
+    row = np.repeat(np.arange(len(series)), [len(s[3]) for s in series])
+    column = np.concatenate([s[3] for s in series])
+    when = np.zeros((len(series), width), dtype=np.int32)
+    when[row, column] = np.concatenate([s[2] for s in series])
 
     def grid(name: str) -> np.ndarray:
-        g = np.full((len(b), width), np.nan)
-        g[row, t - start] = np.concatenate([np.asarray(x, dtype=float) for x in b[name]])
+        g = np.full((len(series), width), np.nan)
+        g[row, column] = np.concatenate([np.asarray(b[name].iloc[n], dtype=float)[order] for n, order, _, _ in series])
         return g
 
     volume, percent, capacity, second = (grid(n) for n in "vpcd")
     with np.errstate(invalid="ignore", divide="ignore"):
         ratio = _nanmedian(capacity / np.where(second > 0, second, np.nan), 1)[:, None]
     scale = np.where(np.isnan(capacity), second * ratio, capacity)
-    time = np.broadcast_to(np.arange(start, start + width), volume.shape)
+    time = np.broadcast_to(np.arange(width), volume.shape)
     reasons, residual = find_implausible(time, volume, percent, capacity, scale, limits)
     r, c = np.nonzero(reasons)
-    return pd.DataFrame({"source": b.source.to_numpy()[r], "t": (c + start).astype("int32"), "reasons": reasons[r, c], "residual": residual[r, c]})
+    names = b.source.to_numpy()[[s[0] for s in series]]
+    return pd.DataFrame({"source": names[r], "t": when[r, c], "reasons": reasons[r, c], "residual": residual[r, c]})

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from sucrogas.session import ensure_checkpoint_dir
 
 
+#: Rows that one task ranks; the number of buckets follows from it.
+ROWS_PER_BUCKET = 250_000
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for ``spread_rank`` so that even if all rows are in one group a bucket holds about ``ROWS_PER_BUCKET``."""
+    return max(8, -(-rows // ROWS_PER_BUCKET))
+
+
 def spread_rank(df: DataFrame, group: list[str], order: Column, buckets: int, rank: str = "rank", weight: str | None = None, before: str = "before") -> DataFrame:
     """A rank from 0 (and the running sum of ``weight`` before each row) inside every group.
 

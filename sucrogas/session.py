@@ -21,15 +21,17 @@ def builder(app: str = "sucrogas", master: str | None = None) -> SparkSession.Bu
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's shared folder, else (tests) a temporary one.
+    """Make ``checkpoint()`` usable: the folder named in ``spark.checkpoint.dir``, which the executors of a cluster share.
 
-    The folder named in ``spark.checkpoint.dir`` always wins, because executors of a
-    cluster share it; a machine-local folder is only taken when the setting is absent.
+    Only a session that runs in one process (master ``local``) may leave the setting out and gets a temporary folder; anywhere
+    else a missing setting is an error, as a machine-local folder would lose what another executor wrote.
     """
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sucrogas-ckpt-"))
 
 
