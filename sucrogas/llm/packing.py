@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sucrogas.operators.ranks import spread_rank
+from sucrogas.operators.ranks import buckets_for, spread_rank
 
 #: Most classes; with the capacity, which is the length of the knapsack table, they bound the driver's work whatever the data.
 CLASSES = 384
@@ -31,9 +31,6 @@ GAP = 0.005
 ROUNDS = 8000
 #: A class's first price is its length to this power: above 1, long items, which are hard to place, come first.
 SLOPE = 1.05
-#: Parts a class is ranked in.
-BUCKETS = 32
-
 
 class Plan(NamedTuple):
     """Containers per configuration: class of each size, per class the slots with their containers, and the LP's lower bound for these classes."""
@@ -167,7 +164,7 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
     return Plan(class_of, table, first, rounds, bound)
 
 
-def pack(items: DataFrame, item: str, size: str, limits: list[tuple[str, int]], buckets: int = BUCKETS) -> DataFrame:
+def pack(items: DataFrame, item: str, size: str, limits: list[tuple[str, int]]) -> tuple[DataFrame, dict[str, Plan]]:
     """Containers for all items under each limit.
 
     ``items`` has one row per item with a non-negative size; ``limits`` are (name, capacity).  An item within the
@@ -175,7 +172,8 @@ def pack(items: DataFrame, item: str, size: str, limits: list[tuple[str, int]],
     item.  Items of size 0 take no room and get container -1; NULL sizes count as 0.  Equal items
     (repeated rows) are items of their own as long as their ids differ; of rows with one id each is packed.
 
-    Returns ``limit_id``, ``capacity``, item, ``piece`` (0 unless split), ``start`` (offset of the piece), ``size``, ``container``.
+    Returns the rows ``limit_id``, ``capacity``, item, ``piece`` (0 unless split), ``start`` (offset of the piece), ``size``, ``container``, and the
+    plan of each limit that has items to share containers, with the lower bound of its LP.
     """
     base = items.select(F.col(item), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
     cap = F.array(*[F.struct(F.lit(n).alias("limit_id"), F.lit(c).cast("long").alias("capacity")) for n, c in limits])
@@ -185,6 +183,8 @@ def pack(items: DataFrame, item: str, size: str, limits: list[tuple[str, int]],
         "limit_id", "capacity", item, "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.least(F.col("_size") - F.col("piece") * F.col("capacity"), F.col("capacity")).alias("size")
     )
     histogram = pieces.where("size > 0 AND size < capacity").groupBy("limit_id", "size").agg(F.count("*").alias("n")).toPandas()
+    sized = {n: buckets_for(int(histogram.loc[histogram["limit_id"] == n, "n"].sum())) for n, _ in limits}
+    buckets = max(sized.values(), default=8)
     plans = {}
     for name, capacity in limits:
         h = histogram[histogram["limit_id"] == name].sort_values("size")
@@ -217,18 +217,28 @@ def pack(items: DataFrame, item: str, size: str, limits: list[tuple[str, int]],
     shared = ranked.select("limit_id", "capacity", item, "piece", "start", "size", container_of("limit_id", "_k", "_rank").alias("container"))
     own = pieces.where("size = capacity OR size = 0").withColumn("container", F.when(F.col("size") == 0, F.lit(-1).cast("long")))
     # Full pieces need no plan: their containers are numbered behind the planned ones by a spread rank.
-    full = own.where("size > 0").drop("container").withColumn("_k", F.lit(0))
-    numbered = spread_rank(full, ["limit_id"], F.xxhash64(item, "piece"), buckets, rank="_rank")
+    full = own.where("size > 0").drop("container")
+    numbered = spread_rank(full, ["limit_id"], F.xxhash64(item, "piece"), buckets_for(full.count()), rank="_rank")
     after = F.create_map(*[x for n, (_, p) in plans.items() for x in (F.lit(n), F.lit(p.containers if p else 0).cast("long"))])
     alone = numbered.select("limit_id", "capacity", item, "piece", "start", "size", (after[F.col("limit_id")] + F.col("_rank")).alias("container"))
-    return shared.unionByName(alone).unionByName(own.where("size = 0").select("limit_id", "capacity", item, "piece", "start", "size", "container"))
+    rows = shared.unionByName(alone).unionByName(own.where("size = 0").select("limit_id", "capacity", item, "piece", "start", "size", "container"))
+    return rows, {n: p for n, (_, p) in plans.items() if p}
+
 
+def packing_report(packed: DataFrame, plans: dict[str, Plan]) -> DataFrame:
+    """Per limit: items, tokens, containers, their fill, the least number of containers the tokens need, and how the plan compares with its LP.
 
-def packing_report(packed: DataFrame) -> DataFrame:
-    """Per limit: items, tokens, containers, their fill and the least number of containers the tokens need."""
+    ``lp_bound`` is the lower bound of the configuration LP, ``planned`` the containers of the plan (full pieces stand alone beside it), ``lp_gap``
+    their relative distance, ``rounds`` the rounds of multiplicative weights.
+    """
     real = packed.where("container >= 0")
-    return real.groupBy("limit_id", "capacity").agg(
+    look = lambda f: F.create_map(*[x for n, p in plans.items() for x in (F.lit(n), F.lit(f(p)))])[F.col("limit_id")] if plans else F.lit(None)
+    report = real.groupBy("limit_id", "capacity").agg(
         F.count("*").alias("pieces"),
         F.sum("size").alias("tokens"),
         (F.max("container") + 1).alias("containers"),
     ).withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity"))).withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity")))
+    return report.withColumns({
+        "planned": look(lambda p: int(p.containers)).cast("long"), "lp_bound": look(lambda p: float(p.bound)).cast("double"),
+        "lp_gap": look(lambda p: float(p.containers / p.bound - 1)).cast("double"), "rounds": look(lambda p: int(p.rounds)).cast("long"),
+    })

@@ -17,6 +17,7 @@ from sucrogas.session import ensure_checkpoint_dir, table
 MONTHLY = "anp_monthly_sp_plants_from_pilar2b"
 SNAPSHOTS = "anp_biomethane_plants_latest_from_pilar2b"
 PROJECTS = "projects_capex_proposed_r07"
+MAX_LIMITS = 100
 
 
 def company_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -59,19 +60,26 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple[str, int, int]]:
-    """The limits of one purpose: a handful of rows of a fixed table."""
-    rows = table(spark, sf_dir, "token_limits").where(F.col("purpose") == purpose).select("limit_id", "capacity_tokens", "overlap_tokens").orderBy("limit_id").limit(100).collect()
+    """The limits of one purpose: a handful of rows of a fixed table, each of which costs a pass; more than ``MAX_LIMITS`` are refused."""
+    rows = table(spark, sf_dir, "token_limits").where(F.col("purpose") == purpose).select("limit_id", "capacity_tokens", "overlap_tokens").orderBy("limit_id").limit(MAX_LIMITS + 1).collect()
+    if len(rows) > MAX_LIMITS:
+        raise ValueError(f"more than {MAX_LIMITS} limits for {purpose}")
     return [(r[0], int(r[1]), int(r[2] or 0)) for r in rows]
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's container under each pack limit."""
+    return packed(spark, sf_dir)[0]
+
+
+def packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """The packing of ``p7_pack`` with its plans."""
     return pack(token_counts(spark, sf_dir), "doc_id", "tokens", [(n, c) for n, c, _ in limits(spark, sf_dir, "pack")])
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers and fill of each pack limit."""
-    return packing_report(p7_pack(spark, sf_dir))
+    return packing_report(*packed(spark, sf_dir))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
