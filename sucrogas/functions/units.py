@@ -135,24 +135,60 @@ _EXP = re.compile(r"\^?(-?\d)(?!\d|[.,]\d)")
 _NUM = re.compile(r"\d+(?:\.\d+)?")
 
 
+def _normal(text: str) -> str:
+    return re.sub(r"\s+", " ", text.translate(_SUPER)).strip()
+
+
 @lru_cache(maxsize=100_000)
 def parse_unit(text: str) -> tuple[Reading, ...]:
-    """All readings of a unit string, cheapest first; empty if it is no unit.
+    """All readings of a unit string of any length, cheapest first; empty if it is no unit.
 
     Dynamic programming over positions; a state is (in the denominator, dimension, factor,
-    offset, kinds) and keeps its lowest cost.
+    offset, kinds) and keeps its lowest cost.  A text that is no unit dies out after its first words.
     """
-    s = re.sub(r"\s+", " ", text.translate(_SUPER)).strip()
-    if not s or len(s) > 60:
-        return ()
-    states: list[dict[tuple, float]] = [{} for _ in range(len(s) + 1)]
+    s = _normal(text)
+    states = _segment(s)
+    return _readings(states[len(s)]) if s and len(states) > len(s) else ()
+
+
+@lru_cache(maxsize=20_000)
+def leading_units(text: str) -> tuple[tuple[str, tuple[Reading, ...]], ...]:
+    """The units a text begins with, each ending at a word's end, the longest first, with their readings."""
+    s = _normal(text)
+    states = _segment(s)
+    out = []
+    for m in re.finditer(r"\S(?=\s|$)", s):
+        unit = s[: m.end()].rstrip(".,)")
+        if unit and len(states) > len(unit) and (got := _readings(states[len(unit)])):
+            out.append((unit, got))
+    return tuple(reversed(out))
+
+
+def _readings(states: dict[tuple, float]) -> tuple[Reading, ...]:
+    """The readings that end in these states."""
+    best: dict[tuple, float] = {}
+    for (_, fresh, dim, f, off, kinds), cost in states.items():
+        real = tuple(k for k in kinds if k not in ("*", "of"))
+        if not fresh and real and (off == 0 or len(real) == 1):
+            key = (dim, f, off, real)
+            best[key] = min(cost, best.get(key, 99.0))
+    return tuple(sorted((Reading(*k, c) for k, c in best.items()), key=lambda r: (r.cost, r.dim, r.factor)))
+
+
+def _segment(s: str) -> list[dict[tuple, float]]:
+    """The states at every position that can be reached; the list ends where no state is left."""
+    states: list[dict[tuple, float]] = [{}]
     states[0][(False, False, NONE, Fraction(1), Fraction(0), ())] = 0.0
 
     def put(i: int, state: tuple, cost: float) -> None:
+        while len(states) <= i:
+            states.append({})
         if cost < states[i].get(state, 99.0):
             states[i][state] = cost
 
     for i in range(len(s)):
+        if i >= len(states):
+            break
         for (below, fresh, dim, f, off, kinds), cost in list(states[i].items()):
             if s[i] in _JOINS:
                 put(i + 1, (below, fresh, dim, f, off, kinds), cost + (0.0 if s[i] != "-" else 0.5))
@@ -200,13 +236,7 @@ def parse_unit(text: str) -> tuple[Reading, ...]:
                         if kind == "time" and not below and power == 1 and "volume" in kinds:
                             inverse = tuple(a - b for a, b in zip(dim, root.dim, strict=True))
                             put(end, (below, False, inverse, f / r.factor, off, (*kinds, kind)), total + 0.4)
-    best: dict[tuple, float] = {}
-    for (_, fresh, dim, f, off, kinds), cost in states[len(s)].items():
-        real = tuple(k for k in kinds if k not in ("*", "of"))
-        if not fresh and real and (off == 0 or len(real) == 1):
-            key = (dim, f, off, real)
-            best[key] = min(cost, best.get(key, 99.0))
-    return tuple(sorted((Reading(*k, c) for k, c in best.items()), key=lambda r: (r.cost, r.dim, r.factor)))
+    return states
 
 
 class Quantity(NamedTuple):
@@ -259,8 +289,13 @@ def prior_of(field: str | None) -> str | None:
 def choose(text: str, allowed: tuple[str, ...]) -> tuple[str, Reading] | None:
     """The cheapest reading of a unit with the dimension of an allowed quantity; quantities earlier in
     ``allowed`` are preferred by a small cost, ratios by the kinds they are made of by a larger one."""
+    return choose_reading(parse_unit(text), allowed)
+
+
+def choose_reading(readings: tuple[Reading, ...], allowed: tuple[str, ...]) -> tuple[str, Reading] | None:
+    """``choose`` for readings that are there already."""
     best: tuple[float, str, Reading] | None = None
-    for r in parse_unit(text):
+    for r in readings:
         for i, name in enumerate(allowed):
             q = QUANTITIES[name]
             if r.dim != q.dim:
@@ -343,13 +378,16 @@ def stated_unit(text: str | None, allowed: tuple[str, ...]) -> tuple[str, Readin
     return best and best[1:]
 
 
-_PT = re.compile(r"capacidade|projeto|produzir|valor|informado|total de|\bde\b|por |mês|/dia|/ano|hora|milh|\bmil\b", re.I)
-_EN = re.compile(r"capacity|sized|plant|nameplate|total of|\bof\b|per |thousand|million|\ba (?:day|year|month)|/day|stated", re.I)
+# Frequent short words of either language and the calendar and number words that stand beside quantities.
+_PT = frozenset("de do da dos das em no na nos nas para por com sem que se um uma os as ao pelo pela até sobre é são foi será entre cada total valor capacidade projeto dia dias mês meses ano anos hora horas mil milhão milhões milhares informado produzir produção não mais ou e".split())
+_EN = frozenset("of the in on at to for by with from per and or is are was will an each total value capacity project plant day days month months year years hour hours thousand million millions stated sized nameplate produce production not more about up".split())
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def language(clause: str) -> str | None:
     """Notation of a phrase by its words; "³" speaks for Portuguese where words do not decide."""
-    pt, en = len(_PT.findall(clause)), len(_EN.findall(clause))
+    words = [w.lower() for w in _WORD.findall(clause)]
+    pt, en = sum(w in _PT for w in words), sum(w in _EN for w in words)
     if pt != en:
         return "pt" if pt > en else "en"
     return "pt" if "³" in clause else "en" if "m3" in clause else None
@@ -363,10 +401,8 @@ def phrase_value(text: str | None, allowed: tuple[str, ...]) -> tuple[Fraction,
         for m in _NUMBER.finditer(clause):
             if m.start() and (clause[m.start() - 1].isalnum() or clause[m.start() - 1] in ".,^"):
                 continue
-            words = re.split(r"(?<=\S)(?=\s)", clause[m.end() :])
-            for k in range(min(len(words), 7), 0, -1):
-                unit = "".join(words[:k]).strip().rstrip(".,)")
-                hit = choose(unit, allowed) if unit else None
+            for _, readings in leading_units(clause[m.end() :]):
+                hit = choose_reading(readings, allowed)
                 if hit:
                     value = number(m.group(), language(clause))
                     if value is not None:

@@ -27,9 +27,11 @@ def _row(record: object, hit: tuple[Fraction, str, Reading] | None) -> tuple | N
     v = convert(value, reading, quantity)
     milli = v * 1000
     whole = int(abs(milli) + Fraction(1, 2)) * (1 if milli >= 0 else -1)
-    if abs(whole) >= 2**63:
-        return None
-    return (str(record), quantity, QUANTITIES[quantity].unit, float(v), whole)
+    try:
+        as_float = float(v)
+    except OverflowError:
+        as_float = float("inf") if v > 0 else float("-inf")
+    return (str(record), quantity, QUANTITIES[quantity].unit, as_float, whole if abs(whole) < 2**63 else None)
 
 
 def reading_value(central: str | None, unit: str | None, field: str | None, texts: list[str | None]) -> tuple[Fraction, str, Reading] | None:
@@ -83,7 +85,7 @@ def readings_in_common_units(df: DataFrame, record: str, central: str, unit: str
 
     One row per record whose ``central`` holds exactly one number and whose unit is stated anywhere in
     the row and has a fixed relation to the common unit of the field's quantity (fields without a
-    prior may take any quantity).  No row for NULL, empty or wordy values, ranges, pairs, unknown
+    prior may take any quantity).  A value whose thousandths do not fit a long has ``value_milli`` NULL.  No row for NULL, empty or wordy values, ranges, pairs, unknown
     units; repeated records give one row each (copies stay copies).  Embarrassingly parallel: no
     shuffle; parses are cached per distinct string in each worker.
     """
@@ -96,7 +98,7 @@ def readings_in_common_units(df: DataFrame, record: str, central: str, unit: str
                 row = _row(r, reading_value(_text(c), _text(u), _text(f), [_text(t) for t in ts])) if r is not None else None
                 if row:
                     out.append(row)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield _frame(out)
 
     # Positions instead of names: extra or clashing column names of the input do not matter.
     flat = df.select(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(cols)])
@@ -121,12 +123,17 @@ def capacities_in_common_units(df: DataFrame, record: str, value: str, unit: str
                 row = _row(r, capacity_value(number_, _text(u), [_text(t) for t in ts])) if r is not None else None
                 if row:
                     out.append(row)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield _frame(out)
 
     flat = df.select(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(cols)])
     return flat.mapInPandas(lambda it: run(_by_position(it)), SCHEMA)
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+    return out.assign(value_milli=pd.array([r[4] for r in rows], dtype="Int64"))
+
+
 def _by_position(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         b.columns = range(b.shape[1])

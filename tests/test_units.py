@@ -61,3 +61,21 @@ def test_frames_with_nulls_copies_and_clashing_names(spark):
     assert readings_in_common_units(df.limit(0), "id", "central", "unit", "parameter", ["notes"]).collect() == []
     caps = spark.createDataFrame([(1, 2.0, "MW", None), (2, float("nan"), None, "x" * 100_000)], "id long, v double, u string, n string")
     assert [(r.record_id, r.value_milli) for r in capacities_in_common_units(caps, "id", "v", "u", ["n"]).collect()] == [("1", 2_000_000)]
+
+
+def test_nothing_is_cut_off(spark):
+    long_unit = "milhões de metros cúbicos".replace("metros cúbicos", "m3") + " " * 20 + "de  biometano" + " " * 20 + "por    ano"
+    assert len(long_unit) > 60
+    name, reading = choose(long_unit, ("gas flow",))
+    assert convert(Fraction(1), reading, name) == Fraction(10**6, 365)
+    hit = capacity_value(None, None, ["capacity of 3 million m3 biomethane gas CH4 gas CH4 biomethane gas CH4 per year"])
+    assert hit and convert(hit[0], hit[2], hit[1]) == Fraction(3 * 10**6, 365)
+    df = spark.createDataFrame([("a", "9" * 30, "g/L", "Stillage COD", None), ("b", "9" * 400, "g/L", "Stillage COD", None), ("c", "1", "k" * 5000, "Stillage COD", None)], "id string, central string, unit string, parameter string, notes string")
+    got = {r.record_id: (r.value, r.value_milli) for r in readings_in_common_units(df, "id", "central", "unit", "parameter", ["notes"]).collect()}
+    assert got == {"a": (1e33, None), "b": (float("inf"), None)}
+
+
+def test_notation_follows_the_language():
+    from sucrogas.functions.units import language
+
+    assert language("a unidade vai produzir cerca de 2.183 m3 por dia") == "pt" and language("the unit will produce about 2,183 m3 per day") == "en" and language("2.183 Nm³/d") == "pt"
