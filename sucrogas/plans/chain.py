@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sucrogas.operators import economics, process, supply
-from sucrogas.session import table
+from sucrogas.session import small_table, table
 
 COEFFICIENTS = {"ethanol_l_per_t": 81.0, "vinasse_l_per_l": 12.0, "cake_kg_per_t": 37.0, "straw_kg_per_t": 140.0, "straw_recoverable": 0.5, "straw_ts": 0.85}
 TO_AD = {"vinasse": 1.0, "cake": 1.0, "straw": 0.2}
@@ -52,7 +52,7 @@ def feed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substrates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SUBSTRATES, SUBSTRATE_SCHEMA)
+    return small_table(spark, SUBSTRATES, SUBSTRATE_SCHEMA)
 
 
 def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,19 +65,17 @@ def plant_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process.digester_volume(loads(spark, sf_dir), KEYS, OLR_MAX, HRT_MIN)
+def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return process.with_digester(loads(spark, sf_dir), KEYS, OLR_MAX, HRT_MIN)
 
 
 def digester_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes(spark, sf_dir).select(*KEYS, F.round("digester_m3", 6).alias("digester_m3"))
+    return sized(spark, sf_dir).groupBy(*KEYS).agg(F.round(F.max("digester_m3"), 6).alias("digester_m3"))
 
 
 def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    design = volumes(spark, sf_dir).withColumn("nameplate", F.col("digester_m3") * 0.8)
-    return process.mass_balance(
-        feed(spark, sf_dir), loads(spark, sf_dir), design, substrates(spark), KEYS, nameplate="nameplate", x_ch4=X_CH4, recovery=RECOVERY, bmp_fullscale=FULLSCALE
-    )
+    months = process.with_gas(sized(spark, sf_dir), x_ch4=X_CH4, bmp_fullscale=FULLSCALE).withColumn("nameplate", F.col("digester_m3") * 0.8)
+    return process.mass_balance(months, nameplate="nameplate", recovery=RECOVERY)
 
 
 BALANCE_COLUMNS = ("olr", "hrt_d", "ch4_nm3", "biogas_nm3", "potential_nm3", "biomethane_nm3", "curtailed_nm3", "biomethane_nm3_d", "capacity_factor")

@@ -57,30 +57,6 @@ def exclusion_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.closure(edges, p.where("p_size = 7").select(F.col("p_partkey").alias("node")))
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    f = ["yield", "ratio", "cake"]
-    rows = [(t, s, *x) for t, s, x in sensitivity.trajectories(3, 10, 4, 5)]
-    runs = spark.createDataFrame(rows, "trajectory int, step int, " + ", ".join(f"{c} double" for c in f))
-    # The chain's methane per tonne of cane with each factor between its low and high value.
-    y = (70 + 20 * F.col("yield")) * (10 + 5 * F.col("ratio")) * 6.3 / 1000 + (30 + 10 * F.col("cake")) * 38.73 / 1000
-    return runs.withColumn("y", y)
-
-
-def morris_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = sensitivity.elementary_effects(_runs(spark), ["yield", "ratio", "cake"], "y")
-    return m.select("factor", *[F.round(c, 9).alias(c) for c in ("mu", "mu_star", "sigma")], "n", "rank")
-
-
-def elasticities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elasticity of revenue per supplier when price or discount moves by 1 %."""
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_discount")
-    y = lambda p, d: F.sum(F.col("l_extendedprice") * p * (1 - F.col("l_discount") * d))
-    g = li.groupBy("l_suppkey").agg(y(1.0, 1.0).alias("y"), *[y(1 + s * 0.01, 1.0).alias(f"price_{n}") for s, n in ((1, "up"), (-1, "down"))], *[y(1.0, 1 + s * 0.01).alias(f"discount_{n}") for s, n in ((1, "up"), (-1, "down"))])
-    moved = g.select("l_suppkey", F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.lit(s).alias("sign"), F.col(f"{p}_{n}").alias("y")) for p in ("price", "discount") for s, n in ((1, "up"), (-1, "down"))])).alias("_m")).select("l_suppkey", "_m.*")
-    e = sensitivity.elasticities(g.select("l_suppkey", "y"), moved, "l_suppkey", 0.01)
-    return e.select("l_suppkey", "param", "sign", F.round("elasticity", 6).alias("elasticity"))
-
-
 def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _params(spark, sf_dir).select("id", F.col("central_value").alias("central"), F.col("low_value").alias("low"), F.col("high_value").alias("high"), "confidence", "page", "quote", "parameter").distinct()
     pr = p.select("id", (F.length("parameter") % 7).alias("priority"))
@@ -186,7 +162,6 @@ def argmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P = "p AS (SELECT DISTINCT * FROM parameters)"
-_RUN_ROWS = ", ".join(f"({t}, {s}, " + ", ".join(f"{v!r}::DOUBLE" for v in x) + ")" for t, s, x in sensitivity.trajectories(3, 10, 4, 5))
 _PAGES = """pg0 AS (SELECT doc_id, string_split(text, chr(12)) AS a FROM documents WHERE text IS NOT NULL), pg1 AS (SELECT doc_id, CASE WHEN len(a) > 1 AND trim(a[-1]) = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM pg0),
  pg AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS page, unnest(a) AS page_text FROM pg1)"""
 _LINES = _PAGES + r""", ln0 AS (SELECT doc_id, page, regexp_split_to_array(page_text, '\r\n|\n|\r') AS b FROM pg), ln AS (SELECT doc_id, page, unnest(range(1, len(b) + 1)) AS line, unnest(b) AS line_text FROM ln0)"""
@@ -195,7 +170,7 @@ _DIG = lambda i: f"substr(k, {i}, 1)::INT"
 _S1 = " + ".join(f"{_DIG(i + 1)} * {w}" for i, w in enumerate(cnpj.WEIGHTS_1))
 _S2 = " + ".join(f"{_DIG(i + 1)} * {w}" for i, w in enumerate(cnpj.WEIGHTS_2[:12]))
 QUERIES = {f.__name__: f for f in (
-    param_issues, factor_space, duplicate_ids, dangling_parts, value_conflicts, crosstab_totals, document_crosstab, exclusion_closure, morris_indices, elasticities, worklist, cnpj_checks, br_numbers,
+    param_issues, factor_space, duplicate_ids, dangling_parts, value_conflicts, crosstab_totals, document_crosstab, exclusion_closure, worklist, cnpj_checks, br_numbers,
     name_keys, value_pairs, validators, month_functions, document_pages, section_lines, table_rows, page_context, quote_checks, plausibility, quantiles, argmax_rows,
 )}
 SQL = {
@@ -218,14 +193,6 @@ SQL = {
     "document_crosstab": "WITH l AS (SELECT coalesce(source, 'missing') AS r, coalesce(lang, 'missing') AS c FROM documents) SELECT coalesce(r, 'total') AS row_label, coalesce(c, 'total') AS column_label, count(*) AS n FROM l GROUP BY CUBE (r, c)",
     "exclusion_closure": """WITH RECURSIVE r AS (SELECT p_partkey AS node, 0 AS steps FROM part WHERE p_size = 7 UNION SELECT p.p_partkey, r.steps + 1 FROM r JOIN part p ON p.p_partkey // 3 = r.node AND p.p_partkey > 0)
         SELECT node, min(steps) AS steps FROM r GROUP BY 1""",
-    "morris_indices": f"""WITH r(trajectory, step, a, b, c) AS (VALUES {_RUN_ROWS}), y AS (SELECT *, (70 + 20 * a) * (10 + 5 * b) * 6.3e0 / 1000 + (30 + 10 * c) * 38.73e0 / 1000 AS y FROM r),
-        d AS (SELECT a - lag(a) OVER w AS da, b - lag(b) OVER w AS db, c - lag(c) OVER w AS dc, y - lag(y) OVER w AS dy FROM y WINDOW w AS (PARTITION BY trajectory ORDER BY step)),
-        e AS (SELECT 'yield' AS factor, dy / da AS ee FROM d WHERE abs(da) > 1e-9 UNION ALL SELECT 'ratio', dy / db FROM d WHERE abs(db) > 1e-9 UNION ALL SELECT 'cake', dy / dc FROM d WHERE abs(dc) > 1e-9)
-        SELECT factor, round(avg(ee), 9) AS mu, round(avg(abs(ee)), 9) AS mu_star, round(stddev_samp(ee), 9) AS sigma, count(*) AS n, rank() OVER (ORDER BY avg(abs(ee)) DESC) AS rank FROM e GROUP BY 1""",
-    "elasticities": """WITH g AS (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS y, sum(l_extendedprice * 1.01e0 * (1 - l_discount)) AS pu, sum(l_extendedprice * 0.99e0 * (1 - l_discount)) AS pd,
-        sum(l_extendedprice * (1 - l_discount * 1.01e0)) AS du, sum(l_extendedprice * (1 - l_discount * 0.99e0)) AS dd FROM lineitem GROUP BY 1),
-        m AS (SELECT l_suppkey, y, 'price' AS param, 1 AS sign, pu AS z FROM g UNION ALL SELECT l_suppkey, y, 'price', -1, pd FROM g UNION ALL SELECT l_suppkey, y, 'discount', 1, du FROM g UNION ALL SELECT l_suppkey, y, 'discount', -1, dd FROM g)
-        SELECT l_suppkey, param, sign, round((z - y) / y / (sign * 0.01e0), 6) AS elasticity FROM m""",
     "worklist": """WITH p AS (SELECT DISTINCT id, central_value AS ce, low_value AS lo, high_value AS hi, confidence, page, quote, parameter FROM parameters), r AS (SELECT id, string_agg(DISTINCT source, ';' ORDER BY source) AS refs, count(DISTINCT source) AS n FROM parameters WHERE source IS NOT NULL GROUP BY 1),
         x AS (SELECT p.*, CASE WHEN ce IS NULL THEN 'no central value' WHEN lo IS NULL OR hi IS NULL THEN 'no range' WHEN lo > hi THEN 'range is inverted' WHEN lo = hi THEN 'range is empty' WHEN ce < lo OR ce > hi THEN 'central value outside its range' END AS why FROM p)
         SELECT x.id, length(parameter) % 7 AS priority, refs, coalesce(n, 0) AS n_sources, CASE WHEN confidence = 'V' THEN 'none: verified' WHEN page IS NOT NULL AND quote IS NOT NULL THEN 'check the quoted page' WHEN coalesce(n, 0) = 0 THEN 'find a source'

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,6 +36,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sucrogas-ckpt-"))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows as an expression of the plan, so that its size is known and it is sent along with a join."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    cells = lambda row: F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)])
+    if not rows:
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(F.explode(F.array(*[cells(r) for r in rows])).alias("_r")).select("_r.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,9 +17,9 @@ def test_reference_case(spark):
     feed = supply.to_feed(res, chain.KEYS, 1.0)
     sub = chain.substrates(spark)
     loads = process.monthly_loads(feed, sub, chain.KEYS)
-    vol = process.digester_volume(loads, chain.KEYS, 3.0, 30.0)
     peak = 7.48e6 * 1.0 / 8 / 30
-    b = process.mass_balance(feed, loads, vol.withColumn("cap", F.lit(1e9)), sub, chain.KEYS, nameplate="cap", x_ch4=0.6, recovery=0.99, bmp_fullscale=0.85)
+    months = process.with_gas(process.with_digester(loads, chain.KEYS, 3.0, 30.0), x_ch4=0.6, bmp_fullscale=0.85)
+    b = process.mass_balance(months, nameplate=1e9, recovery=0.99)
     r = b.agg(F.sum("biomethane_nm3").alias("a"), F.max("biomethane_nm3_d").alias("d")).first()
     assert r.a == pytest.approx(7.48e6, rel=2e-3) and r.d == pytest.approx(peak, rel=2e-3)
     assert r.a / (r.d * 365) == pytest.approx(0.658, abs=1e-3)
@@ -27,10 +27,10 @@ def test_reference_case(spark):
     assert cost.c == pytest.approx(1.98, abs=0.01) and cost.f == pytest.approx(0.117460, abs=1e-6)
 
 
-def test_refusals():
+def test_refusals(spark):
     for bad in ({13: 1.0}, {1: -0.5, 2: 1.5}, {1: 0.5}):
         with pytest.raises(ValueError):
-            supply.check_profile(bad)
+            supply.season_months(F.lit(2024), bad)
 
 
 def test_storage_conserves_mass(spark):
