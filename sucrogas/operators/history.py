@@ -72,39 +72,40 @@ def merge_versions(current: DataFrame, delivery: DataFrame, tolerance: float) ->
     The attribute hash of each reading is compared with that of the version it follows: an equal hash confirms the version, another one closes
     it the day before and opens a new one.  Before the hash is taken, a capacity within ``tolerance`` of the last stated one is replaced by that
     one, and so is a NULL attribute.  Closed history from before a key's first delivered date passes through untouched; the versions
-    that the delivery reaches are opened again.  Everything is done on one partitioning by key; a key is as
+    that the delivery reaches are opened again.  All comparisons are made on one partitioning by key; a key is as
     large as its calendar.  NULL keys and dates are ignored; an empty delivery changes nothing.
     """
     reading = F.struct("date", F.col("version").cast("timestamp").alias("version"), F.col("capacity").cast("double").alias("capacity"), F.col("company").cast("int").alias("company"))
-    given = delivery.where(F.col("key").isNotNull() & F.col("date").isNotNull()).select("key", F.array(reading).alias("readings"), F.col("date").alias("_given"))
+    given = delivery.where(F.col("key").isNotNull() & F.col("date").isNotNull()).select("key", reading.alias("_r"), F.lit(None).cast("struct<valid_from:date,c:double,o:int>").alias("_s"))
+    first = given.groupBy("key").agg(F.min("_r.date").alias("_first"))
+    known = current.join(first, "key", "left").withColumn("_reached", F.coalesce(F.col("valid_to") >= F.date_sub("_first", 1), F.lit(False)))
+    untouched = known.where("NOT _reached").select(*current.columns)
+    seed = F.struct("valid_from", F.col("seed_capacity").alias("c"), F.col("seed_company").alias("o"))
+    opened = known.where("_reached").select("key", F.explode("readings").alias("_r"), seed.alias("_s"))
+    rows = opened.unionByName(given).withColumn("_d", F.col("_r.date"))
+
     key = Window.partitionBy("key")
-    both = current.withColumn("_given", F.lit(None).cast("date")).unionByName(given, allowMissingColumns=True).withColumn("_first", F.min("_given").over(key))
-    reached = F.col("_given").isNotNull() | F.coalesce(F.col("valid_to") >= F.date_sub("_first", 1), F.lit(False))
-    seed = F.min(F.when(reached & F.col("valid_from").isNotNull(), F.struct("valid_from", "seed_capacity", "seed_company"))).over(key)
-    rows = both.withColumn("_seed", seed).withColumn("_r", F.explode_outer(F.when(reached, F.col("readings")))).withColumn("_d", F.col("_r.date"))
     newest = F.row_number().over(Window.partitionBy("key", "_d").orderBy(F.desc("_r")))
-    valid = rows.withColumn("_n", newest).where(F.col("_d").isNull() | (F.col("_n") == 1))
-
-    order = Window.partitionBy("key").orderBy("_d")
+    valid = rows.withColumn("_seed", F.min("_s").over(key)).withColumn("_n", newest).where("_n = 1").drop("_n", "_s")
+    order = key.orderBy("_d")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda a: F.coalesce(F.last(f"_r.{a}", ignorenulls=True).over(before), F.col(f"_seed.seed_{a}"))
     c, o = F.col("_r.capacity"), F.col("_r.company")
-    stated = valid.withColumns({"_c": last("capacity"), "_o": last("company"), "_start": F.min("_d").over(key)})
+    last = lambda a, seed: F.coalesce(F.last(a, ignorenulls=True).over(before), F.col(seed))
+    stated = valid.withColumns({"_c": last(c, "_seed.c"), "_o": last(o, "_seed.o"), "_start": F.row_number().over(order) == 1})
     new_c = F.when(F.abs(c - F.col("_c")) > tolerance, c).otherwise(F.col("_c"))
     new_o = F.when(o != F.col("_o"), o).otherwise(F.col("_o"))
     differs = attribute_hash(new_c, new_o) != attribute_hash(F.col("_c"), F.col("_o"))
-    opened = stated.withColumn("_opens", F.when(differs | (F.col("_d") == F.col("_start")), F.col("_d")))
-    placed = opened.withColumn("_from", F.coalesce(F.last("_opens", ignorenulls=True).over(order), F.col("valid_from")))
-    at = F.when(F.col("_d") == F.col("_from"), F.struct("_c", "_o"))
-    first = lambda a: F.min_by(f"_r.{a}", F.when(F.col(f"_r.{a}").isNotNull(), F.col("_d")))
-    versions = placed.groupBy("key", "_from").agg(
-        F.max(F.when(F.col("_d").isNull(), F.struct("valid_to", "capacity", "company", "attr_hash", "seed_capacity", "seed_company", "readings"))).alias("_old"),
-        F.collect_list("_r").alias("_readings"), first("capacity").alias("_capacity"), first("company").alias("_company"), F.max(at).alias("_at"),
-    )
-    end = F.coalesce(F.date_sub(F.lead("_from").over(key.orderBy("_from")), 1), F.lit(OPEN_END).cast("date"))
+    placed = stated.withColumn("_from", F.last(F.when(differs | F.col("_start"), F.col("_d")), ignorenulls=True).over(order))
+    stated_first = lambda a: F.min_by(f"_r.{a}", F.when(F.col(f"_r.{a}").isNotNull(), F.col("_d")))
+    versions = placed.groupBy("key", F.col("_from").alias("valid_from")).agg(
+        F.collect_list("_r").alias("readings"), stated_first("capacity").alias("_capacity"), stated_first("company").alias("_company"), F.max(F.when(F.col("_d") == F.col("_from"), F.struct("_c", "_o"))).alias("_at")
+    )
+    end = F.coalesce(F.date_sub(F.lead("valid_from").over(key.orderBy("valid_from")), 1), F.lit(OPEN_END).cast("date"))
     capacity, company = F.coalesce("_capacity", "_at._c"), F.coalesce("_company", "_at._o")
-    fresh = F.struct(end.alias("valid_to"), capacity.alias("capacity"), company.alias("company"), attribute_hash(capacity, company).alias("attr_hash"), F.col("_at._c").alias("seed_capacity"), F.col("_at._o").alias("seed_company"), F.col("_readings").alias("readings"))
-    return versions.select("key", F.col("_from").alias("valid_from"), F.coalesce("_old", fresh).alias("_v")).select("key", "valid_from", "_v.*")
+    fresh = versions.select(
+        "key", "valid_from", end.alias("valid_to"), capacity.alias("capacity"), company.alias("company"), attribute_hash(capacity, company).alias("attr_hash"), F.col("_at._c").alias("seed_capacity"), F.col("_at._o").alias("seed_company"), "readings"
+    )
+    return untouched.unionByName(fresh)
 
 
 def attribute_hash(*attributes: Column) -> Column:
@@ -122,7 +123,8 @@ def delivered_history(df: DataFrame, key: str, date: str, version: str, capacity
     ensure_checkpoint_dir(df.sparkSession)
     numbers = company_numbers(df, key, operator).withColumnRenamed("name", "_operator")
     cells = df.select(F.col(key).alias("key"), F.col(date).cast("date").alias("date"), F.col(version).cast("timestamp").alias("version"), F.col(capacity).cast("double").alias("capacity"), F.col(operator).alias("_operator"))
-    rows = cells.distinct().join(numbers, ["key", "_operator"], "left").select("key", "date", "version", "capacity", "company", F.coalesce(F.year("version"), F.lit(0)).alias("_year")).checkpoint()
+    dated = cells.distinct().join(numbers, ["key", "_operator"], "left").select("key", "date", "version", "capacity", "company", F.coalesce(F.year("version"), F.lit(0)).alias("_year"))
+    rows = dated.checkpoint()
     years = sorted(r[0] for r in rows.select("_year").distinct().collect())  # a calendar
     dimension = empty_dimension(df, key)
     for y in years:
