@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import StringType
@@ -95,6 +95,7 @@ def pair(c: Column) -> Column:
 # Patterns of identifiers and dates.
 PATTERNS = {
     "snake_case": r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$", "doi": r"^10\.\d{4,9}/\S+$", "iso_date": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$",
+    "run_id": r"^[a-z0-9]+(-[a-z0-9]+)*-[0-9a-f]{8,}$", "gas_flow": r"^(Nm3|Sm3|m3)/(d|day|dia|h|yr|year|ano)$",
     "http_url": r"^https?://[^\s/]+\.[^\s]+$", "semver": r"^\d+\.\d+\.\d+(-[0-9A-Za-z.-]+)?$", "hex": r"^[0-9a-f]+$",
 }
 
@@ -122,17 +123,32 @@ def days_in_month(c: Column) -> Column:
 _TOKEN = re.compile(r"(?<![\w.,])(?:[-+]?\d{1,3}(?:\.\d{3})+(?:,\d+)?|[-+]?\d+(?:,\d+)?(?:\.\d+)?)")
 
 
-class _NumberTokens:
-    """All number tokens of a text with their character offsets."""
+@F.pandas_udf("array<struct<start_at:int,end_at:int,token:string,percent:boolean>>")
+def _tokens_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: [(m.start(), m.end(), m.group(), x[m.end() :].lstrip()[:1] == "%") for m in _TOKEN.finditer(x)] if isinstance(x, str) else [])
 
-    def eval(self, text: str) -> Iterator[tuple]:
-        for m in _TOKEN.finditer(text or ""):
-            yield m.start(), m.end(), m.group(), (text[m.end() :].lstrip()[:1] == "%")
 
+def number_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """All number tokens of a text with their character offsets: key, ``text``, ``start_at``, ``end_at``, ``token``, ``percent``.
 
-def number_tokens_udtf():
-    """Table function (text) -> start, end, token, percent; to be registered or used in a lateral join."""
-    return udtf(_NumberTokens, returnType="start_at int, end_at int, token string, percent boolean")
+    Texts are read in Arrow batches; NULL and texts without numbers give no row.  A sign belongs to the number only where no letter, digit or mark stands before it.
+    """
+    return df.select(key, F.col(text).alias("text"), F.explode(_tokens_of(F.col(text))).alias("_t")).select(key, "text", "_t.*")
+
+
+def unit_behind(c: Column) -> Column:
+    """The unit word behind a number at the start of a text: letters with exponents, slashes and a percent sign; NULL if none follows."""
+    return F.nullif(F.regexp_extract(c, r"^\s*([%°‰]|[A-Za-zµ°][A-Za-zµ³²º°0-9]*(?:\s?/\s?[A-Za-z³²0-9]+)*)", 1), F.lit(""))
+
+
+def column_unit(column: str, units: dict[str, str]) -> str | None:
+    """The unit a column's name ends with, the longest of the known suffixes; None if it names none."""
+    return next((units[s] for s in sorted(units, key=len, reverse=True) if column.lower().endswith("_" + s)), None)
+
+
+def columns_without_unit(columns: list[str], units: dict[str, str], plain: tuple[str, ...], has_unit_column: bool) -> list[str]:
+    """Columns whose name neither ends with a unit nor is of a kind that needs none (``plain`` names and beginnings); none where the table states units in a column."""
+    return [] if has_unit_column else [c for c in columns if column_unit(c, units) is None and not c.lower().startswith(plain)]
 
 
 class _NameAndIntegers:

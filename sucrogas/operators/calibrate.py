@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sucrogas.operators.ranks import quantiles
 
 def thousand_scale(df: DataFrame, volume: str, capacity: str, max_share: float = 0.01) -> DataFrame:
     """Rows whose positive volume lies below a small share of the capacity: candidates for values in thousands."""
@@ -31,7 +32,8 @@ def compare_with_observed(simulated: DataFrame, observed: DataFrame, keys: list[
 def ratio_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, median, 10 % and 90 % quantile and mean absolute log of the positive ratios in each column."""
     long = df.select(*columns).unpivot([], columns, "ratio", "x").where((F.col("x") > 0) & ~F.isnan("x") & (F.col("x") < float("inf")))
-    return long.groupBy("ratio").agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.1)).alias("p10"), F.percentile("x", F.lit(0.9)).alias("p90"), F.avg(F.abs(F.log("x"))).alias("mean_abs_log"))
+    logs = long.groupBy("ratio").agg(F.avg(F.abs(F.log("x"))).alias("mean_abs_log"))
+    return quantiles(long, ["ratio"], "x", {"median": 0.5, "p10": 0.1, "p90": 0.9}).join(logs, "ratio").select("ratio", "n", "median", "p10", "p90", "mean_abs_log")
 
 
 def period_check(monthly: DataFrame, periods: DataFrame, key: str) -> DataFrame:
@@ -117,11 +119,16 @@ def weekly_reactor(log: DataFrame, limit: float | None) -> DataFrame:
 
 def fit_first_order(t: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
     """Least-squares fit of b0 (1 - exp(-k t)) by damped Gauss-Newton: b0, k, r2 (NaN if it cannot be fitted)."""
+    return _fit_first_order(t, y, rounds)[:3]
+
+
+def _fit_first_order(t: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, ...]:
+    """The fit with the standard errors of both parameters."""
     ok = np.isfinite(t) & np.isfinite(y)
     t, y = t[ok], y[ok]
     if len(t) < 3 or y.max(initial=0) <= 0:
-        return (float("nan"),) * 3
-    return _gauss_newton(t, y, np.array([y.max(), 0.2]), lambda p, t: p[0] * (1 - np.exp(-p[1] * t)), rounds)[:3]
+        return (float("nan"),) * 5
+    return _gauss_newton(t, y, np.array([y.max(), 0.2]), lambda p, t: p[0] * (1 - np.exp(-p[1] * t)), rounds)
 
 
 def _gauss_newton(t: np.ndarray, y: np.ndarray, p: np.ndarray, f, rounds: int) -> tuple:
@@ -145,19 +152,29 @@ def _gauss_newton(t: np.ndarray, y: np.ndarray, p: np.ndarray, f, rounds: int) -
             if lam > 1e12:
                 break
     spread = float(((y - y.mean()) ** 2).sum())
-    return (*map(float, p), 1 - err / spread if spread > 0 else float("nan"))
+    jac = np.column_stack([(f(p + h, t) - f(p - h, t)) / (2 * h[i]) for i in range(len(p)) for h in [np.eye(len(p))[i] * max(1e-6, abs(p[i]) * 1e-6)]])
+    errors = np.full(len(p), np.nan)
+    if len(t) > len(p):
+        try:
+            errors = np.sqrt(np.maximum(np.diag(np.linalg.inv(jac.T @ jac)) * err / (len(t) - len(p)), 0))
+        except np.linalg.LinAlgError:
+            pass
+    return (*map(float, p), 1 - err / spread if spread > 0 else float("nan"), *map(float, errors))
 
 
 def fit_curves(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """First-order fit of every curve (a few readings each): keys, ``b0``, ``k``, ``r2``, and the modified Gompertz ``p``, ``rate``, ``lag``, ``r2_gompertz``."""
+    """First-order fit of every curve (a few readings each): keys, ``b0``, ``k``, ``r2``, and the modified Gompertz ``p``, ``rate``, ``lag``, ``r2_gompertz``.
+
+    Behind each model stand the standard errors of its parameters (``se_...``), NULL with no more readings than parameters.
+    """
     kinds = dict(curves.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "b0 double", "k double", "r2 double", "p double", "rate double", "lag double", "r2_gompertz double"])
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "b0 double", "k double", "r2 double", "se_b0 double", "se_k double", "p double", "rate double", "lag double", "r2_gompertz double", "se_p double", "se_rate double", "se_lag double"])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         t, y = g["day"].to_numpy(float), g["y"].to_numpy(float)
-        first = fit_first_order(t, y)
+        first = _fit_first_order(t, y)
         ok = np.isfinite(t) & np.isfinite(y)
-        second = (float("nan"),) * 4
+        second = (float("nan"),) * 7
         if ok.sum() >= 4 and y[ok].max(initial=0) > 0:
             top = y[ok].max()
             gompertz = lambda p, t: p[0] * np.exp(-np.exp(np.clip(p[1] * np.e / p[0] * (p[2] - t) + 1, -50, 50)))
@@ -165,3 +182,23 @@ def fit_curves(curves: DataFrame, keys: list[str]) -> DataFrame:
         return pd.DataFrame([[*(g[k].iloc[0] for k in keys), *first, *second]], columns=[x.split()[0] for x in schema.split(", ")])
 
     return curves.select(*keys, "day", "y").groupBy(*keys).applyInPandas(run, schema)
+
+
+def load_problems(curves: DataFrame, keys: list[str]) -> DataFrame:
+    """All problems of a table of cumulative curves before it is used: keys, ``problem``, ``day``.
+
+    A reading is missing a number or lies on a negative day, a day is repeated, the curve falls from one day to the next, or it has no day 0 (listed with a NULL day).
+    Needs ``day`` and ``y``; readings with problems of their own take no part in the comparison with the day before.
+    """
+    key = Window.partitionBy(*keys)
+    seen = curves.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "day")))
+    good = F.col("day").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y") & (F.col("day") >= 0)
+    before = F.last(F.when(good, F.col("y")), ignorenulls=True).over(key.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    rules = {
+        "no day": F.col("day").isNull(), "day below zero": F.col("day") < 0, "no value": F.col("y").isNull() | F.isnan("y"), "day repeated": F.col("day").isNotNull() & (F.col("_n") > 1),
+        "falls from the day before": good & (F.col("y") < before),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(text)) for text, bad in rules.items()]))
+    own = seen.select(*keys, "day", F.explode(found).alias("problem")).select(*keys, "problem", "day")
+    start = curves.groupBy(*keys).agg(F.min("day").alias("_first")).where(F.col("_first").isNull() | (F.col("_first") > 0)).select(*keys, F.lit("no day 0").alias("problem"), F.lit(None).cast(dict(curves.dtypes)["day"]).alias("day"))
+    return own.unionByName(start).distinct()

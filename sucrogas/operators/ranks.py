@@ -81,3 +81,32 @@ def value_ranks(df: DataFrame, group: list[str], value: str, descending: bool =
     order = F.col(value).desc() if descending else F.col(value)
     ranked = running_before(counts, group, [order], ["n"])
     return ranked.select(*group, value, "n", (F.col("before_n") + 1).alias("rank"), (F.col("before_n") + F.col("n")).alias("upto"))
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of a group of any size: group, one column per name in ``shares``, and ``n``.
+
+    The same as ``percentile``, but no task holds a group's values: they are counted, placed in order by ``value_ranks``, and the
+    two that a quantile lies between are picked.  NULL values are left out; a group without values has no row.
+    """
+    ranked = value_ranks(df, group, value, descending=False)
+    totals = ranked.groupBy(*group).agg(F.max("upto").alias("_all")) if group else ranked.agg(F.max("upto").alias("_all"))
+    if group:
+        match = None
+        for g in group:
+            one = F.col(g).eqNullSafe(F.col(f"_t_{g}"))
+            match = one if match is None else match & one
+        placed = ranked.join(totals.select(*[F.col(g).alias(f"_t_{g}") for g in group], "_all"), match).drop(*[f"_t_{g}" for g in group])
+    else:
+        every = totals.first()["_all"]
+        placed = ranked.withColumn("_all", F.lit(every).cast("long"))
+    picks, out = [F.max("_all").alias("n")], []
+    for name, q in shares.items():
+        at = F.lit(q) * (F.col("_all") - 1)
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)
+            picks.append(F.max(F.when(here, F.col(value))).alias(f"_{name}_{side}"))
+        lo, hi, part = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+        out.append((lo + (hi - lo) * part).alias(name))
+    picked = placed.groupBy(*group).agg(*picks) if group else placed.agg(*picks).where("n IS NOT NULL")
+    return picked.select(*group, *out, "n")

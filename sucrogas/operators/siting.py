@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sucrogas.operators.ranks import running_before, value_ranks
+from sucrogas.operators.ranks import quantiles, running_before, value_ranks
 from sucrogas.operators.spatial import haversine_km
 from sucrogas.session import ensure_checkpoint_dir
 
@@ -109,7 +109,7 @@ def one_at_a_time(df: DataFrame, key: str, weights: dict[str, float], delta: flo
 
 
 def spaced_selection(df: DataFrame, key: str, rank: str, min_km: float, n: int) -> DataFrame:
-    """Up to ``n`` sites, best rank first (ties by key), at least ``min_km`` apart.
+    """Up to ``n`` sites, best rank first (ties by key), at least ``min_km`` apart.  ``rank`` is any column that orders them.
 
     Each pick is one distributed top-1 over the candidates that are far enough from all earlier picks; the driver holds only the picks.
     """
@@ -190,6 +190,67 @@ def allocate(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     return best.select("i", F.col("_b.j").alias("hub"), F.col("_b.w").alias("w"))
 
 
+def allowed_pairs(edges: DataFrame, routes: DataFrame, kinds: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
+    """Edges whose residue may go to that kind of hub.
+
+    ``routes``: ``i``, ``route`` (blank or NULL: may go anywhere); ``kinds``: ``j``, ``kind``; ``allowed``: (route, kind).  The list is a condition of the join's result, so
+    pairs that are not allowed never reach the weighting.
+    """
+    free = F.coalesce(F.trim("route"), F.lit("")) == ""
+    listed = F.concat_ws("\x01", "route", "kind").isin([f"{r}\x01{k}" for r, k in allowed]) if allowed else F.lit(False)
+    return edges.join(routes, "i").join(kinds, "j").where(free | F.coalesce(listed, F.lit(False))).select(*edges.columns)
+
+
+def pairs_from_matrix(matrix: DataFrame, row: str, columns: list[str], most: float) -> DataFrame:
+    """A dense matrix (one row per origin, one column per destination) as the pairs at most ``most`` apart: row, ``destination``, ``km``.  NULL and NaN are no pair."""
+    long = matrix.select(row, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([row], columns, "destination", "km")
+    return long.where(F.col("km").isNotNull() & ~F.isnan("km") & (F.col("km") <= most))
+
+
+def factor_codes(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``code``: the place of each value among the sorted distinct values, from 0; NULL values get -1.
+
+    Only the distinct values are ordered (by range partitions), not the rows.
+    """
+    levels = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("_one", F.lit(1))
+    codes = running_before(levels, [], [F.col(column)], ["_one"]).select(column, F.col("before__one").cast("long").alias("code"))
+    return df.join(codes, column, "left").withColumn("code", F.coalesce("code", F.lit(-1).cast("long")))
+
+
+def nearest_of(distances: list[str]) -> Column:
+    """The least of several distances, NULL ones left out; NULL if none is known."""
+    return F.least(*[F.col(d) for d in distances])
+
+
+def top_per_place(cells: DataFrame, rank: str, places: DataFrame, place: str, top: int) -> DataFrame:
+    """Cells among the ``top`` ranked ones per place; places without any have 0."""
+    n = cells.where(F.col(rank) <= top).groupBy(place).agg(F.count("*").alias("n_top"))
+    return places.select(place).distinct().join(n, place, "left").select(place, F.coalesce("n_top", F.lit(0)).alias("n_top"))
+
+
+def grid_scores(cells: DataFrame, criteria: dict[str, str], weights: dict[str, float], *, gate: tuple[str, float] | None, extra_exclusions: Column | None, clip: float | None, draws: list[tuple], top_k: int, key: str) -> DataFrame:
+    """The scoring job over a grid: exclusions, gate, bounds, scores, ranks, contributions and how robust each rank is.
+
+    Excluded are rows with ``excluded``, those for which ``extra_exclusions`` holds and those below the ``gate`` (column, quantile of the kept rows).  Criteria are cut at
+    their ``clip`` quantile (of the kept rows) before they are normalised, so that one extreme cell does not flatten the others.  Each ``n_`` column's share of the
+    score is its ``part_``.  Returns key, ``excluded``, ``score``, ``rank``, parts, and rank statistics over the weight draws (NULL for excluded cells).
+    """
+    base = cells.withColumn("excluded", F.coalesce(F.col("excluded"), F.lit(False)) | F.coalesce(extra_exclusions, F.lit(False)) if extra_exclusions is not None else F.coalesce(F.col("excluded"), F.lit(False)))
+    if gate:
+        base = quantile_gate(base, gate[0], gate[1], "excluded")
+    if clip is not None:
+        for c in criteria:
+            row = quantiles(base.where("NOT excluded"), [], c, {"top": clip}).first()
+            if row:
+                base = base.withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.col(c), F.lit(row["top"]))))
+    normal = normalize(base, criteria, "linear", "excluded")
+    total = sum(weights.values())
+    scored = score(normal, weights, "excluded").withColumn("score", F.round("score", 10))
+    ranked = rank_scores(scored, "score").withColumns({f"part_{c}": F.when(~F.col("excluded"), F.col(f"n_{c}") * (w / total)) for c, w in weights.items()})
+    robust = weight_sensitivity(normal.where("NOT excluded"), key, list(criteria), draws, top_k)
+    return ranked.select(key, "excluded", "score", "rank", *[f"part_{c}" for c in weights]).join(robust, key, "left")
+
+
 def hubs_for_share(trace: DataFrame, total: float, shares: list[float]) -> DataFrame:
     """The first step that reaches each share of the supply; NULL if none does."""
     return trace.agg(*[F.min(F.when(F.col("covered") >= s * total, F.col("step"))).alias(f"step_{round(s * 100)}") for s in shares])
@@ -203,20 +264,23 @@ def withhold_small(df: DataFrame, count: str, values: list[str], k_min: int) ->
 
 def quantile_gate(df: DataFrame, value: str, q: float, excluded: str) -> DataFrame:
     """Rows below the q-quantile of the kept rows become excluded too (one scalar; NULL values are not gated)."""
-    cut = df.where(~F.coalesce(F.col(excluded), F.lit(False))).agg(F.percentile(value, F.lit(q))).first()[0]
+    row = quantiles(df.where(~F.coalesce(F.col(excluded), F.lit(False))), [], value, {"cut": q}).first()
+    cut = row["cut"] if row else None
     below = F.coalesce(F.col(value) < F.lit(cut), F.lit(False)) if cut is not None else F.lit(False)
     return df.withColumn(excluded, F.coalesce(F.col(excluded), F.lit(False)) | below)
 
 
-def huff_allocation(edges: DataFrame, mills: DataFrame, cells: DataFrame, alpha: float, beta: float, max_km: float) -> DataFrame:
+def huff_allocation(edges: DataFrame, mills: DataFrame, cells: DataFrame, alpha: float, beta: float | str, max_km: float, by: str = "year") -> DataFrame:
     """Spatial interaction: every cell's amount goes to the mills in reach in proportion to capacity ** alpha * exp(-beta km).
 
-    ``edges``: ``cell``, ``mill``, ``km``; ``mills``: ``year``, ``mill``, ``capacity``, ``active``; ``cells``: ``year``, ``cell``, ``amount``.
-    Scores are shifted by their maximum; cells without an active mill in reach give nothing.
+    ``edges``: ``cell``, ``mill``, ``km``; ``mills``: ``by``, ``mill``, ``capacity``, ``active``; ``cells``: ``cell``, ``amount`` and ``by`` (left out: the amount holds for all).  ``by`` is the
+    year, or another dimension such as a grid of ``beta`` (then the name of its column).  Scores are shifted by their maximum; cells without an active mill in reach give nothing.
     """
     reach = edges.where(F.col("km") <= max_km).join(mills.where("active AND capacity > 0"), "mill")
-    s = reach.select("year", "cell", "mill", (alpha * F.log("capacity") - beta * F.col("km")).alias("s"))
-    w = Window.partitionBy("year", "cell")
+    b = F.col(beta) if isinstance(beta, str) else F.lit(beta)
+    s = reach.select(by, "cell", "mill", (alpha * F.log("capacity") - b * F.col("km")).alias("s"))
+    w = Window.partitionBy(by, "cell")
     e = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(w)))
     p = e.withColumn("p", F.col("e") / F.sum("e").over(w))
-    return p.join(cells, ["year", "cell"]).groupBy("year", "mill").agg(F.sum(F.col("p") * F.col("amount")).alias("amount"))
+    on = [by, "cell"] if by in cells.columns else ["cell"]
+    return p.join(cells, on).groupBy(by, "mill").agg(F.sum(F.col("p") * F.col("amount")).alias("amount"))

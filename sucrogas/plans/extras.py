@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.functions import text
 from sucrogas.operators import economics, siting, spatial
+from sucrogas.operators.ranks import quantiles
 from sucrogas.plans import places
 from sucrogas.session import table
 
@@ -40,8 +41,8 @@ def polyconic_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = places.suppliers(spark, sf_dir).select("s_suppkey", F.col("lat").alias("lb"), F.col("lon").alias("lp"))
     j = p.join(c, "c_custkey").join(s, "s_suppkey").where("km > 0.001")
     r = j.select(F.floor(F.col("km") / 100).cast("int").alias("class"), (spatial.polyconic_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"), -49.0) / F.col("km")).alias("ratio"))
-    q = r.groupBy("class").agg(F.count("*").alias("n"), F.percentile("ratio", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_q"))
-    return q.select("class", "n", *[F.round(F.col("_q")[i], 8).alias(x) for i, x in enumerate(("p05", "p50", "p95"))])
+    q = quantiles(r, ["class"], "ratio", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return q.select("class", "n", *[F.round(x, 8).alias(x) for x in ("p05", "p50", "p95")])
 
 
 def scaling_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,19 +52,24 @@ def scaling_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def huff_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log posterior of the distance parameter on a grid: squared log errors of the allocation against one with the true value 0.05."""
+    """Log posterior of the distance parameter on a grid: squared log errors of the allocation against one with the true value 0.05.
+
+    All grid values are allocated in one job: the value takes the place of the year.
+    """
     e = spatial.pairs_within(places.customers(spark, sf_dir), places.suppliers(spark, sf_dir), "c_custkey", "s_suppkey", 100.0).select(F.col("c_custkey").alias("cell"), F.col("s_suppkey").alias("mill"), "km")
-    mills = places.suppliers(spark, sf_dir).select(F.lit(2020).alias("year"), F.col("s_suppkey").alias("mill"), F.lit(1.0).alias("capacity"), F.lit(True).alias("active"))
-    cells = places.customers(spark, sf_dir).select(F.lit(2020).alias("year"), F.col("c_custkey").alias("cell"), F.col("s").alias("amount"))
-    true = siting.huff_allocation(e, mills, cells, 1.0, 0.05, 100.0).select("mill", F.col("amount").alias("obs")).where("obs > 0")
-    out = None
-    for b in (0.03, 0.04, 0.05, 0.06, 0.07):
-        m = siting.huff_allocation(e, mills, cells, 1.0, b, 100.0).join(true, "mill").where("amount > 0")
-        one = m.agg((-0.5 * F.sum(F.pow(F.log(F.col("amount") / F.col("obs")) / 0.2, 2))).alias("log_posterior")).select(F.lit(b).alias("beta"), F.round("log_posterior", 6).alias("log_posterior"))
-        out = one if out is None else out.unionByName(one)
+    grid = F.explode(F.array(*[F.lit(b) for b in BETAS])).alias("beta")
+    mills = places.suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("mill"), F.lit(1.0).alias("capacity"), F.lit(True).alias("active"))
+    cells = places.customers(spark, sf_dir).select(F.col("c_custkey").alias("cell"), F.col("s").alias("amount"), F.lit(1).alias("year"))
+    every = siting.huff_allocation(e, mills.select("*", grid), cells, 1.0, "beta", 100.0, by="beta").checkpoint()
+    true = every.where(F.col("beta") == 0.05).select("mill", F.col("amount").alias("obs")).where("obs > 0")
+    m = every.join(true, "mill").where("amount > 0")
+    out = m.groupBy("beta").agg(F.round(-0.5 * F.sum(F.pow(F.log(F.col("amount") / F.col("obs")) / 0.2, 2)), 6).alias("log_posterior"))
     return out.withColumn("best", F.rank().over(Window.orderBy(F.col("log_posterior").desc())) == 1)
 
 
+BETAS = (0.02, 0.03, 0.04, 0.045, 0.05, 0.055, 0.06, 0.07, 0.08)
+
+
 def draft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draft registry text from replicates: mean, range, deviation and number."""
     e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
@@ -102,6 +108,9 @@ SQL = {
         SELECT floor(km / 100)::INT AS class, count(*) AS n, round(quantile_cont(pk / km, 0.05), 8) AS p05, round(quantile_cont(pk / km, 0.5), 8) AS p50, round(quantile_cont(pk / km, 0.95), 8) AS p95 FROM d WHERE km <= 300 AND km > 0.001 GROUP BY 1""",
     "scaling_exponents": """WITH g AS (SELECT l_suppkey, l_orderkey, ln(sum(l_quantity)) AS x, ln(sum(l_extendedprice)) AS y FROM lineitem GROUP BY 1, 2)
         SELECT l_suppkey, count(*) AS n, round(regr_slope(y, x), 6) AS exponent, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM g GROUP BY 1""",
+    "huff_posterior": f"""WITH {places._C}, {places._S}, b AS (SELECT unnest([{', '.join(f'{b}e0' for b in BETAS)}]) AS beta), d AS (SELECT c_custkey AS cell, s_suppkey AS mill, s AS amount, {places._D} AS km FROM c, su), t AS (SELECT beta, cell, mill, amount, -beta * km AS sc FROM d, b WHERE km <= 100),
+        p AS (SELECT beta, mill, amount * exp(sc - max(sc) OVER w) / sum(exp(sc)) OVER w * exp(max(sc) OVER w) AS a FROM t WINDOW w AS (PARTITION BY beta, cell)), g AS (SELECT beta, mill, sum(a) AS a FROM p GROUP BY 1, 2),
+        o AS (SELECT g.beta, round(-0.5e0 * sum(pow(ln(g.a / t.a) / 0.2e0, 2)), 6) AS log_posterior FROM g JOIN g t ON t.mill = g.mill AND t.beta = 0.05e0 WHERE g.a > 0 AND t.a > 0 GROUP BY 1) SELECT beta, log_posterior, rank() OVER (ORDER BY log_posterior DESC) = 1 AS best FROM o""",
     "draft_rows": "SELECT event_type, printf('%.3f (%.2f to %.2f), sd %.3f, n = %d', round(avg(value), 3), round(min(value), 2), round(max(value), 2), round(stddev_samp(value), 3), count(*)) AS draft FROM events GROUP BY 1",
     "source_search": "SELECT parameter, confidence, count(*) AS n FROM parameters WHERE contains(lower(concat_ws(' ', parameter, source, notes)), 'stillage') AND contains(lower(concat_ws(' ', parameter, source, notes)), 'study') GROUP BY 1, 2",
     "municipality_codes": f"""SELECT substr(ibge_code, 1, 7)::INT AS code, min(trim(regexp_replace(translate(lower(municipio), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[^a-z0-9]+', ' ', 'g'))) AS name_key FROM municipalities WHERE uf = 'SP' GROUP BY 1""",

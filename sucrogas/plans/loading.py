@@ -35,27 +35,30 @@ def aligned_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("place").agg(F.round(F.sum("demand"), 2).alias("demand"), F.round(F.sum("offer"), 2).alias("offer"))
 
 
+SECTIONS = (("power", "BUILDING"), ("oil", "MACHINERY"), ("gas", "FURNITURE"), ("coal", "AUTOMOBILE"), ("wood", "HOUSEHOLD"))
+
+
 def section_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sections joined onto the places: a place not listed in a section gets 0, and for one section a flag."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    sec = lambda name, seg: table(spark, sf_dir, "customer").where((F.col("c_mktsegment") == seg) & (F.col("c_acctbal") > 9800)).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias(name))
-    j = n
-    for name, seg in (("power", "BUILDING"), ("oil", "MACHINERY"), ("gas", "FURNITURE")):
-        j = j.join(sec(name, seg), "n_nationkey", "left")
-    return j.select("n_nationkey", "n_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("power", "oil", "gas")], F.col("gas").isNotNull().alias("gas_listed"))
+    """Sections joined onto the places: a place not listed in a section gets 0, and for one section a flag."""
+    j = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    for name, seg in SECTIONS:
+        j = j.join(c.where(F.col("c_mktsegment") == seg).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias(name)), "n_nationkey", "left")
+    return j.select("n_nationkey", "n_name", *[F.coalesce(c, F.lit(0)).alias(c) for c, _ in SECTIONS], F.col("gas").isNotNull().alias("gas_listed"))
 
 
 def residue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by residue (return flag) and scenario (ship year), one column per scenario, with the residue's share of the first."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("residue"), F.year("l_shipdate").alias("y"), "l_quantity").where("y BETWEEN 1996 AND 1998")
-    p = li.groupBy("residue").pivot("y", [1996, 1997, 1998]).agg(F.sum("l_quantity"))
-    p = p.select("residue", *[F.coalesce(F.col(str(y)), F.lit(0.0)).alias(f"y{y}") for y in (1996, 1997, 1998)])
-    return p.withColumn("share_1996", F.round(F.try_divide(F.col("y1996"), F.sum("y1996").over(Window.partitionBy())), 9))
+    """Totals by residue (return flag) and scenario (ship year), one column per year that occurs, with the residue's share of the first."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("residue"), F.year("l_shipdate").alias("y"), "l_quantity")
+    years = sorted(r["y"] for r in li.select("y").where("y IS NOT NULL").distinct().collect())  # a calendar
+    p = li.groupBy("residue").pivot("y", years).agg(F.sum("l_quantity"))
+    p = p.select("residue", *[F.coalesce(F.col(str(y)), F.lit(0.0)).alias(f"y{y}") for y in years])
+    return p.withColumn("share_first", F.round(F.try_divide(F.col(f"y{years[0]}"), F.sum(f"y{years[0]}").over(Window.partitionBy())), 9))
 
 
 def hub_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allocated supply of every open hub by market segment, and distinct sources behind it; hubs without sources appear with 0."""
-    hubs = places.suppliers(spark, sf_dir).where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("hub"), (F.col("s_suppkey") * 31 % 997).alias("step"))
+    hubs = places.suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("hub"), (F.col("s_suppkey") * 31 % 997).alias("step"))
     a = siting.allocate(places.edges(spark, sf_dir), hubs)
     src = places.customers(spark, sf_dir).select(F.col("c_custkey").alias("i"), "s", "c_mktsegment")
     j = a.join(src, "i").withColumn("v", F.col("w") * F.col("s"))
@@ -81,11 +84,11 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All number tokens of the documents with their offsets."""
+    """Number tokens of the documents with their number, how many are percentages, and whether the text holds each where it was found."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spark.udtf.register("sucrogas_number_tokens", text.number_tokens_udtf())
-    d.createOrReplaceTempView("sucrogas_documents")
-    return spark.sql("SELECT doc_id, start_at, end_at, token, percent FROM sucrogas_documents, LATERAL sucrogas_number_tokens(text)")
+    t = text.number_tokens(d, "doc_id", "text")
+    at = F.substring(F.col("text"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at")) == F.col("token")
+    return t.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.sum(F.col("percent").cast("long")).alias("percentages"), F.bool_and(at).alias("found_there"))
 
 
 def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +101,7 @@ def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     incremental_plan, decimal_commas, aligned_union, section_merge, residue_totals, hub_breakdown, coverage_curve, source_rows, number_tokens, document_frequencies,
 )}
+_NUM = r"(^|[^\p{L}\p{N}_.,])([-+]?\d{1,3}(?:\.\d{3})+(?:,\d+)?|[-+]?\d+(?:,\d+)?(?:\.\d+)?)"
 _SEGS = ("automobile", "building", "furniture", "household", "machinery")
 SQL = {
     "incremental_plan": """WITH c AS (SELECT o_custkey::VARCHAR AS name, sha256(count(*)::VARCHAR) AS h FROM orders GROUP BY 1), o AS (SELECT o_custkey::VARCHAR AS name, sha256(count(*)::VARCHAR) AS h FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1),
@@ -105,16 +109,18 @@ SQL = {
     "decimal_commas": "SELECT lpad(p_partkey::VARCHAR, 6, '0') AS part_code, round(p_retailprice, 2) AS price, p_name AS label FROM part",
     "aligned_union": """WITH u AS (SELECT c_nationkey AS place, greatest(c_acctbal, 0e0) AS demand, 0e0 AS offer FROM customer UNION ALL SELECT s_nationkey, 0e0, greatest(s_acctbal, 0e0) FROM supplier)
         SELECT place, round(sum(demand), 2) AS demand, round(sum(offer), 2) AS offer FROM u GROUP BY 1""",
-    "section_merge": """WITH s AS (SELECT c_nationkey AS n_nationkey, sum((c_mktsegment = 'BUILDING')::INT)::BIGINT AS power, sum((c_mktsegment = 'MACHINERY')::INT)::BIGINT AS oil, sum((c_mktsegment = 'FURNITURE')::INT)::BIGINT AS gas FROM customer WHERE c_acctbal > 9800 GROUP BY 1)
-        SELECT n_nationkey, n_name, coalesce(power, 0) AS power, coalesce(oil, 0) AS oil, coalesce(gas, 0) AS gas, coalesce(gas, 0) > 0 AS gas_listed FROM nation LEFT JOIN s USING (n_nationkey)""",
-    "residue_totals": """WITH g AS (SELECT l_returnflag AS residue, sum(CASE WHEN year(l_shipdate) = 1996 THEN l_quantity ELSE 0 END) AS y1996, sum(CASE WHEN year(l_shipdate) = 1997 THEN l_quantity ELSE 0 END) AS y1997,
-        sum(CASE WHEN year(l_shipdate) = 1998 THEN l_quantity ELSE 0 END) AS y1998 FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1998 GROUP BY 1) SELECT *, round(y1996 / sum(y1996) OVER (), 9) AS share_1996 FROM g""",
-    "hub_breakdown": f"""WITH {places._E}, h AS (SELECT s_suppkey AS hub FROM supplier WHERE s_suppkey % 9 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j * 31 % 997) AS r FROM e WHERE j % 9 = 0),
+    "section_merge": f"""WITH s AS (SELECT c_nationkey AS n_nationkey, {', '.join(f"sum((c_mktsegment = '{g}')::INT)::BIGINT AS {n}" for n, g in SECTIONS)} FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+        SELECT n_nationkey, n_name, {', '.join(f'coalesce({n}, 0) AS {n}' for n, _ in SECTIONS)}, coalesce(gas, 0) > 0 AS gas_listed FROM nation LEFT JOIN s USING (n_nationkey)""",
+    "residue_totals": f"""WITH g AS (SELECT l_returnflag AS residue, {', '.join(f'sum(CASE WHEN year(l_shipdate) = {y} THEN l_quantity ELSE 0 END) AS y{y}' for y in range(1995, 2002))} FROM lineitem GROUP BY 1) SELECT *, round(y1995 / sum(y1995) OVER (), 9) AS share_first FROM g""",
+    "hub_breakdown": f"""WITH {places._E}, h AS (SELECT s_suppkey AS hub FROM supplier), o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j * 31 % 997) AS r FROM e),
         g AS (SELECT j AS hub, count(DISTINCT CASE WHEN w * s > 0 THEN i END) AS cells, {', '.join(f"sum(CASE WHEN c_mktsegment = '{x.upper()}' THEN w * s END) AS v_{x}" for x in _SEGS)} FROM o JOIN customer ON c_custkey = i WHERE r = 1 GROUP BY 1),
         f AS (SELECT hub, coalesce(cells, 0) AS cells, {', '.join(f'round(coalesce(v_{x}, 0), 4) AS v_{x}' for x in _SEGS)} FROM h LEFT JOIN g USING (hub))
         SELECT hub, cells, {', '.join(f'CASE WHEN cells > 0 AND cells < 3 THEN NULL ELSE v_{x} END AS v_{x}' for x in _SEGS)}, cells > 0 AND cells < 3 AS withheld FROM f""",
     "source_rows": """SELECT (c_custkey * 104729 % 300000) // 50000 AS cx, (c_custkey * 7919 % 300000) // 50000 AS cy, c_mktsegment AS class, round(sum(greatest(c_acctbal, 0e0)), 2) AS supply FROM customer GROUP BY 1, 2, 3
         HAVING round(sum(greatest(c_acctbal, 0e0)), 2) > 0""",
+    "number_tokens": rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUM}', 2)) AS token FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUM}[\s\x{{a0}}]*%', 2)) AS token FROM documents), q AS (SELECT doc_id, token, count(*) AS c FROM p GROUP BY 1, 2)
+        SELECT doc_id, token, count(*) AS n, max(coalesce(c, 0))::BIGINT AS percentages, true AS found_there FROM t LEFT JOIN q USING (doc_id, token) GROUP BY 1, 2""",
+    "coverage_curve": f"WITH z AS ({places.greedy_sql(1000.0, 60, 0.3)}) SELECT " + ", ".join(f"(SELECT min(step) FROM z WHERE covered >= {s} * (SELECT sum(greatest(c_acctbal, 0e0)) FROM customer)) AS step_{round(s * 100)}" for s in (0.1, 0.2, 0.3)),
     "document_frequencies": f"""WITH {registry._LINES} SELECT line_text, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM ln WHERE length(line_text) > 0 GROUP BY 1
         ORDER BY 2 DESC, 3 DESC, line_text LIMIT 20""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sucrogas.operators import siting, spatial
@@ -113,12 +113,12 @@ def suitability_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("p_partkey", F.round("n_p_retailprice", 9).alias("n_price"), F.round("n_p_size", 9).alias("n_size"))
 
 
-_DRAWS = siting.weight_draws(["p_retailprice", "p_size"], 12, 3.0, 11)
+_DRAWS = siting.weight_draws(["p_retailprice", "p_size"], 1000, 3.0, 11)
 
 
 def weight_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = siting.normalize(_parts(spark, sf_dir), _CRIT, "linear", "excluded").where("NOT excluded")
-    w = siting.weight_sensitivity(n, "p_partkey", list(_CRIT), _DRAWS, 50)
+    w = siting.weight_sensitivity(n, "p_partkey", list(_CRIT), _DRAWS, 100)
     return w.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("rank_median", "rank_p05", "rank_p95", "p_top_k")])
 
 
@@ -135,7 +135,7 @@ def quantile_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spaced_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = suppliers(spark, sf_dir).withColumn("rank", F.rank().over(Window.orderBy(F.col("s_acctbal").desc())))
+    s = siting.rank_scores(suppliers(spark, sf_dir), "s_acctbal")
     return siting.spaced_selection(s, "s_suppkey", "rank", 120.0, 8)
 
 
@@ -161,12 +161,13 @@ def coverage_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return siting.greedy_coverage(edges(spark, sf_dir), _supply(spark, sf_dir), 5000.0, 6)
+    g = siting.greedy_coverage(edges(spark, sf_dir), _supply(spark, sf_dir), 5000.0, 6)
+    return g.select("step", "hub", "fixed", F.round("gain", 4).alias("gain"), F.round("covered", 4).alias("covered"))
 
 
 def hub_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources allocated to a fixed set of hubs, with supply and distinct sources per hub."""
-    hubs = suppliers(spark, sf_dir).where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("hub"), (F.col("s_suppkey") * 31 % 997).alias("step"))
+    """Sources allocated to the hubs, with supply and distinct sources per hub."""
+    hubs = suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("hub"), (F.col("s_suppkey") * 31 % 997).alias("step"))
     a = siting.allocate(edges(spark, sf_dir), hubs).join(_supply(spark, sf_dir), "i")
     return a.groupBy("hub").agg(F.round(F.sum(F.col("w") * F.col("s")), 4).alias("supply"), F.count_distinct(F.when(F.col("w") * F.col("s") > 0, F.col("i"))).alias("n_sources"))
 
@@ -181,6 +182,18 @@ def huff_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siting.huff_allocation(e, mills, cells, 1.0, 0.05, 100.0).select("year", "mill", F.round("amount", 4).alias("amount"))
 
 
+def greedy_sql(q_min: float, steps: int, share: float | None) -> str:
+    """The greedy steps written out one by one."""
+    stop = f"AND t{{k}}.covered < {share}e0 * (SELECT sum(s) FROM c)" if share else ""
+    sql = f"WITH {_E}, ee AS MATERIALIZED (SELECT i, j, s, w FROM e WHERE w > 0), b0 AS (SELECT DISTINCT i, 0e0 AS b FROM ee), t0 AS (SELECT 0 AS step, -1::BIGINT AS hub, 0e0 AS gain, 0e0 AS covered)"
+    for k in range(steps):
+        sql += f""", g{k} AS MATERIALIZED (SELECT j, round(sum(greatest(w - b, 0) * s), 9) AS g FROM ee JOIN b{k} USING (i) WHERE j NOT IN ({' UNION ALL '.join(f'SELECT hub FROM t{x}' for x in range(k + 1))}) GROUP BY 1),
+ t{k + 1} AS MATERIALIZED (SELECT {k + 1} AS step, j AS hub, g AS gain, t{k}.covered + g AS covered FROM g{k}, t{k} WHERE g > 0 AND g >= {q_min}e0 {stop.format(k=k)} ORDER BY g DESC, j LIMIT 1),
+ b{k + 1} AS MATERIALIZED (SELECT b{k}.i, greatest(b, coalesce(w, 0)) AS b FROM b{k} LEFT JOIN (SELECT i, w FROM ee WHERE j = (SELECT hub FROM t{k + 1})) m USING (i))"""
+    union = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, steps + 1))
+    return sql + f", tr AS ({union}) SELECT step, hub, false AS fixed, round(gain, 4) AS gain, round(covered, 4) AS covered FROM tr"
+
+
 QUERIES = {f.__name__: f for f in (
     pairs_within_km, detour_ratio, sphere_points, disc_sums, catchment_withheld, points_in_boxes, class_area, suitability_linear, suitability_percentile, weight_sensitivity,
     one_at_a_time, quantile_gate, spaced_sites, decay_weights, coverage_upper_bound, greedy_hubs, hub_allocation, huff_allocation,
@@ -210,16 +223,20 @@ SQL = {
     "weight_sensitivity": f"""WITH {_LIN}, dr(draw, w0, w1) AS (VALUES {', '.join(f'({d}, {a!r}::DOUBLE, {b!r}::DOUBLE)' for d, a, b in _DRAWS)}),
         r AS (SELECT p_partkey, rank() OVER (PARTITION BY draw ORDER BY round(a * w0 + z * w1, 12) DESC) AS r FROM nn, dr WHERE NOT excluded)
         SELECT p_partkey, round(quantile_cont(r, 0.5), 6) AS rank_median, round(quantile_cont(r, 0.05), 6) AS rank_p05, round(quantile_cont(r, 0.95), 6) AS rank_p95,
-        round(avg(CASE WHEN r <= 50 THEN 1e0 ELSE 0 END), 6) AS p_top_k FROM r GROUP BY 1""",
+        round(avg(CASE WHEN r <= 100 THEN 1e0 ELSE 0 END), 6) AS p_top_k FROM r GROUP BY 1""",
     "one_at_a_time": f"""WITH {_LIN}, v(criterion, sign, w0, w1) AS (VALUES {', '.join(f"('{c}', {s}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for c, s, a, b in _OAT)}),
         r AS (SELECT criterion, sign, p_partkey, row_number() OVER (PARTITION BY criterion, sign ORDER BY round(a * (w0 / (w0 + w1)) + z * (w1 / (w0 + w1)), 12) DESC, p_partkey) AS r FROM nn, v WHERE NOT excluded)
         SELECT criterion, sign, round(sum(CASE WHEN p_partkey IN (SELECT p_partkey FROM r WHERE sign = 0 AND r <= 50) THEN 1 ELSE 0 END) / 50e0, 6) AS top_k_kept
         FROM r WHERE sign <> 0 AND r <= 50 GROUP BY 1, 2""",
     "quantile_gate": f"WITH {_PA} SELECT p_partkey, excluded OR p_retailprice < (SELECT quantile_cont(p_retailprice, 0.5) FROM pa WHERE NOT excluded) AS excluded FROM pa",
+    "spaced_sites": f"""WITH RECURSIVE {_S}, km AS (SELECT su.s_suppkey AS a, c.s_suppkey AS b FROM su, su c WHERE {_D} < 120), r AS (SELECT 0 AS pick, []::BIGINT[] AS keys UNION ALL
+        SELECT pick + 1, list_append(keys, x.k) FROM r, LATERAL (SELECT arg_max(s_suppkey, s_acctbal * 1e6 - s_suppkey / 1e6) AS k FROM su WHERE NOT EXISTS (SELECT 1 FROM km WHERE km.a = su.s_suppkey AND list_contains(r.keys, km.b)) AND NOT list_contains(r.keys, su.s_suppkey)) x
+        WHERE pick < 8 AND x.k IS NOT NULL) SELECT pick, keys[pick]::BIGINT AS s_suppkey FROM (SELECT unnest(range(1, len(keys) + 1)) AS pick, keys FROM r WHERE pick = (SELECT max(pick) FROM r))""",
+    "greedy_hubs": greedy_sql(5000.0, 6, None),
     "decay_weights": f"WITH {_E} SELECT i, j, round(w, 8) AS w FROM e WHERE w > 0",
     "coverage_upper_bound": f"""WITH {_E}, v AS (SELECT j, sum(w * s) AS q FROM e GROUP BY 1 HAVING sum(w * s) >= 5000), b AS (SELECT i, s, max(w) AS w FROM e WHERE j IN (SELECT j FROM v) GROUP BY 1, 2)
         SELECT (SELECT count(*) FROM v) AS hubs, round((SELECT sum(w * s) FROM b), 3) AS covered""",
-    "hub_allocation": f"""WITH {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j * 31 % 997) AS r FROM e WHERE j % 9 = 0)
+    "hub_allocation": f"""WITH {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j * 31 % 997) AS r FROM e )
         SELECT j AS hub, round(sum(w * s), 4) AS supply, count(DISTINCT CASE WHEN w * s > 0 THEN i END) AS n_sources FROM o WHERE r = 1 GROUP BY 1""",
     "huff_allocation": f"""WITH {_C}, {_S}, y(year) AS (VALUES (2020), (2021)), d AS (SELECT c_custkey AS cell, s_suppkey AS mill, s AS amount, {_D} AS km FROM c, su),
         t AS (SELECT year, cell, mill, amount, ln((1000 + mill * 17 % 500)::DOUBLE) - 0.05e0 * km AS sc FROM d, y WHERE km <= 100 AND NOT (mill % 5 = 0 AND year = 2021)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.functions import cnpj, text
 from sucrogas.operators import extract, quality, sensitivity
+from sucrogas.operators.ranks import quantiles as quantiles_of
 from sucrogas.session import table
 
 SNAPSHOTS = "anp_biomethane_plants_latest_from_pilar2b"
@@ -149,9 +150,10 @@ def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class breaks and half-even rounding."""
-    c = table(spark, sf_dir, "customer")
-    q = c.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("_q"), F.min("c_acctbal").alias("lowest"), F.max("c_acctbal").alias("highest"))
-    return q.select("c_mktsegment", *[F.round(F.col("_q")[i], 6).alias(f"q{(i + 1) * 20}") for i in range(4)], "lowest", "highest", F.bround(F.floor("highest") + F.lit(0.5), 0).alias("half_even"))
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal")
+    q = quantiles_of(c, ["c_mktsegment"], "c_acctbal", {f"q{i}": i / 100 for i in (20, 40, 60, 80)})
+    ends = c.groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("lowest"), F.max("c_acctbal").alias("highest"))
+    return q.join(ends, "c_mktsegment").select("c_mktsegment", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in (20, 40, 60, 80)], "lowest", "highest", F.bround(F.floor("highest") + F.lit(0.5), 0).alias("half_even"))
 
 
 def argmax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
