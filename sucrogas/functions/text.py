@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
 
@@ -123,7 +123,7 @@ def days_in_month(c: Column) -> Column:
 _TOKEN = re.compile(r"(?<![\w.,])(?:[-+]?\d{1,3}(?:\.\d{3})+(?:,\d+)?|[-+]?\d+(?:,\d+)?(?:\.\d+)?)")
 
 
-@F.pandas_udf("array<struct<start_at:int,end_at:int,token:string,percent:boolean>>")
+@F.pandas_udf(ArrayType(StructType([StructField("start_at", IntegerType()), StructField("end_at", IntegerType()), StructField("token", StringType()), StructField("percent", BooleanType())])))
 def _tokens_of(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: [(m.start(), m.end(), m.group(), x[m.end() :].lstrip()[:1] == "%") for m in _TOKEN.finditer(x)] if isinstance(x, str) else [])
 

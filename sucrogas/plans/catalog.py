@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sucrogas.plans import calibration, chain, extras, loading, places, problems, registry, screening
+from sucrogas.plans import calibration, chain, extras, loading, places, problems, registry, screening, validation
 
-_MODULES = (chain, places, calibration, registry, loading, extras, screening, problems)
+_MODULES = (chain, places, calibration, registry, loading, extras, screening, validation, problems)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
