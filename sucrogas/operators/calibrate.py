@@ -191,12 +191,12 @@ def load_problems(curves: DataFrame, keys: list[str]) -> DataFrame:
     Needs ``day`` and ``y``; readings with problems of their own take no part in the comparison with the day before.
     """
     key = Window.partitionBy(*keys)
-    seen = curves.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "day")))
     good = F.col("day").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y") & (F.col("day") >= 0)
     before = F.last(F.when(good, F.col("y")), ignorenulls=True).over(key.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    seen = curves.withColumns({"_n": F.count("*").over(Window.partitionBy(*keys, "day")), "_before": before})
     rules = {
         "no day": F.col("day").isNull(), "day below zero": F.col("day") < 0, "no value": F.col("y").isNull() | F.isnan("y"), "day repeated": F.col("day").isNotNull() & (F.col("_n") > 1),
-        "falls from the day before": good & (F.col("y") < before),
+        "falls from the day before": good & (F.col("y") < F.col("_before")),
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(text)) for text, bad in rules.items()]))
     own = seen.select(*keys, "day", F.explode(found).alias("problem")).select(*keys, "problem", "day")

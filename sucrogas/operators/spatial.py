@@ -148,3 +148,16 @@ def polyconic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lon0: f
 
     (x1, y1), (x2, y2) = xy(lat1, lon1), xy(lat2, lon2)
     return F.lit(EARTH_KM) * F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))
+
+
+def fallback_road_km(great_circle: Column, detour_factor: float) -> Column:
+    """A road distance where no route is known: the great circle times a stated factor of at least 1 (ValueError otherwise)."""
+    if not detour_factor >= 1:
+        raise ValueError("the detour factor must be at least 1")
+    return great_circle * F.lit(float(detour_factor))
+
+
+def with_place(cells: DataFrame, key: str, via: DataFrame, own: str, name: str) -> DataFrame:
+    """Adds the place of every cell as ``name``: its own field, else the place listed for the cell id in ``via`` (``key``, ``place``; of several the smallest)."""
+    listed = via.groupBy(key).agg(F.min("place").alias("_via"))
+    return cells.join(listed, key, "left").withColumn(name, F.coalesce(F.col(own), F.col("_via"))).drop("_via")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-import shutil
 import uuid
 from dataclasses import dataclass, field
 
@@ -14,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sucrogas.functions.text import br_number
+from sucrogas.sources.storage import Folder
+
 IDENTIFIER = re.compile(r"(^|_)(id|code|cnpj|ibge|cep|cod|codigo)($|_)", re.I)
 
 
@@ -38,15 +39,20 @@ def decimal_comma_columns(df: DataFrame, keep: list[str] = ()) -> DataFrame:
     candidates = [c for c, t in df.dtypes if t == "string" and c not in keep and not IDENTIFIER.search(c)]
     if not candidates:
         return df
-    number = r"^\s*-?(\d{1,3}(\.\d{3})+|\d+)(,\d+)?\s*$"
     tests = []
     for c in candidates:
-        stated = F.col(c).isNotNull() & (F.trim(c) != "")
-        tests += [F.bool_and(F.when(stated, F.col(c).rlike(number))).alias(f"n_{c}"), F.bool_or(F.col(c).rlike(r"^\s*-?0\d")).alias(f"z_{c}"), F.bool_or(F.col(c).contains(",")).alias(f"c_{c}")]
+        n = br_number(F.col(c))
+        filled = F.length(F.trim(c)) > 0
+        whole, part = F.split_part(F.trim(c), F.lit(","), F.lit(1)), F.split_part(F.trim(c), F.lit(","), F.lit(2))
+        # A code is padded: its whole part is longer than the number it stands for.
+        padded = F.length(F.regexp_replace(whole, r"\D", "")) > F.length(F.abs(F.regexp_replace(whole, r"\D", "").try_cast("decimal(38,0)")).cast("string"))
+        tests += [
+            F.bool_and(F.when(filled, n["value"].isNotNull() & ~n["percent"] & ((part != "") | ~F.contains(F.trim(c), F.lit(".")) | n["ambiguous"]))).alias(f"n_{c}"),
+            F.bool_or(filled & padded).alias(f"z_{c}"), F.bool_or(filled & (part != "")).alias(f"c_{c}"),
+        ]
     seen = df.agg(*tests).first()
     turn = {c for c in candidates if seen[f"n_{c}"] and not seen[f"z_{c}"] and seen[f"c_{c}"]}
-    value = lambda c: F.replace(F.replace(F.trim(c), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double").alias(c)
-    return df.select(*[value(c) if c in turn else F.col(c) for c in df.columns])
+    return df.select(*[br_number(F.col(c))["value"].alias(c) if c in turn else F.col(c) for c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -151,36 +157,42 @@ def write_bundle(tables: dict[str, DataFrame], keys: dict[str, list[str]], out_d
             errors.append(f"{name}: NULL in key")
         if not df.groupBy(*k).count().where("count > 1").isEmpty():
             errors.append(f"{name}: duplicate keys")
-    if os.path.exists(out_dir):
+    spark = next(iter(tables.values())).sparkSession if tables else None
+    target = Folder(spark, out_dir) if spark else None
+    if target and target.exists():
         errors.append(f"{out_dir} exists")
+    if not tables:
+        errors.append("no tables")
     if errors:
         raise ValueError("; ".join(errors))
-    part = f"{out_dir}.{uuid.uuid4().hex[:8]}.part"
+    part = Folder(spark, f"{out_dir}.{uuid.uuid4().hex[:8]}.part")
     manifest = {"version": version, "tables": {}}
     try:
         for name, df in tables.items():
-            df.write.parquet(f"file://{os.path.abspath(part)}/{name}.parquet")
-            back = df.sparkSession.read.parquet(f"file://{os.path.abspath(part)}/{name}.parquet")
+            df.write.parquet(part.child(f"{name}.parquet"))
+            back = spark.read.parquet(part.child(f"{name}.parquet"))
             rows, digest = content_hash(back)
             manifest["tables"][name] = {"rows": rows, "hash": digest, "columns": dict(back.dtypes), "key": keys[name]}
         manifest["bundle_id"] = canonical_hash(manifest)
-        with open(f"{part}/manifest.json", "w") as f:
-            json.dump(manifest, f, sort_keys=True, indent=1)
-        os.replace(part, out_dir)
+        part.write_text("manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
+        part.rename(out_dir)
     finally:
-        shutil.rmtree(part, ignore_errors=True)
+        part.delete()
     return manifest
 
 
 def verify_bundle(spark: SparkSession, bundle_dir: str) -> list[str]:
     """What does not fit the manifest: missing or unlisted tables, other columns, row counts or contents."""
-    with open(f"{bundle_dir}/manifest.json") as f:
-        manifest = json.load(f)
+    folder = Folder(spark, bundle_dir)
+    try:
+        manifest = json.loads(folder.read_text("manifest.json"))
+    except Exception as e:  # noqa: BLE001 - whatever keeps it from being read
+        return [f"manifest.json: {str(e).splitlines()[0][:200]}"]
     listed = set(manifest["tables"])
-    there = {x[: -len(".parquet")] for x in os.listdir(bundle_dir) if x.endswith(".parquet")}
+    there = {x[: -len(".parquet")] for x in folder.names() if x.endswith(".parquet")}
     problems = [f"{n}: missing" for n in sorted(listed - there)] + [f"{n}: not listed" for n in sorted(there - listed)]
     for n in sorted(listed & there):
-        df = spark.read.parquet(f"file://{os.path.abspath(bundle_dir)}/{n}.parquet")
+        df = spark.read.parquet(folder.child(f"{n}.parquet"))
         want = manifest["tables"][n]
         if dict(df.dtypes) != want["columns"]:
             problems.append(f"{n}: other columns")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.functions import text
 from sucrogas.sources import files
+from sucrogas.sources import registry_files as R
 
 
 def test_csv_readers(spark, tmp_path):
@@ -49,7 +50,10 @@ def test_bundle_round_trip_and_tampering(spark, tmp_path):
         files.write_bundle({"x": spark.createDataFrame([(1,), (1,)], "id int")}, {"x": ["id"]}, str(tmp_path / "c"), "1.0")
     man = json.load(open(f"{out}/manifest.json"))
     man["tables"]["x"]["rows"] = 4
-    json.dump(man, open(f"{out}/manifest.json", "w"))
+    with open(f"{out}/manifest.json", "w") as f:
+        json.dump(man, f)
+    assert files.verify_bundle(spark, out)[0].startswith("manifest.json: ")  # the file system's checksum tells
+    os.remove(f"{out}/.manifest.json.crc")
     os.makedirs(f"{out}/y.parquet")
     assert files.verify_bundle(spark, out) == ["y: not listed", "x: 5 rows, expected 4"]
 
@@ -77,3 +81,60 @@ def test_text_edges(spark):
     got = [(r.v, r.a) for r in df.select(n["value"].alias("v"), n["ambiguous"].alias("a")).collect()]
     assert got == [(1234.0, True), (12.5, False), (None, False), (None, False), (None, None)]
     assert [r[0] for r in spark.createDataFrame([("ﬁm①",), (None,)], "t string").select(text.nfkc("t")).collect()] == ["fim1", None]
+
+
+def test_registry_readers(spark, tmp_path):
+    head = ",".join(R.PARAMETER_COLUMNS)
+    (tmp_path / "p.csv").write_text(f'{head},extra\nvin_gen,supply,"Vinasse, generated",12,10,~15,L,x,S,"says ""so""",,,z\n')
+    row = R.read_parameters(spark, str(tmp_path / "p.csv")).first()
+    assert (row.central, row.low, row.high, row.raw_high, row.notes, row.page) == (12.0, 10.0, None, "~15", 'says "so"', "")
+    assert R.parameter(R.read_parameters(spark, str(tmp_path / "p.csv")), "vin_gen")["central"] == 12.0
+    with pytest.raises(KeyError):
+        R.parameter(R.read_parameters(spark, str(tmp_path / "p.csv")), "nothing")
+    (tmp_path / "q.csv").write_text("id,module\n1,2\n")
+    with pytest.raises(ValueError):
+        R.read_parameters(spark, str(tmp_path / "q.csv"))
+    (tmp_path / "j.csv").write_text('id,total\n1,"1,234.5"\n2,\n3,n/a\n')
+    assert [r.total for r in R.read_projects(spark, str(tmp_path / "j.csv"), ["total", "other"]).orderBy("id").collect()] == [1234.5, None, None]
+
+
+def test_yaml_sources(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("sources:\n- id: a\n  also: [x, y]\n- id: b\n  n: 3\n")
+    assert {(r.id, r.also, r.n) for r in R.read_sources(spark, str(tmp_path / "s.yaml")).collect()} == {("a", "x;y", None), ("b", None, "3")}
+    (tmp_path / "t.yaml").write_text("other: 1\n")
+    with pytest.raises(ValueError):
+        R.read_sources(spark, str(tmp_path / "t.yaml"))
+
+
+def test_candidates_are_refused_as_a_whole(spark):
+    ok = spark.createDataFrame([("a", "1.5", "-40"), ("b", "-91", "0")], "id string, lat string, lon string")
+    assert [tuple(r) for r in R.extra_candidates(ok.limit(1)).collect()] == [("a", "extra", "", "", 1.5, -40.0)]
+    with pytest.raises(ValueError, match="1 rows without coordinates in degrees"):
+        R.extra_candidates(ok)
+    with pytest.raises(ValueError, match="rows without id; 1 repeated ids"):
+        R.extra_candidates(spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 1.0), (None, 1.0, 1.0)], "id string, lat double, lon double"))
+    with pytest.raises(ValueError, match="lon"):
+        R.extra_candidates(ok.drop("lon"))
+    long = R.criteria(spark.createDataFrame([(1, "0.5", "", "True"), (2, "x", "1", None)], "i int, n_a string, n_b string, excluded string"), "i")
+    assert sorted((r.i, r.criterion, r.value, r.excluded) for r in long.collect() if r.value is not None) == [(1, "a", 0.5, True), (2, "b", 1.0, False)]
+    with pytest.raises(KeyError):
+        R.plant_series(spark.createDataFrame([("a", None)], "p string, d date"), "b", "p", "d", [])
+
+
+def test_staged_load_keeps_the_old_table(spark, tmp_path):
+    root = str(tmp_path / "db")
+    good = lambda n: lambda: spark.range(n)
+
+    def bad():
+        raise ValueError("no such file\nmore")
+
+    assert [(x["name"], x["ok"], x["rows"]) for x in R.staged_load(spark, root, {"a": good(3), "b": bad, "c": good(1)})] == [("a", True, 3), ("b", False, None), ("c", True, 1)]
+    assert R.staged_load(spark, root, {"a": bad})[0]["error"] == "no such file" and spark.read.parquet(f"{root}/a").count() == 3
+    R.staged_load(spark, root, {"a": good(5)})
+    assert spark.read.parquet(f"{root}/a").count() == 5 and spark.read.parquet(f"{root}/_load_log").count() == 5
+    assert not [x for x in os.listdir(root) if x.startswith(("_stage", "_old"))]
+    R.write_small(spark.range(2), f"{root}/x", "json")
+    assert spark.read.json(f"{root}/x").count() == 2
+    with pytest.raises(ValueError):
+        R.write_small(spark.range(2), f"{root}/x", "xml")
