@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from sucrogas.operators.spatial import haversine_km
 from sucrogas.session import ensure_checkpoint_dir
 
 
+#: Rows of one draw that a single window may rank.
+ROWS_PER_WINDOW = 1_000_000
+
+
 def normalize(df: DataFrame, criteria: dict[str, str], method: str = "linear", excluded: str | None = None) -> DataFrame:
     """Criteria mapped to [0, 1] (1 best) as columns ``n_<name>``; ``criteria`` is column -> "higher" or "lower".
 
@@ -73,18 +79,29 @@ def weight_draws(names: list[str], n: int, concentration: float, seed: int) -> l
 def weight_sensitivity(df: DataFrame, key: str, names: list[str], draws: list[tuple], top_k: int) -> DataFrame:
     """Rank statistics of every row over weight vectors: median, 5 % and 95 % rank, share of draws in the top k (ties included).
 
-    The draws are a short parameter list, exploded as an array literal; ranks are made per draw.
+    The draws are a short parameter list, exploded from one literal; ranks are made per draw.  Up to ``ROWS_PER_WINDOW`` rows a draw is
+    ranked by one window of its own (there are as many tasks as draws); with more rows, which are counted first, the ranks come
+    from ``value_ranks``, which splits a draw.  Both give the same ranks.  A row's ranks are as many as there are draws.
     """
-    lit = F.array(*[F.struct(F.lit(d[0]).alias("draw"), *[F.lit(x).alias(f"w{i}") for i, x in enumerate(d[1:])]) for d in draws])
+    fields = ", ".join(f"w{i}: double" for i in range(len(names)))
+    lit = F.from_json(F.lit(json.dumps([{"draw": d[0], **{f"w{i}": x for i, x in enumerate(d[1:])}} for d in draws])), f"array<struct<draw: int, {fields}>>")
     s: Column = F.lit(0.0)
     for i, c in enumerate(names):
         s = s + F.col(f"n_{c}") * F.col(f"_d.w{i}")
     long = df.select(key, *[f"n_{c}" for c in names], F.explode(lit).alias("_d")).select(key, F.col("_d.draw").alias("draw"), F.round(s, 12).alias("s")).where(F.col("s").isNotNull())
-    ranked = long.join(value_ranks(long, ["draw"], "s").select("draw", "s", F.col("rank").alias("r")), ["draw", "s"])
-    p = F.percentile("r", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return ranked.groupBy(key).agg(p.alias("_p"), F.avg((F.col("r") <= top_k).cast("double")).alias("p_top_k")).select(
-        key, F.col("_p")[1].alias("rank_median"), F.col("_p")[0].alias("rank_p05"), F.col("_p")[2].alias("rank_p95"), "p_top_k"
-    )
+    if df.count() <= ROWS_PER_WINDOW:
+        ranked = long.select(key, F.rank().over(Window.partitionBy("draw").orderBy(F.col("s").desc())).alias("r"))
+    else:
+        ranked = long.join(value_ranks(long, ["draw"], "s").select("draw", "s", F.col("rank").cast("int").alias("r")), ["draw", "s"]).select(key, "r")
+    per = ranked.groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("_r"))
+
+    def at(q: float) -> Column:
+        place = F.lit(q) * (F.size("_r") - 1)
+        lo, hi = F.col("_r")[F.floor(place).cast("int")], F.col("_r")[F.ceil(place).cast("int")]
+        return lo + (hi - lo) * (place - F.floor(place))
+
+    top = F.size(F.filter("_r", lambda r: r <= top_k)) / F.size("_r")
+    return per.select(key, at(0.5).alias("rank_median"), at(0.05).alias("rank_p05"), at(0.95).alias("rank_p95"), top.alias("p_top_k"))
 
 
 def one_at_a_time(df: DataFrame, key: str, weights: dict[str, float], delta: float, top_k: int) -> DataFrame:

@@ -155,7 +155,7 @@ def anchor_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five parts of the unit cost per order, its price being the investment and its lines the output."""
     o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("double").alias("q"), F.sum("l_extendedprice").cast("double").alias("p"), F.sum("l_tax").cast("double").alias("t"))
-    c = economics.unit_cost(F.col("p"), F.col("q") - 60, F.lit(0.08), F.lit(15), fixed=F.col("p") * 0.0317, variable=F.lit(0.1), feedstock=F.col("q") * 2, transport=F.col("t") * 5, coproduct=F.col("q") * 0.5)
+    c = economics.unit_cost(F.col("p"), F.col("q") - 60, F.lit(0.08), F.lit(15), fixed=F.col("p") * 0.0317, variable=F.lit(0.10000013), feedstock=F.col("q") * 2, transport=F.col("t") * 5, coproduct=F.col("q") * 0.5)
     return o.select("l_orderkey", *[F.round(c[k], 6).alias(k) for k in ("investment", "operation", "feedstock", "transport", "coproduct", "total")])
 
 
@@ -221,6 +221,6 @@ SQL = {
     "anchor_comparison": f"""WITH {_chain_sql([(0, 'opex_epe', 0.15)], [0], False)}, an(anchor_id, low, high, unit) AS (VALUES {_rows(ANCHORS)}), v AS (SELECT crop_year, an.*, CASE WHEN starts_with(unit, 'US$ per MMBtu') THEN unit_cost / 5.4e0 / 39.8e0 * 1055.05585e0 WHEN starts_with(unit, 'R$ per m3') THEN unit_cost END AS v FROM y, an)
         SELECT crop_year, anchor_id, low, high, unit, round(v, 7) AS engine_value, v BETWEEN low AND high AS within_range FROM v""",
     "cost_parts": """WITH o AS (SELECT l_orderkey, sum(l_quantity)::DOUBLE AS q, sum(l_extendedprice)::DOUBLE AS p, sum(l_tax)::DOUBLE AS t FROM lineitem GROUP BY 1), c AS (SELECT *, q - 60 AS e, 0.08e0 * pow(1.08e0, 15) / (pow(1.08e0, 15) - 1) AS f FROM o),
-        d AS (SELECT l_orderkey, p * f / e AS investment, p * 0.0317e0 / e + 0.1e0 AS operation, q * 2 / e AS feedstock, t * 5 / e AS transport, q * 0.5e0 / e AS coproduct, e FROM c)
+        d AS (SELECT l_orderkey, p * f / e AS investment, p * 0.0317e0 / e + 0.10000013e0 AS operation, q * 2 / e AS feedstock, t * 5 / e AS transport, q * 0.5e0 / e AS coproduct, e FROM c)
         SELECT l_orderkey, """ + ", ".join(f"CASE WHEN e > 0 THEN round({x}, 6) END AS {c}" for c, x in [*[(c, c) for c in ("investment", "operation", "feedstock", "transport", "coproduct")], ("total", "investment + operation + feedstock + transport - coproduct")]) + " FROM d",
 }
