@@ -59,8 +59,11 @@ def with_digester(loads: DataFrame, keys: list[str], olr_max: Amount, hrt_min: A
 
     At zero flow the retention is unbounded: NULL.
     """
-    need = F.greatest(F.col("vs_load_kg_d") / amount(olr_max), F.col("flow_m3_d") * amount(hrt_min))
-    sized = loads.withColumn("digester_m3", F.max(need).over(Window.partitionBy(*keys)))
+    by_load, by_time = F.col("vs_load_kg_d") / amount(olr_max), F.col("flow_m3_d") * amount(hrt_min)
+    need = F.when(by_load.isNotNull() & by_time.isNotNull(), F.greatest(by_load, by_time))
+    # A month that is not known leaves the volume unknown.
+    months = Window.partitionBy(*keys)
+    sized = loads.withColumn("digester_m3", F.when(F.bool_and(need.isNotNull()).over(months), F.max(need).over(months)))
     return sized.withColumns({"olr": F.try_divide(F.col("vs_load_kg_d"), F.col("digester_m3")), "hrt_d": F.try_divide(F.col("digester_m3"), F.col("flow_m3_d"))})
 
 
@@ -80,10 +83,13 @@ def with_gas(sized: DataFrame, *, x_ch4: Amount, bmp_fullscale: Amount) -> DataF
 
 
 def mass_balance(months: DataFrame, *, nameplate: Amount, recovery: Amount) -> DataFrame:
-    """Output of each month, capped by the nameplate (per day): potential, delivered and curtailed biomethane, per day, capacity factor."""
+    """Output of each month, capped by the nameplate (per day): potential, delivered and curtailed biomethane, per day, capacity factor.
+
+    Without a nameplate (NULL) nothing is capped and there is no capacity factor; an unknown potential stays unknown.
+    """
     potential = F.col("ch4_nm3") * amount(recovery)
     cap = amount(nameplate) * F.col("days")
-    out = F.least(potential, cap)
+    out = F.when(cap < potential, cap).otherwise(potential)
     return months.withColumns({"potential_nm3": potential, "biomethane_nm3": out, "curtailed_nm3": potential - out, "biomethane_nm3_d": out / F.col("days"), "capacity_factor": F.try_divide(out, cap)})
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sucrogas.operators import economics, process, sensitivity, supply
+from sucrogas.session import ensure_checkpoint_dir
 
 # Parameter ids with their unit, as they stand in the parameter table.
 COEFFICIENTS = {"ethanol_l_per_t": "ethanol_yield", "vinasse_l_per_l": "vin_gen", "cake_kg_per_t": "fc_gen", "straw_kg_per_t": "straw_gen", "straw_recoverable": "straw_recov"}
@@ -113,15 +114,18 @@ def run_chain(cases: DataFrame, params: DataFrame, scenarios: list[int], keys: l
     feed = supply.to_feed(residues, key, density, carry)
     loads = process.monthly_loads(feed, substrates(w, density), key, carry)
     gas = process.with_gas(process.with_digester(loads, key, "olr_max", "hrt_min"), x_ch4=x_ch4, bmp_fullscale="bmp_fullscale")
-    capped = process.mass_balance(gas.withColumn("nameplate", F.coalesce("nameplate", F.lit(float("inf")))), nameplate="nameplate", recovery=recovery)
+    capped = process.mass_balance(gas, nameplate="nameplate", recovery=recovery)
     return process.feasibility(capped, olr_max="olr_max", hrt_min="hrt_min", ts_max="ts_max", cod_so4_min="cod_so4_min", k_max="k_max")
 
 
 def outputs(months: DataFrame, keys: list[str]) -> DataFrame:
-    """The four outputs of every case and scenario: annual biomethane, annual capacity factor, unit cost (NULL without output), infeasible months; and the peak."""
+    """The four outputs of every case and scenario: annual biomethane, annual capacity factor, unit cost (NULL without output or nameplate), infeasible months; and the peak.
+
+    A case with a month that is not known has no annual biomethane.
+    """
     key = ["scenario_id", *keys]
     g = months.groupBy(*key).agg(
-        F.sum("biomethane_nm3").alias("annual_biomethane_nm3"), F.sum(F.col("nameplate") * F.col("days")).alias("_cap"), F.max(F.col("potential_nm3") / F.col("days")).alias("peak_nm3_d"),
+        F.when(F.bool_and(F.col("biomethane_nm3").isNotNull()), F.sum("biomethane_nm3")).alias("annual_biomethane_nm3"), F.sum(F.col("nameplate") * F.col("days")).alias("_cap"), F.max(F.col("potential_nm3") / F.col("days")).alias("peak_nm3_d"),
         F.sum((~F.col("feasible")).cast("int")).cast("double").alias("months_infeasible"), *[F.max(c).alias(c) for c in ("nameplate", "specific", "variable", "rate", "years")],
     )
     cost = economics.unit_cost(F.col("nameplate") * F.col("specific"), F.col("annual_biomethane_nm3"), F.col("rate"), F.col("years"), variable=F.col("variable"))
@@ -153,6 +157,7 @@ def elementary_effects(results: DataFrame, plan: DataFrame, moves: DataFrame, ce
     ``central``: one row of outputs; ``resamples``: ``resample``, ``trajectory`` (drawn with replacement).  ``mu_star_conf`` is 1.96 deviations of the
     means over resampled trajectories.
     """
+    ensure_checkpoint_dir(plan.sparkSession)
     long = plan.join(results, "scenario_id").unpivot(["trajectory", "step"], list(OUTPUTS), "output", "y")
     order = Window.partitionBy("output", "trajectory").orderBy("step")
     steps = long.withColumn("dy", F.col("y") - F.lag("y").over(order))
