@@ -75,6 +75,13 @@ def sum_list(c: Column, sep: str = ";") -> Column:
     return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
 
 
+def key_values(c: Column, sep: str = ";", eq: str = "=") -> Column:
+    """A text of pairs ("a=1; b=2") as a map; parts without a key or without the sign are left out, of a repeated key the last counts; NULL stays NULL."""
+    pairs = F.filter(F.transform(F.split(c, sep), lambda x: F.transform(F.split(x, eq, 2), lambda y: F.trim(y))), lambda x: (F.size(x) == 2) & (x[0] != ""))
+    last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x[0]), F.create_map(x[0], x[1])))
+    return F.when(c.isNotNull(), last)
+
+
 def url_domain(c: Column) -> Column:
     """The host of a URL without "www."; NULL for anything that is no URL."""
     return F.regexp_replace(F.regexp_extract(F.lower(c), r"^https?://([^/:?#]+)", 1), r"^www\.", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sucrogas.operators.ranks import quantiles
@@ -202,3 +202,17 @@ def load_problems(curves: DataFrame, keys: list[str]) -> DataFrame:
     own = seen.select(*keys, "day", F.explode(found).alias("problem")).select(*keys, "problem", "day")
     start = curves.groupBy(*keys).agg(F.min("day").alias("_first")).where(F.col("_first").isNull() | (F.col("_first") > 0)).select(*keys, F.lit("no day 0").alias("problem"), F.lit(None).cast(dict(curves.dtypes)["day"]).alias("day"))
     return own.unionByName(start).distinct()
+
+
+def off_season_shares(simulated: DataFrame, observed: DataFrame, keys: list[str], months: list[int]) -> DataFrame:
+    """Share of the volume that falls into the off-season months, simulated and observed, over the months that have both: keys, ``sim_share``, ``obs_share``; NULL without volume."""
+    j = simulated.join(observed, [*keys, "month"]).where(F.col("sim").isNotNull() & F.col("obs").isNotNull())
+    off = F.month("month").isin(*months)
+    share = lambda c: F.try_divide(F.sum(F.when(off, F.col(c)).otherwise(0.0)), F.sum(c))
+    return j.groupBy(*keys).agg(share("sim").alias("sim_share"), share("obs").alias("obs_share"))
+
+
+def control_recovery(validity: DataFrame, control: Column, theoretical: float, low: float, high: float) -> DataFrame:
+    """Adds ``recovery``, the final mean of a positive control over its theoretical yield, and ``ok_control``; both NULL for samples."""
+    r = F.when(control, F.col("final_mean") / F.lit(theoretical))
+    return validity.withColumns({"recovery": r, "ok_control": r.between(low, high)})

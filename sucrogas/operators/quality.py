@@ -83,3 +83,11 @@ def closure(edges: DataFrame, start: DataFrame, most_rounds: int = 50) -> DataFr
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name; columns missing from a frame are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def against_totals(rows: DataFrame, keys: list[str], value: str, totals: DataFrame, total: str, tolerance: float) -> DataFrame:
+    """Sums of a table against its printed totals: keys, ``n`` rows, ``sum``, the printed total, ``difference`` and ``ok``; keys on one side only are not ok."""
+    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("sum"))
+    j = g.join(totals.select(*keys, F.col(total).alias("printed")), keys, "full_outer")
+    d = F.col("sum") - F.col("printed")
+    return j.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "sum", "printed", d.alias("difference"), F.coalesce(F.abs(d) <= tolerance, F.lit(False)).alias("ok"))

@@ -269,8 +269,45 @@ def grid_scores(cells: DataFrame, criteria: dict[str, str], weights: dict[str, f
 
 
 def hubs_for_share(trace: DataFrame, total: float, shares: list[float]) -> DataFrame:
-    """The first step that reaches each share of the supply; NULL if none does."""
-    return trace.agg(*[F.min(F.when(F.col("covered") >= s * total, F.col("step"))).alias(f"step_{round(s * 100)}") for s in shares])
+    """How many hubs, fixed ones not counted, it takes to reach each share of the supply; NULL if none does.  The trace is one row per step."""
+    new = trace.withColumn("_new", F.sum((~F.col("fixed")).cast("int")).over(Window.orderBy("step")))
+    return new.agg(*[F.min(F.when(F.col("covered") >= s * total, F.col("_new"))).cast("int").alias(f"step_{round(s * 100)}") for s in shares])
+
+
+def prune_hubs(edges: DataFrame, supply: DataFrame, hubs: DataFrame, q_min: float) -> DataFrame:
+    """Hubs left when those with less than ``q_min`` after allocation are closed, smallest first (ties: the later step), their sources going to the next best.
+
+    ``hubs``: ``hub``, ``step``, ``fixed`` (fixed ones stay).  One aggregation per closed hub; the driver holds the hubs, a row per greedy step.  Returns ``step``, ``hub``, ``fixed``,
+    ``closed``, ``supply`` and ``sources`` of the open ones (0 for closed ones).
+    """
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    mine = edges.join(hubs.select(F.col("hub").alias("j")), "j", "left_semi").join(supply, "i").checkpoint()
+    all_ = [(r["step"], r["hub"], bool(r["fixed"])) for r in hubs.select("step", "hub", "fixed").orderBy("step").collect()]
+    open_ = list(all_)
+    kind = dict(hubs.dtypes)["hub"]
+    while True:
+        now = spark.createDataFrame(open_, f"step int, hub {kind}, fixed boolean") if open_ else hubs.select(F.col("step").cast("int").alias("step"), "hub", "fixed").limit(0)
+        got = allocate(mine.select("i", "j", "w"), now).join(supply, "i").groupBy("hub").agg(F.sum(F.col("w") * F.col("s")).alias("q"), F.count_distinct(F.when(F.col("w") * F.col("s") > 0, F.col("i"))).alias("n"))
+        have = {r["hub"]: (r["q"], r["n"]) for r in got.collect()}
+        weak = [(have.get(h, (0.0, 0))[0], -step, h) for step, h, fixed in open_ if not fixed and have.get(h, (0.0, 0))[0] < q_min]
+        if not weak:
+            rows = [(step, h, f, h not in {x[1] for x in open_}, float(have.get(h, (0.0, 0))[0]), int(have.get(h, (0.0, 0))[1])) for step, h, f in all_]
+            return spark.createDataFrame(rows, f"step int, hub {kind}, fixed boolean, closed boolean, supply double, sources long")
+        open_ = [x for x in open_ if x[1] != min(weak)[2]]
+
+
+def cells_behind(allocation: DataFrame, supply: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Distinct sources with supply behind a set of hubs, and their allocated supply: one row."""
+    a = allocation.join(hubs.select("hub").distinct(), "hub", "left_semi").join(supply, "i").where(F.col("w") * F.col("s") > 0)
+    return a.agg(F.count_distinct("i").alias("sources"), F.coalesce(F.sum(F.col("w") * F.col("s")), F.lit(0.0)).alias("supply"))
+
+
+def edge_issues(edges: DataFrame) -> DataFrame:
+    """What keeps edges from being weights: repeated pairs, and weights that are missing or outside [0, 1]: ``i``, ``j``, ``issue``."""
+    g = edges.groupBy("i", "j").agg(F.count("*").alias("n"), F.bool_or(~F.coalesce(F.col("w").between(0, 1), F.lit(False))).alias("bad"))
+    found = F.array_compact(F.array(F.when(F.col("n") > 1, F.lit("repeated")), F.when(F.col("bad"), F.lit("no weight in [0, 1]"))))
+    return g.select("i", "j", F.explode(found).alias("issue"))
 
 
 def withhold_small(df: DataFrame, count: str, values: list[str], k_min: int) -> DataFrame:

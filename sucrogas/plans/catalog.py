@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sucrogas.plans import calibration, chain, exchange, extras, jobs, loading, places, problems, registry, reports, screening, validation
+from sucrogas.plans import calibration, chain, exchange, extras, jobs, loading, more, places, problems, registry, reports, screening, validation
 
-_MODULES = (chain, places, calibration, registry, loading, extras, jobs, exchange, screening, validation, reports, problems)
+_MODULES = (chain, places, calibration, registry, loading, extras, jobs, exchange, more, screening, validation, reports, problems)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
