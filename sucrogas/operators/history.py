@@ -15,7 +15,7 @@ from sucrogas.operators.vocabulary import learn, name_tokens
 from sucrogas.session import ensure_checkpoint_dir
 
 OPEN_END = "9999-12-31"
-READING = "struct<date:date,version:timestamp,capacity:double,company:int>"
+READING = "struct<date:date,capacity:double,company:int>"
 
 
 def canonical_names(names: list[str], same: Callable[[str, str], bool]) -> list[int]:
@@ -66,8 +66,8 @@ def merge_versions(current: DataFrame, delivery: DataFrame, tolerance: float) ->
 
     ``current``: one row per key and version with its period, attributes, ``attr_hash``, the attributes last stated before it (``seed_*``) and the
     readings it was stated by.  ``delivery``: ``key``, ``date``, ``version``, ``capacity``, ``company``, any number of dates per key in any
-    order, late ones and corrections too.  Of the readings of one key and date the one with the latest version is valid (equal
-    versions: the larger payload).
+    order, late ones and corrections too.  Deliveries come in the order of their versions: a delivered reading replaces the one the dimension holds for that
+    date, and of those of one delivery the latest version is valid (equal versions: the larger payload).
 
     The attribute hash of each reading is compared with that of the version it follows: an equal hash confirms the version, another one closes
     it the day before and opens a new one.  Before the hash is taken, a capacity within ``tolerance`` of the last stated one is replaced by that
@@ -75,18 +75,18 @@ def merge_versions(current: DataFrame, delivery: DataFrame, tolerance: float) ->
     that the delivery reaches are opened again.  All comparisons are made on one partitioning by key; a key is as
     large as its calendar.  NULL keys and dates are ignored; an empty delivery changes nothing.
     """
-    reading = F.struct("date", F.col("version").cast("timestamp").alias("version"), F.col("capacity").cast("double").alias("capacity"), F.col("company").cast("int").alias("company"))
-    given = delivery.where(F.col("key").isNotNull() & F.col("date").isNotNull()).select("key", reading.alias("_r"), F.lit(None).cast("struct<valid_from:date,c:double,o:int>").alias("_s"))
+    reading = F.struct("date", F.col("capacity").cast("double").alias("capacity"), F.col("company").cast("int").alias("company"))
+    given = delivery.where(F.col("key").isNotNull() & F.col("date").isNotNull()).select("key", reading.alias("_r"), F.lit(None).cast("struct<valid_from:date,c:double,o:int>").alias("_s"), F.lit(True).alias("_new"), "version")
     first = given.groupBy("key").agg(F.min("_r.date").alias("_first"))
     known = current.join(first, "key", "left").withColumn("_reached", F.coalesce(F.col("valid_to") >= F.date_sub("_first", 1), F.lit(False)))
     untouched = known.where("NOT _reached").select(*current.columns)
     seed = F.struct("valid_from", F.col("seed_capacity").alias("c"), F.col("seed_company").alias("o"))
-    opened = known.where("_reached").select("key", F.explode("readings").alias("_r"), seed.alias("_s"))
+    opened = known.where("_reached").select("key", F.explode("readings").alias("_r"), seed.alias("_s"), F.lit(False).alias("_new"), F.lit(None).cast(dict(delivery.dtypes)["version"]).alias("version"))
     rows = opened.unionByName(given).withColumn("_d", F.col("_r.date"))
 
     key = Window.partitionBy("key")
-    newest = F.row_number().over(Window.partitionBy("key", "_d").orderBy(F.desc("_r")))
-    valid = rows.withColumn("_seed", F.min("_s").over(key)).withColumn("_n", newest).where("_n = 1").drop("_n", "_s")
+    newest = F.row_number().over(Window.partitionBy("key", "_d").orderBy(F.desc("_new"), F.desc_nulls_last("version"), F.desc("_r")))
+    valid = rows.withColumn("_seed", F.min("_s").over(key)).withColumn("_n", newest).where("_n = 1").drop("_n", "_s", "_new", "version")
     order = key.orderBy("_d")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     c, o = F.col("_r.capacity"), F.col("_r.company")
@@ -121,10 +121,7 @@ def delivered_history(df: DataFrame, key: str, date: str, version: str, capacity
     ``valid_from``, ``valid_to``, ``capacity``, ``company`` (number within the key), ``attr_hash``.  An empty table gives no rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    numbers = company_numbers(df, key, operator).withColumnRenamed("name", "_operator")
-    cells = df.select(F.col(key).alias("key"), F.col(date).cast("date").alias("date"), F.col(version).cast("timestamp").alias("version"), F.col(capacity).cast("double").alias("capacity"), F.col(operator).alias("_operator"))
-    dated = cells.distinct().join(numbers, ["key", "_operator"], "left").select("key", "date", "version", "capacity", "company", F.coalesce(F.year("version"), F.lit(0)).alias("_year"))
-    rows = dated.checkpoint()
+    rows = numbered_readings(df, key, date, version, capacity, operator).withColumn("_year", F.coalesce(F.year("version"), F.lit(0))).checkpoint()
     years = sorted(r[0] for r in rows.select("_year").distinct().collect())  # a calendar
     dimension = empty_dimension(df, key)
     for y in years:
@@ -134,12 +131,17 @@ def delivered_history(df: DataFrame, key: str, date: str, version: str, capacity
 
 def recomputed_history(df: DataFrame, key: str, date: str, version: str, capacity: str, operator: str, tolerance: float) -> DataFrame:
     """The same from all readings at once: one delivery merged into an empty dimension."""
-    numbers = company_numbers(df, key, operator).withColumnRenamed("name", "_operator")
-    cells = df.select(F.col(key).alias("key"), F.col(date).cast("date").alias("date"), F.col(version).cast("timestamp").alias("version"), F.col(capacity).cast("double").alias("capacity"), F.col(operator).alias("_operator"))
-    rows = cells.join(numbers, ["key", "_operator"], "left").drop("_operator")
+    rows = numbered_readings(df, key, date, version, capacity, operator)
     return merge_versions(empty_dimension(df, key), rows, tolerance).select(F.col("key").alias(key), "valid_from", "valid_to", "capacity", "company", "attr_hash")
 
 
+def numbered_readings(df: DataFrame, key: str, date: str, version: str, capacity: str, operator: str) -> DataFrame:
+    """Readings as ``merge_versions`` takes them, the spelling of the operator replaced by its company; spellings are joined by their hash, so the texts are not shuffled."""
+    numbers = company_numbers(df, key, operator).select("key", F.xxhash64("name").alias("_spelt"), "company")
+    cells = df.select(F.col(key).alias("key"), F.col(date).cast("date").alias("date"), F.col(version).cast("timestamp").alias("version"), F.col(capacity).cast("double").alias("capacity"), F.when(F.col(operator).isNotNull(), F.xxhash64(operator)).alias("_spelt"))
+    return cells.join(numbers, ["key", "_spelt"], "left").drop("_spelt")
+
+
 def scd2_merge(current: DataFrame, updates: DataFrame, key: str, attributes: list[str], date: str) -> DataFrame:
     """Type-two merge of one delivery into a dimension.
 
