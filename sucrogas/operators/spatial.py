@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sucrogas.operators.ranks import spread_rank
+from sucrogas.operators.ranks import buckets_for, spread_rank
 
 #: Mean and authalic Earth radius.
 EARTH_KM = 6371.0088
@@ -114,18 +114,20 @@ def od_matrix(origins: DataFrame, destinations: DataFrame, o_id: str, d_id: str,
 
     Both sides are numbered and cut into blocks; a request is one (origin block, destination block) and requests
     run in parallel.  ``fetch`` takes (lat, lon) lists and gives rows of kilometres, None where there is no way.
-    A full matrix is what is asked for, so every block meets every other; both tables are candidate lists.
+    A full matrix is what is asked for, so every block meets every other; both tables are candidate lists.  Only the two row counts reach the driver.
     """
     half = max(1, table_size // 2)
+    n_o, n_d = origins.count(), destinations.count()
 
-    def blocks(df: DataFrame, key: str, tag: str) -> DataFrame:
-        ranked = spread_rank(df.select(F.col(key).alias("k"), "lat", "lon"), [], F.xxhash64("k"), 16)
+    def blocks(df: DataFrame, key: str, tag: str, rows: int) -> DataFrame:
+        ranked = spread_rank(df.select(F.col(key).alias("k"), "lat", "lon"), [], F.xxhash64("k"), buckets_for(rows))
         placed = ranked.select("k", "lat", "lon", F.floor(F.col("rank") / half).alias("b"))
         return placed.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("k", "lat", "lon"))).alias(tag)).select(F.col("b").alias(f"{tag}b"), tag)
 
-    o, d = blocks(origins, o_id, "o"), blocks(destinations, d_id, "d")
-    d_blocks = [r["db"] for r in d.select("db").collect()]
-    pairs = o.withColumn("db", F.explode(F.array(*[F.lit(x) for x in d_blocks]))).join(d, "db")
+    o, d = blocks(origins, o_id, "o", n_o), blocks(destinations, d_id, "d", n_d)
+    # Ranks are without gaps, and so are the numbers of the blocks.
+    d_blocks = -(-n_d // half)
+    pairs = o.withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_blocks - 1).cast("long")) if d_blocks else F.array().cast("array<bigint>"))).join(d, "db")
     kinds = dict(origins.dtypes)[o_id], dict(destinations.dtypes)[d_id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +136,7 @@ def od_matrix(origins: DataFrame, destinations: DataFrame, o_id: str, d_id: str,
                 km = fetch([(x["lat"], x["lon"]) for x in a], [(x["lat"], x["lon"]) for x in z])
                 yield pd.DataFrame([(x["k"], y["k"], km[i][j]) for i, x in enumerate(a) for j, y in enumerate(z)], columns=[o_id, d_id, "km"])
 
-    return pairs.repartition(max(1, len(d_blocks)), "ob", "db").select("o", "d").mapInPandas(run, f"{o_id} {kinds[0]}, {d_id} {kinds[1]}, km double")
+    return pairs.repartition(max(1, d_blocks), "ob", "db").select("o", "d").mapInPandas(run, f"{o_id} {kinds[0]}, {d_id} {kinds[1]}, km double")
 
 
 def polyconic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lon0: float) -> Column:
