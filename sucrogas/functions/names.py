@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -69,21 +70,36 @@ def damerau(a: str, b: str, limit: int, swap_cost: int = 1) -> int:
     la, lb = len(a), len(b)
     if abs(la - lb) > limit:
         return limit + 1
+    far = limit + 1
+    # Only cells within ``limit`` of the diagonal can hold a small enough distance, so long words cost their length, not its square.
     prev2: list[int] = []
-    prev = list(range(lb + 1))
+    prev = [j if j <= limit else far for j in range(lb + 1)]
     for i in range(1, la + 1):
-        cur = [i] + [0] * lb
-        best = i
-        for j in range(1, lb + 1):
+        lo, hi = max(1, i - limit), min(lb, i + limit)
+        cur = [far] * (lb + 1) if lb < 64 else _Row(far)
+        cur[0] = i if i <= limit else far
+        best = cur[0]
+        for j in range(lo, hi + 1):
             c = min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + swap_cost * (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 c = min(c, prev2[j - 2] + 1)
             cur[j] = c
             best = min(best, c)
         if best > limit:
-            return limit + 1
+            return far
         prev2, prev = prev, cur
-    return prev[lb]
+    return min(prev[lb], far)
+
+
+class _Row(dict):
+    """The few cells of a long row near the diagonal; all others are far."""
+
+    def __init__(self, far: int):
+        super().__init__()
+        self.far = far
+
+    def __missing__(self, key: int) -> int:
+        return self.far
 
 
 def letters(token: str) -> str:
@@ -169,6 +185,8 @@ OWN_WEIGHT, LETTER_WEIGHT = 6.0, 0.4
 LEFT_OVER, LEFT_OVER_UNSURE = 1.6, 1.0
 #: Own words less alike than this need a common word to agree as well.
 UNSURE = 0.7
+#: Names are aligned word by word up to so many words.
+MOST_WORDS = 60
 #: Shortest word that may carry a slip.
 MIN_SLIP = 5
 
@@ -195,6 +213,7 @@ class Vocabulary:
         self._units: dict[str, tuple[Unit, ...]] = {}
         self._like: dict[tuple[str, str], float] = {}
         self._profiles: dict[str, tuple[Unit, ...]] = {}
+        self.longest = max(map(len, counts), default=0)
         for w in sorted(counts, key=lambda w: (-counts[w], w)):
             if w in CONNECTIVES or len(w) < 2 or any(c.isdigit() for c in w) or _legal(w):
                 continue
@@ -224,7 +243,7 @@ class Vocabulary:
         return part in self.words and len(part) >= 3 or part in ("e", "de", "em") or len(part) >= 2 and part in LEGAL
 
     def _nearest(self, token: str) -> str | None:
-        if len(token) < MIN_SLIP:
+        if not MIN_SLIP <= len(token) <= self.longest + 2:
             return None
         p = phonetic(token)
         near = {w for key in deletes(token, 2) | deletes(p, 2) for w in self.near.get(key, ())}
@@ -263,7 +282,7 @@ class Vocabulary:
             return ()
         if t in self.words:
             return (self.unit(self.words[t][0], True),)
-        if len(t) >= 4:
+        if 4 <= len(t) <= 14:
             w = next((self.legal_near[k] for k in sorted(deletes(t, 1)) if k in self.legal_near), None)
             if w and damerau(t, w, 1) <= 1:
                 return ()
@@ -273,7 +292,7 @@ class Vocabulary:
         t = t if t in self.starts else phonetic(t) if phonetic(t) in self.starts else t
         if t in self.starts:
             return (self.unit(t, True),)
-        if len(t) >= 7 and any(damerau(t, s, 1) <= 1 for key in deletes(t, 1) for s in self.begun.get(key, ())):
+        if 7 <= len(t) <= self.longest + 1 and any(damerau(t, s, 1) <= 1 for key in deletes(t, 1) for s in self.begun.get(key, ())):
             return (self.unit(t, True),)
         parts = self._segment(t)
         if parts:
@@ -283,17 +302,24 @@ class Vocabulary:
 
     def _segment(self, t: str) -> list[str] | None:
         """A glued token cut into common words, legal forms and connectives; the last may be unfinished or misspelt."""
-        ways: list[list[str] | None] = [[]] + [None] * len(t)
+        # Per position the word that ends there, and whether a word of more than two letters is among those before.
+        ways: list[tuple[str, bool] | None] = [("", False)] + [None] * len(t)
         for i in range(len(t)):
             if ways[i] is None:
                 continue
             for w in self.glue:
-                if len(w) <= len(t) - i and ways[i + len(w)] is None and (len(w) > 2 or i > 0 or w in ("e", "de")) and t.startswith(w, i):
-                    ways[i + len(w)] = [*ways[i], w]
-            rest = t[i:]
-            if i and ways[len(t)] is None and (rest in self.starts and len(rest) >= 3 and any(len(w) > 2 for w in ways[i]) or len(rest) >= 6 and self._nearest(rest)):
-                ways[len(t)] = [*ways[i], rest]
-        return ways[len(t)]
+                if ways[min(i + len(w), len(t))] is None and (len(w) > 2 or i > 0 or w in ("e", "de")) and t.startswith(w, i):
+                    ways[i + len(w)] = (w, ways[i][1] or len(w) > 2)
+            left = len(t) - i
+            if i and left <= self.longest + 2 and ways[len(t)] is None:
+                rest = t[i:]
+                if left >= 3 and rest in self.starts and ways[i][1] or left >= 6 and self._nearest(rest):
+                    ways[len(t)] = (rest, True)
+        out, at = [], len(t)
+        while at and ways[at]:
+            out.append(ways[at][0])
+            at -= len(ways[at][0])
+        return out[::-1] if ways[len(t)] else None
 
     def _unglue(self, t: str) -> tuple[str, list[str]]:
         """A word freed from common words of five letters or legal forms written directly before or after it."""
@@ -387,8 +413,11 @@ class Vocabulary:
     def align(self, a: tuple[Unit, ...], b: tuple[Unit, ...]) -> Agreement:
         """Optimal assignment of the words of two names.
 
-        Initials and abbreviations may stand for words, and joined initials ("GR") for several.
+        Initials and abbreviations may stand for words, and joined initials ("GR") for several.  Of texts of more than ``MOST_WORDS``
+        words only equal words are matched, the others are left over.
         """
+        if max(len(a), len(b)) > MOST_WORDS:
+            return self._equal_words(a, b)
         a, b = self._spread(a, b), self._spread(b, a)
         if not a or not b:
             return Agreement(0.0, 0.0, sum(u.weight for u in a or b), 0.0)
@@ -406,6 +435,14 @@ class Vocabulary:
         left = sorted((sum(u.weight for i, u in enumerate(x) if i not in mine), sum(u.weight for j, u in enumerate(y) if j not in yours)))
         return Agreement(own, left[0], left[1], sum(like[i][j] for i, j in pairs if x[i].common or y[j].common))
 
+    def _equal_words(self, a: tuple[Unit, ...], b: tuple[Unit, ...]) -> Agreement:
+        """The agreement of two long texts by their equal words."""
+        x, y = Counter(a), Counter(b)
+        both = x & y
+        left = sorted(sum(u.weight * n for u, n in (side - both).items()) for side in (x, y))
+        own = float(any(not u.common for u in both)) or float(bool(both) and not left[1])
+        return Agreement(own, left[0], left[1], float(sum(n for u, n in both.items() if u.common)))
+
     def _spread(self, a: tuple[Unit, ...], b: tuple[Unit, ...]) -> tuple[Unit, ...]:
         """The words of ``a`` with joined initials put apart: short words that agree with no word of ``b`` but whose letters all begin one."""
         out: list[Unit] = []

@@ -1,7 +1,7 @@
 import random
 from datetime import date, datetime
 
-from sucrogas.functions.names import Vocabulary, same_company, write
+from sucrogas.functions.names import Vocabulary, damerau, same_company, write
 from sucrogas.operators.history import company_numbers, delivered_history, empty_dimension, merge_versions, recomputed_history, scd2_merge, with_hash
 from sucrogas.operators.vocabulary import learn, name_tokens
 
@@ -113,3 +113,31 @@ def test_common_words_are_learned(spark):
     counts, total = learn(names, "n", "w")
     assert total == 80 and set(counts) == {("gas", 40), ("energia", 40), ("ltda", 80)}
     assert learn(names.limit(0), "n", "w") == ((), 0)
+
+
+def test_long_texts_and_distances():
+    words = Vocabulary({w: 100 for w in COMMON}, 5000)
+    for t in ("a" * 20000, "e" * 3000 + "biogas", "biogas" * 2000, "x" * 100 + " " + "y " * 2000):
+        assert words.score(words.profile(t), words.profile(t)) > 0
+    assert not words.score(words.profile("xo yo " * 1500), words.profile("xo zo " * 1500))
+    assert damerau("ab" * 10000, "ab" * 9999 + "a", 2) == 1 and damerau("ab" * 100, "ba" * 100, 1) == 2 and damerau("abcd", "badc", 2) == 2 and damerau("abc", "abd", 2, swap_cost=2) == 2
+
+    def whole(a, b):
+        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abc", k=rng.choice([rng.randint(0, 8), 70]))) for _ in range(2))
+        assert damerau(a, b, 3) == min(whole(a, b) if len(a) + len(b) < 40 else damerau(a, b, 3), 4)
+    long = "".join(rng.choices("abcd", k=80))
+    for _ in range(50):
+        other = list(long)
+        for _ in range(rng.randint(1, 3)):
+            other[rng.randrange(80)] = "x"
+        assert damerau(long, "".join(other), 2) == min(whole(long, "".join(other)), 3)
