@@ -55,10 +55,33 @@ def profiled(strings: DataFrame, common: Counts, total: int, places: Places) ->
     return strings.mapInPandas(run, "name string, profile string, parts int, letters int")
 
 
+#: Words up to so many letters are indexed by their delete neighbourhood, longer ones by their parts.
+LONG_WORD = 40
+#: Parts of a long word: two slips (a letter turned round may touch two parts) leave at least one of them whole.
+PARTS = 5
+
+
+def index_keys(word: str, stem: str) -> set[str]:
+    """Keys of which two words share one if they are up to two slips apart or one is the other shortened.
+
+    Short words: all forms with up to two letters left out, and the stem's with up to one.  A long word has thousands of those, so it is cut into ``PARTS`` parts; its keys are
+    the pieces of its text that would be a part of a word up to two letters shorter or longer, up to two places away.  Words near the limit have both.
+    """
+    keys: set[str] = set()
+    if len(word) <= LONG_WORD + 2:
+        keys = {k for k in deletes(word, 2) | deletes(stem, 1) if len(k) >= 4}
+    for text in {word, stem} if len(word) >= LONG_WORD - 2 else ():
+        for length in range(len(text) - 3, len(text) + 4):
+            edges = [length * i // PARTS for i in range(PARTS + 1)]
+            for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                keys |= {f"{length}.{i}.{text[a + d : b + d]}" for d in range(-2, 3) if a + d >= 0 and b + d <= len(text)}
+    return keys
+
+
 def word_links(keyed: DataFrame, common: Counts, total: int) -> DataFrame:
     """Pairs (both ways, and each with itself) of key words that are variants of each other: ``word``, ``other``.
 
-    The symmetric-delete neighbourhoods (up to two letters left out of the word, one of its stem) are joined on equality, so words up
+    The symmetric-delete neighbourhoods (``index_keys``: up to two letters left out of the word, one of its stem) are joined on equality, so words up
     to two errors apart, shortened words and words with another ending meet without comparing all pairs; how often a
     word occurs plays no part.  Candidates are verified by distance.
     """
@@ -67,7 +90,7 @@ def word_links(keyed: DataFrame, common: Counts, total: int) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(common, total)
         for b in batches:
-            out = [(w, k) for w in b.word for k in deletes(w, 2) | deletes(v.stem(w)[0], 1) if len(k) >= 4]
+            out = [(w, k) for w in b.word for k in index_keys(w, v.stem(w)[0])]
             yield pd.DataFrame(out, columns=["word", "key"])
 
     index = words.mapInPandas(keys, "word string, key string")

@@ -17,12 +17,14 @@ class PlaceIndex:
         self.names: set[str] = set()
         self.near: dict[str, list[str]] = {}
         self.initials: dict[str, list[str]] = {}
+        self.longest = 0
         for n in sorted({" ".join(tokens(x)) for x in names if x}):
             if not n:
                 continue
             self.names.add(n)
             for key in deletes(n, 1):
                 self.near.setdefault(key, []).append(n)
+            self.longest = max(self.longest, len(n))
             head, _, rest = n.partition(" ")
             if rest:
                 self.initials.setdefault(f"{head[0]} {rest}", []).append(n)
@@ -35,6 +37,8 @@ class PlaceIndex:
             return t
         if t in self.initials:
             return self.initials[t][0] if len(self.initials[t]) == 1 else None
+        if len(t) > self.longest + 1:  # too long to be a name with a letter more
+            return None
         hits = {n for key in deletes(t, 1) for n in self.near.get(key, ()) if damerau(t, n, 2) <= 2}
         best = sorted((damerau(t, n, 2), n) for n in hits)
         if best and (len(best) == 1 or best[0][0] < best[1][0]):

@@ -35,6 +35,7 @@ def test_places():
     ix = PlaceIndex(["Monte Vererapó", "Sapebucu do Brejo", "Nova Jambulândia", "Norte Jambulândia"])
     assert places_of("M. Vererapo/SP; região de Sapebuucu do Brejo (zona rural)", ix) == ["monte vererapo", "sapebucu do brejo"]
     assert places_of("N. Jambulandia", ix) == [] and places_of(None, ix) == [] and places_of("", ix) == [] and places_of("Sapebucu d0 Brejo - MG", ix) == ["sapebucu do brejo"]
+    assert places_of("x" * 50_000, ix) == [] and places_of("Sapebucu do Brejoo", ix) == ["sapebucu do brejo"]
     assert state_of("X - MG") == "MG" and state_of("X") is None and state_of(None) is None
 
 

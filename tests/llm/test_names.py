@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from sucrogas.functions.names import Vocabulary, assignment
-from sucrogas.llm.names_link import name_classes, variant_pairs, word_links
+from sucrogas.llm.names_link import index_keys, name_classes, variant_pairs, word_links
 from sucrogas.llm.titles import gazetteer, title_profiles
 
 PLACES = ["Monte Vererapó", "Ararimbora", "Porto Iricoara da Serra"]
@@ -81,3 +81,20 @@ def test_titles():
     assert texts("Jodulima Destilaria e Bioenergia plant 3") == ["jodulima destilaria bioenergia"]
     assert texts("Jodulima / Jodullima Energia") == ["jodulima jodulima energia"] or len(texts("Jodulima / Jodullima Energia")) == 1
     assert texts(None) == texts("") == texts("Ltda. (expansion)") == []
+
+
+def test_long_words_meet_too(spark):
+    rng = random.Random(8)
+    slip = [lambda w, i: w[:i] + w[i + 1 :], lambda w, i: w[:i] + w[i] + w[i:], lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]]
+    for n in (8, 38, 39, 40, 41, 42, 43, 60, 200):
+        for _ in range(60):
+            a = "".join(rng.choices("bcdfgaeiou", k=n))
+            b = a
+            for _ in range(rng.randint(1, 2)):
+                b = rng.choice(slip)(b, rng.randrange(len(b) - 2))
+            assert index_keys(a, a[:-2]) & index_keys(b, b[:-2]), (n, a, b)
+            assert index_keys(a, a[:-2]) & index_keys(a[:-2], a[:-4])
+    assert len(index_keys("ab" * 10_000, "ab" * 9_999)) < 1000
+    words = spark.createDataFrame([("xy" * 10_000,), ("xy" * 9_999 + "x",), ("b" * 5_000,)], "word string")
+    got = {(len(r.word), len(r.other)) for r in word_links(words, (), 0).collect() if r.word != r.other}
+    assert got == {(20_000, 19_999), (19_999, 20_000)}
