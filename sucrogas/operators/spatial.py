@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,14 @@ from sucrogas.operators.ranks import buckets_for, spread_rank
 EARTH_KM = 6371.0088
 AUTHALIC_M = 6371007.181
 
+#: Tasks that share a cube of a radius join, and keys of one place in one list.
+SPLITS = 8
+KEYS_PER_LIST = 10_000
+
+
+def _square(c: Column) -> Column:
+    return c * c
+
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance."""
@@ -34,25 +42,63 @@ def detour_ratio(road_km: Column, lat1: Column, lon1: Column, lat2: Column, lon2
     return F.try_divide(road_km, haversine_km(lat1, lon1, lat2, lon2))
 
 
-def pairs_within(a: DataFrame, b: DataFrame, a_id: str, b_id: str, max_km: float) -> DataFrame:
-    """All (a, b) pairs at most ``max_km`` apart, by an equi-join on a grid of cubes around the sphere.
+def at_places(df: DataFrame, key: str, *aggs: Column, by: Sequence[str] = ()) -> DataFrame:
+    """One row per place (equal ``lat`` and ``lon``, and equal ``by``): its least ``key`` under the same name, ``n`` rows, and ``aggs``.  Rows without coordinates are left out."""
+    return df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon", *by).agg(F.min(key).alias(key), F.count("*").alias("n"), *aggs)
+
+
+def listed_at_places(df: DataFrame, key: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``at_places`` with all keys of a place as the list ``name``.  A place of more than ``KEYS_PER_LIST`` rows has several lists, so none grows without bound."""
+    most = at_places(df, key, by=by).agg(F.max("n")).first()[0] or 1
+    lists = -(-most // KEYS_PER_LIST)
+    parted = df.withColumn("_list", F.pmod(F.xxhash64(key), F.lit(lists)))
+    return at_places(parted, key, F.collect_list(key).alias(name), by=[*by, "_list"]).drop("_list")
+
+
+def pairs_within(a: DataFrame, b: DataFrame, a_id: str, b_id: str, max_km: float, a_with: Sequence[str] = (), b_with: Sequence[str] = (), allowed: Column | None = None) -> DataFrame:
+    """All (a, b) pairs at most ``max_km`` apart, by an equi-join on a grid of cubes around the sphere: the ids, ``km``, and the columns ``a_with`` and ``b_with``.
 
     Cubes have an edge of the chord of ``max_km``, so partners lie in the same or a neighbouring cube; ``b`` is
-    exploded over its 27 neighbours and the distance decides.  Both need ``lat`` and ``lon``; rows with a NULL are left out.
+    exploded over those of its 27 neighbours that hold a part of the sphere in reach, and the distance decides.  Chords settle all
+    pairs but those at the very border; ``km`` is computed once, for true pairs.  ``allowed`` is a condition on the columns that come along.  Both need ``lat`` and ``lon``; rows with a NULL are left out.
+
+    The tables are small and the pairs many, so partitions are numbered by the cores, not by bytes (which would leave one task);
+    every cube of ``a`` is dealt to ``SPLITS`` tasks.
     """
     if max_km <= 0:
         raise ValueError("max_km must be positive")
-    edge = 2 * EARTH_KM * 1000 * math.sin(min(max_km / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-3
+    chord = 2 * EARTH_KM * 1000 * math.sin(min(max_km / EARTH_KM, math.pi) / 2)
+    edge = chord * (1 + 1e-9) + 1e-3
+    inner = max(0.0, chord * (1 - 1e-9) - 1e-3)
+    spark = a.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def cubes(df: DataFrame, key: str, tag: str) -> DataFrame:
+    def points(df: DataFrame, key: str, tag: str, carried: Sequence[str]) -> DataFrame:
         x, y, z = sphere_xyz_m(F.col("lat"), F.col("lon"))
-        cell = [F.floor(c / edge).cast("int").alias(f"c{i}") for i, c in enumerate((x, y, z))]
-        return df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(key).alias(f"_{tag}"), F.col("lat").alias(f"_{tag}lat"), F.col("lon").alias(f"_{tag}lon"), *cell)
+        known = df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        at = known.select(F.col(key).alias(f"_{tag}"), F.radians("lat").alias(f"_{tag}p"), F.col("lon").alias(f"_{tag}lon"), x.alias(f"_{tag}x"), y.alias(f"_{tag}y"), z.alias(f"_{tag}z"), *carried)
+        return at.withColumns({f"_{tag}cos": F.cos(f"_{tag}p"), **{f"c{i}": F.floor(F.col(f"_{tag}{c}") / edge).cast("int") for i, c in enumerate("xyz")}})
 
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    near = cubes(b, b_id, "b").withColumn("_n", steps).withColumns({"c0": F.col("c0") + F.col("_n.i"), "c1": F.col("c1") + F.col("_n.j"), "c2": F.col("c2") + F.col("_n.k")}).drop("_n")
-    d = haversine_km(F.col("_alat"), F.col("_alon"), F.col("_blat"), F.col("_blon"))
-    return cubes(a, a_id, "a").join(near, ["c0", "c1", "c2"]).select(F.col("_a").alias(a_id), F.col("_b").alias(b_id), d.alias("km")).where(F.col("km") <= max_km)
+    near = points(b, b_id, "b", b_with).withColumn("_n", steps).withColumns({"c0": F.col("c0") + F.col("_n.i"), "c1": F.col("c1") + F.col("_n.j"), "c2": F.col("c2") + F.col("_n.k")}).drop("_n")
+    gap, low, high = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for i, c in enumerate("xyz"):
+        lo, hi = F.col(f"c{i}") * F.lit(edge), (F.col(f"c{i}") + 1) * F.lit(edge)
+        gap = gap + _square(F.greatest(lo - F.col(f"_b{c}"), F.col(f"_b{c}") - hi, F.lit(0.0)))
+        low, high = low + _square(F.greatest(lo, -hi, F.lit(0.0))), high + _square(F.greatest(-lo, hi))
+    r = EARTH_KM * 1000
+    near = near.where((gap <= edge * edge * (1 + 1e-9)) & (low <= (r + 1) ** 2) & (high >= (r - 1) ** 2))
+    left = points(a, a_id, "a", a_with).withColumn("_s", F.pmod(F.xxhash64("_a"), F.lit(SPLITS)).cast("int")).repartition(parts, "c0", "c1", "c2", "_s")
+    right = near.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1)))).repartition(parts, "c0", "c1", "c2", "_s")
+
+    d2 = sum((_square(F.col(f"_a{c}") - F.col(f"_b{c}")) for c in "xyz"), F.lit(0.0))
+    half = (F.sin((F.col("_bp") - F.col("_ap")) / 2), F.sin(F.radians(F.col("_blon") - F.col("_alon")) / 2))
+    km = F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(_square(half[0]) + F.col("_acos") * F.col("_bcos") * _square(half[1]), F.lit(1.0))))
+    near_enough = (d2 < inner * inner) | ((d2 <= edge * edge) & (km <= max_km))
+    on = near_enough if allowed is None else near_enough & allowed
+    # Estimates do not see how far ``b`` is exploded, so a broadcast is ruled out.
+    joined = left.join(right.hint("merge"), ["c0", "c1", "c2", "_s"]).where(on)
+    return joined.select(F.col("_a").alias(a_id), F.col("_b").alias(b_id), km.alias("km"), *a_with, *b_with)
 
 
 def disc_sums(sources: DataFrame, queries: DataFrame, query_id: str, value: str, radius_m: float, cell_m: float) -> DataFrame:

@@ -139,16 +139,28 @@ def spaced_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siting.spaced_selection(s, "s_suppkey", "rank", 120.0, 8)
 
 
+def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights between places instead of customers and suppliers; ``is`` and ``js`` list who is there."""
+    c = spatial.listed_at_places(customers(spark, sf_dir), "c_custkey", "is")
+    s = spatial.listed_at_places(suppliers(spark, sf_dir), "s_suppkey", "js")
+    p = spatial.pairs_within(c, s, "c_custkey", "s_suppkey", 90.0, ["is"], ["js"])
+    return p.select("is", "js", siting.decay_weight(F.col("km"), 30.0, 90.0).alias("w")).where("w > 0")
+
+
+def each_pair(e: DataFrame) -> DataFrame:
+    """``i``, ``j``, ``w`` of all pairs that the lists ``is`` and ``js`` stand for; whatever is computed before is computed once a place."""
+    return e.select("is", F.explode("js").alias("j"), "w").select(F.explode("is").alias("i"), "j", "w")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spatial.pairs_within(customers(spark, sf_dir), suppliers(spark, sf_dir), "c_custkey", "s_suppkey", 90.0)
-    return p.select(F.col("c_custkey").alias("i"), F.col("s_suppkey").alias("j"), siting.decay_weight(F.col("km"), 30.0, 90.0).alias("w")).where("w > 0")
+    return each_pair(place_edges(spark, sf_dir))
 
 
 _E = f"{_C}, {_S}, d AS (SELECT c_custkey AS i, s_suppkey AS j, s, {_D} AS km FROM c, su), e AS (SELECT i, j, s, km, CASE WHEN km <= 30 THEN 1e0 ELSE (90e0 - km) / 60e0 END AS w FROM d WHERE km < 90)"
 
 
 def decay_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).select("i", "j", F.round("w", 8).alias("w"))
+    return each_pair(place_edges(spark, sf_dir).withColumn("w", F.round("w", 8)))
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:

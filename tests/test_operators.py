@@ -159,3 +159,35 @@ def test_value_ranks_brute(spark):
         same = [v for g, v in rows if g == r.g and v is not None]
         assert r.rank == 1 + sum(v > r.v for v in same) and r.upto == sum(v >= r.v for v in same) and r.n == same.count(r.v)
     assert value_ranks(df.limit(0), ["g"], "v").collect() == []
+
+
+def repeated_places(spark, d):
+    """240 customers and 30 suppliers at 60 and 15 places: keys 40,000 apart have the same coordinates."""
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    spark.createDataFrame([(k % 60 + 40000 * (k // 60), k % 25, segments[k * 7 % 5], 500.0 + k * 37 % 900) for k in range(240)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(k % 15 + 40000 * (k // 15), k % 25, 1.0) for k in range(30)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{d}/supplier.parquet")
+    customers = [(r["c_custkey"], r["s"], r["c_mktsegment"]) for r in places.customers(spark, d).collect()]
+    suppliers = [r["s_suppkey"] for r in places.suppliers(spark, d).collect()]
+
+    def km(i, j):
+        (la, lo), (lb, lp) = (((-25 + k * 7919 % 5000 / 1000), (-53 + k * 104729 % 8000 / 1000)) for k in (i, j))
+        la, lb = math.radians(la), math.radians(lb)
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(lp - lo) / 2) ** 2
+        return 2 * spatial.EARTH_KM * math.asin(math.sqrt(h))
+
+    return customers, suppliers, {(i, j): km(i, j) for i, _, _ in customers for j in suppliers}
+
+
+def weight(km):
+    return 1.0 if km <= 30 else max(0.0, (90 - km) / 60)
+
+
+def test_decay_weights_measure_a_place_once(spark, tmp_path, monkeypatch):
+    """Four customers and two suppliers at every place: one distance for eight pairs, and lists of keys that stay short."""
+    customers, suppliers, km = repeated_places(spark, str(tmp_path))
+    want = sorted((i, j, round(weight(x), 8)) for (i, j), x in km.items() if weight(x) > 0)
+    assert len(want) % 8 == 0 and places.place_edges(spark, str(tmp_path)).count() == len(want) // 8
+    for most in (10_000, 3):
+        monkeypatch.setattr(spatial, "KEYS_PER_LIST", most)
+        got = sorted((r.i, r.j, r.w) for r in places.decay_weights(spark, str(tmp_path)).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[2] == pytest.approx(w[2], abs=1e-8) for g, w in zip(got, want, strict=True))
