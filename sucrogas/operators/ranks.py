@@ -110,3 +110,38 @@ def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, flo
         out.append((lo + (hi - lo) * part).alias(name))
     picked = placed.groupBy(*group).agg(*picks) if group else placed.agg(*picks).where("n IS NOT NULL")
     return picked.select(*group, *out, "n")
+
+
+def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
+    """``quantiles`` of rows that stand for ``weight`` equal ones each, without ordering the rows; for values as many as the rows.
+
+    Values are counted by their nearest float, which keeps their order; the floats that hold a wanted place are then counted by exact
+    value.  So ``df`` is read twice and must give the same values again.  One row per group and place sought is sent to the tasks.
+    """
+    known = df.withColumn("_f", F.col(value).cast("float"))
+    # NULL values are dropped after they are counted: a filter on the value would compute it twice.
+    counts = known.groupBy(*group, "_f").agg(F.sum(F.when(F.col(value).isNotNull(), F.col(weight))).alias("_n")).where("_n IS NOT NULL")
+    coarse = running_before(counts, group, [F.col("_f")], ["_n"])
+    totals = coarse.groupBy(*group).agg(F.max(F.col("before__n") + F.col("_n")).alias("n"))
+    places = [(name, side, f(F.lit(q) * (F.col("n") - 1)).cast("long")) for name, q in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    wanted = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("n").alias("_all"), F.explode(F.array(*[F.struct(F.lit(f"_{name}_{side}").alias("pick"), at.alias("place")) for name, side, at in places])).alias("_w"))
+
+    def same(prefix: str) -> Column:
+        match = F.lit(True)
+        for i, g in enumerate(group):
+            match = match & F.col(g).eqNullSafe(F.col(f"{prefix}{i}"))
+        return match
+
+    sought = coarse.join(wanted, same("_g")).where((F.col("before__n") <= F.col("_w.place")) & (F.col("_w.place") < F.col("before__n") + F.col("_n")))
+    sought = sought.select(*group, "_f", F.col("before__n").alias("_base"), "_all", "_w.pick", "_w.place").checkpoint()
+    floats = sought.select(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)], F.col("_f").alias("_hf")).distinct()
+    exact = known.join(F.broadcast(floats), (F.col("_f") == F.col("_hf")) & same("_h"), "left_semi").groupBy(*group, "_f", value).agg(F.sum(weight).alias("_m"))
+    near = running_before(exact, [*group, "_f"], [F.col(value)], ["_m"])
+    keys = sought.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_f").alias("_gf"), "_base", "_all", "pick", "place")
+    first = F.col("_base") + F.col("before__m")
+    hit = near.join(keys, (F.col("_f") == F.col("_gf")) & same("_g")).where((first <= F.col("place")) & (F.col("place") < first + F.col("_m")))
+    picks = [F.max(F.when(F.col("pick") == f"_{name}_{side}", F.col(value))).alias(f"_{name}_{side}") for name, side, _ in places]
+    picked = hit.groupBy(*group).agg(F.max("_all").alias("n"), *picks)
+    between = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    out = [(F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * between(q)).alias(name) for name, q in shares.items()]
+    return picked.select(*group, *out, "n") if group else picked.where("n IS NOT NULL").select(*out, "n")

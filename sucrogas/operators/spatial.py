@@ -185,17 +185,22 @@ def od_matrix(origins: DataFrame, destinations: DataFrame, o_id: str, d_id: str,
     return pairs.repartition(max(1, d_blocks), "ob", "db").select("o", "d").mapInPandas(run, f"{o_id} {kinds[0]}, {d_id} {kinds[1]}, km double")
 
 
+def polyconic_xy(lat: Column, lon: Column, lon0: float) -> tuple[Column, Column]:
+    """Plane coordinates, in Earth radii, in the spherical polyconic projection about a central meridian."""
+    p, dl = F.radians(lat), F.radians(lon - lon0)
+    e = dl * F.sin(p)
+    cot = F.cos(p) / F.nullif(F.sin(p), F.lit(0.0))
+    return F.coalesce(cot * F.sin(e), dl), F.coalesce(p + cot * (1 - F.cos(e)), p)
+
+
 def polyconic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lon0: float) -> Column:
     """Plane distance in the spherical polyconic projection about a central meridian."""
+    return plane_km(polyconic_xy(lat1, lon1, lon0), polyconic_xy(lat2, lon2, lon0))
 
-    def xy(lat: Column, lon: Column) -> tuple[Column, Column]:
-        p, dl = F.radians(lat), F.radians(lon - lon0)
-        e = dl * F.sin(p)
-        cot = F.cos(p) / F.nullif(F.sin(p), F.lit(0.0))
-        return F.coalesce(cot * F.sin(e), dl), F.coalesce(p + cot * (1 - F.cos(e)), p)
 
-    (x1, y1), (x2, y2) = xy(lat1, lon1), xy(lat2, lon2)
-    return F.lit(EARTH_KM) * F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))
+def plane_km(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Distance of projected points."""
+    return F.lit(EARTH_KM) * F.sqrt(_square(b[0] - a[0]) + _square(b[1] - a[1]))
 
 
 def fallback_road_km(great_circle: Column, detour_factor: float) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.functions import text
 from sucrogas.operators import economics, siting, spatial
-from sucrogas.operators.ranks import quantiles
+from sucrogas.operators.ranks import weighted_quantiles
 from sucrogas.plans import places
 from sucrogas.session import table
 
@@ -36,12 +36,15 @@ def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polyconic_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of plane over great-circle distance by distance class."""
-    p = spatial.pairs_within(places.customers(spark, sf_dir), places.suppliers(spark, sf_dir), "c_custkey", "s_suppkey", 300.0)
-    c = places.customers(spark, sf_dir).select("c_custkey", F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    s = places.suppliers(spark, sf_dir).select("s_suppkey", F.col("lat").alias("lb"), F.col("lon").alias("lp"))
-    j = p.join(c, "c_custkey").join(s, "s_suppkey").where("km > 0.001")
-    r = j.select(F.floor(F.col("km") / 100).cast("int").alias("class"), (spatial.polyconic_km(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"), -49.0) / F.col("km")).alias("ratio"))
-    q = quantiles(r, ["class"], "ratio", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    def projected(df: DataFrame, key: str, tag: str) -> DataFrame:
+        x, y = spatial.polyconic_xy(F.col("lat"), F.col("lon"), -49.0)
+        return spatial.at_places(df, key).withColumns({f"x{tag}": x, f"y{tag}": y}).withColumnRenamed("n", f"n{tag}")
+
+    c, s = projected(places.customers(spark, sf_dir), "c_custkey", "a"), projected(places.suppliers(spark, sf_dir), "s_suppkey", "b")
+    p = spatial.pairs_within(c, s, "c_custkey", "s_suppkey", 300.0, ["xa", "ya", "na"], ["xb", "yb", "nb"])
+    ratio = F.when(F.col("km") > 0.001, F.try_divide(spatial.plane_km((F.col("xa"), F.col("ya")), (F.col("xb"), F.col("yb"))), F.col("km")))
+    r = p.select(F.floor(F.col("km") / 100).cast("int").alias("class"), ratio.alias("ratio"), (F.col("na") * F.col("nb")).alias("pairs"))
+    q = weighted_quantiles(r, ["class"], "ratio", "pairs", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
     return q.select("class", "n", *[F.round(x, 8).alias(x) for x in ("p05", "p50", "p95")])
 
 
