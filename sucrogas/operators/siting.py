@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -161,6 +162,17 @@ def upper_bound(edges: DataFrame, supply: DataFrame, q_min: float) -> DataFrame:
     return best.agg(F.coalesce(F.sum(F.col("w") * F.col("s")), F.lit(0.0)).alias("covered")), viable
 
 
+def upper_bound_of(pairs: Callable[[DataFrame], DataFrame], hubs: DataFrame, q_min: float) -> tuple[DataFrame, DataFrame]:
+    """``upper_bound`` where edges are cheaper to make again than to keep: ``pairs`` gives the edges ``i``, ``j``, ``w``, ``s`` of some of the ``hubs`` (``j``).
+
+    The second time only the hubs that reach ``q_min`` are paired; no edge is shuffled.
+    """
+    ensure_checkpoint_dir(hubs.sparkSession)
+    viable = pairs(hubs).groupBy("j").agg(F.sum(F.col("w") * F.col("s")).alias("q")).where((F.col("q") >= q_min) & (F.col("q") > 0)).checkpoint()
+    best = pairs(hubs.join(viable.select("j"), "j", "left_semi")).groupBy("i").agg(F.max("w").alias("w"), F.first("s").alias("s"))
+    return best.agg(F.coalesce(F.sum(F.col("w") * F.col("s")), F.lit(0.0)).alias("covered")), viable
+
+
 def greedy_coverage(edges: DataFrame, supply: DataFrame, q_min: float, max_hubs: int | None = None, target_share: float | None = None, fixed: list | None = None, cut_every: int = 5) -> DataFrame:
     """Hubs opened one by one, each the one that adds most supply (ties: lowest hub), while it adds at least ``q_min``.
 
@@ -207,6 +219,17 @@ def allocate(edges: DataFrame, hubs: DataFrame) -> DataFrame:
     return best.select("i", F.col("_b.j").alias("hub"), F.col("_b.w").alias("w"))
 
 
+def allocate_to(pairs: Callable[..., DataFrame], sources: DataFrame) -> DataFrame:
+    """``allocate`` where edges are cheaper to make again than to keep; ties of weight and step to the lowest hub.  Returns ``i``, ``hub``, ``w``.
+
+    ``pairs`` gives the edges ``i``, ``j``, ``step``, ``w`` > 0 of the ``sources`` (``i``) with the named columns of theirs.  The best weight of every source is
+    found first, so that only hubs of that weight are compared by step.
+    """
+    best = pairs(sources).groupBy("i").agg(F.max("w").alias("top"))
+    tied = pairs(sources.join(best, "i"), "top").where(F.col("w") == F.col("top"))
+    return tied.groupBy("i", "w").agg(F.min(F.struct("step", "j")).alias("_b")).select("i", F.col("_b.j").alias("hub"), "w")
+
+
 def allowed_pairs(edges: DataFrame, routes: DataFrame, kinds: DataFrame, allowed: list[tuple[str, str]]) -> DataFrame:
     """Edges whose residue may go to that kind of hub.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sucrogas.functions import text
-from sucrogas.operators import extract, quality, siting
+from sucrogas.operators import extract, quality, siting, spatial
 from sucrogas.plans import places, registry
 from sucrogas.session import table
 from sucrogas.sources import files
@@ -59,9 +59,13 @@ def residue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hub_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allocated supply of every open hub by market segment, and distinct sources behind it; hubs without sources appear with 0."""
     hubs = places.suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("hub"), (F.col("s_suppkey") * 31 % 997).alias("step"))
-    a = siting.allocate(places.edges(spark, sf_dir), hubs)
-    src = places.customers(spark, sf_dir).select(F.col("c_custkey").alias("i"), "s", "c_mktsegment")
-    j = a.join(src, "i").withColumn("v", F.col("w") * F.col("s"))
+    # Customers of a place go to the same hub, and of the hubs of a place only the first can win.
+    first = spatial.at_places(places.suppliers(spark, sf_dir).withColumn("step", F.col("s_suppkey") * 31 % 997), "s_suppkey", F.min(F.struct("step", "s_suppkey")).alias("_f"))
+    open_ = first.select("lat", "lon", F.col("_f.s_suppkey").alias("j"), F.col("_f.step").alias("step"))
+    c = places.customers(spark, sf_dir)
+    at = spatial.at_places(c, "c_custkey").withColumn("i", F.col("c_custkey"))
+    a = siting.allocate_to(lambda some, *cols: places.between_places(some, open_, list(cols), ["step"]), at)
+    j = c.join(at.join(a, "i").select("lat", "lon", "hub", "w"), ["lat", "lon"]).withColumn("v", F.col("w") * F.col("s")).withColumnRenamed("c_custkey", "i")
     segs = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     g = j.groupBy("hub").agg(*[F.sum(F.when(F.col("c_mktsegment") == x, F.col("v"))).alias(f"v_{x.lower()}") for x in segs], F.count_distinct(F.when(F.col("v") > 0, F.col("i"))).alias("cells"))
     full = hubs.select("hub").join(g, "hub", "left")

@@ -147,6 +147,13 @@ def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("is", "js", siting.decay_weight(F.col("km"), 30.0, 90.0).alias("w")).where("w > 0")
 
 
+def between_places(c: DataFrame, hubs: DataFrame, c_with: list[str], hubs_with: list[str] | None = None) -> DataFrame:
+    """Edges of the places of customers (``c_custkey``) and hubs (``j``): ``i``, ``j``, ``w`` > 0 and the columns that come along."""
+    p = spatial.pairs_within(c, hubs, "c_custkey", "j", 90.0, c_with, hubs_with or [])
+    # Beyond 90 km there is no pair, and at 90 km no weight.
+    return p.withColumn("w", siting.decay_weight(F.col("km"), 30.0, 90.0)).where("w > 0").select(F.col("c_custkey").alias("i"), "j", "w", *c_with, *(hubs_with or []))
+
+
 def each_pair(e: DataFrame) -> DataFrame:
     """``i``, ``j``, ``w`` of all pairs that the lists ``is`` and ``js`` stand for; whatever is computed before is computed once a place."""
     return e.select("is", F.explode("js").alias("j"), "w").select(F.explode("is").alias("i"), "j", "w")
@@ -168,8 +175,11 @@ def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    covered, viable = siting.upper_bound(edges(spark, sf_dir), _supply(spark, sf_dir), 5000.0)
-    return viable.agg(F.count("*").alias("hubs")).select(F.lit(1).alias("k"), "hubs").join(covered.select(F.lit(1).alias("k"), F.round("covered", 3).alias("covered")), "k").select("hubs", "covered")
+    c = spatial.at_places(customers(spark, sf_dir), "c_custkey", F.sum("s").alias("s"))
+    hubs = spatial.at_places(suppliers(spark, sf_dir), "s_suppkey").withColumnRenamed("s_suppkey", "j")
+    covered, viable = siting.upper_bound_of(lambda some: between_places(c, some, ["s"]), hubs, 5000.0)
+    number = viable.join(hubs, "j").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hubs"))
+    return number.select(F.lit(1).alias("k"), "hubs").join(covered.select(F.lit(1).alias("k"), F.round("covered", 3).alias("covered")), "k").select("hubs", "covered")
 
 
 def greedy_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sucrogas.operators import calibrate, economics, process, quality, sensitivity, siting, spatial, supply
-from sucrogas.operators.ranks import spread_rank, value_ranks
-from sucrogas.plans import chain, loading, places
+from sucrogas.operators.ranks import spread_rank, value_ranks, weighted_quantiles
+from sucrogas.plans import chain, extras, loading, places
 
 
 def test_reference_case(spark):
@@ -191,3 +191,49 @@ def test_decay_weights_measure_a_place_once(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(spatial, "KEYS_PER_LIST", most)
         got = sorted((r.i, r.j, r.w) for r in places.decay_weights(spark, str(tmp_path)).collect())
         assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[2] == pytest.approx(w[2], abs=1e-8) for g, w in zip(got, want, strict=True))
+
+
+def test_polyconic_quantiles_count_places(spark, tmp_path):
+    """The quantiles of all pairs, though each pair of places is measured once; the weighted ones equal those of the repeated rows."""
+    _, _, km = repeated_places(spark, str(tmp_path))
+
+    def xy(k):
+        p, dl = math.radians(-25 + k * 7919 % 5000 / 1000), math.radians(-53 + k * 104729 % 8000 / 1000 + 49)
+        return math.sin(dl * math.sin(p)) / math.tan(p), p + (1 - math.cos(dl * math.sin(p))) / math.tan(p)
+
+    ratios = {}
+    for (i, j), x in km.items():
+        if 0.001 < x <= 300:
+            ratios.setdefault(int(x // 100), []).append(math.dist(xy(i), xy(j)) * spatial.EARTH_KM / x)
+    got = {r["class"]: r for r in extras.polyconic_distortion(spark, str(tmp_path)).collect()}
+    assert set(got) == set(ratios)
+    for c, r in got.items():
+        assert r.n == len(ratios[c]) and [r.p05, r.p50, r.p95] == pytest.approx(list(np.quantile(ratios[c], [0.05, 0.5, 0.95])), abs=2e-8)
+    rows = [("a" if i % 3 else None, 1.0 + (i * 37 % 101) * 1e-9, i % 4 + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    for r in weighted_quantiles(df, ["g"], "v", "w", {"p10": 0.1, "p50": 0.5}).collect():
+        every = [v for g, v, w in rows if g == r.g for _ in range(w)]
+        assert r.n == len(every) and [r.p10, r.p50] == pytest.approx(list(np.quantile(every, [0.1, 0.5])), abs=1e-15)
+
+
+def test_bound_and_breakdown_by_places(spark, tmp_path, monkeypatch):
+    """Hubs and sources at one place are paired once, yet all are counted; ties of weight and step go to the lowest hub."""
+    d = str(tmp_path)
+    customers, suppliers, km = repeated_places(spark, d)
+    paired = []
+    plain = places.between_places
+    monkeypatch.setattr(places, "between_places", lambda c, hubs, *cols: paired.append((c.count(), hubs.count())) or plain(c, hubs, *cols))
+    q = {j: sum(weight(km[i, j]) * s for i, s, _ in customers) for j in suppliers}
+    viable = [j for j in suppliers if q[j] >= 5000]
+    covered = sum(s * max([weight(km[i, j]) for j in viable], default=0.0) for i, s, _ in customers)
+    r = places.coverage_upper_bound(spark, d).first()
+    assert 0 < len(viable) < 30 and r.hubs == len(viable) and r.covered == pytest.approx(covered, abs=2e-3)
+    want = {j: {} for j in suppliers}
+    for i, s, segment in customers:
+        w, _, j = min((-weight(km[i, j]), j * 31 % 997, j) for j in suppliers)
+        if w:
+            want[j][segment] = want[j].get(segment, 0.0) - w * s
+    for r in loading.hub_breakdown(spark, d).collect():
+        if not r.withheld:
+            assert all(r[f"v_{x.lower()}"] == pytest.approx(want[r.hub].get(x, 0.0), abs=1e-3) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
+    assert len(paired) >= 4 and all(c <= 60 and hubs <= 15 for c, hubs in paired)
