@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -236,9 +236,7 @@ def allowed_pairs(edges: DataFrame, routes: DataFrame, kinds: DataFrame, allowed
     ``routes``: ``i``, ``route`` (blank or NULL: may go anywhere); ``kinds``: ``j``, ``kind``; ``allowed``: (route, kind).  The list is a condition of the join's result, so
     pairs that are not allowed never reach the weighting.
     """
-    free = F.coalesce(F.trim("route"), F.lit("")) == ""
-    listed = F.concat_ws("\x01", "route", "kind").isin([f"{r}\x01{k}" for r, k in allowed]) if allowed else F.lit(False)
-    return edges.join(routes, "i").join(kinds, "j").where(free | F.coalesce(listed, F.lit(False))).select(*edges.columns)
+    return edges.join(routes, "i").join(kinds, "j").where(may_go(F.col("route"), F.col("kind"), allowed)).select(*edges.columns)
 
 
 def pairs_from_matrix(matrix: DataFrame, row: str, columns: list[str], most: float) -> DataFrame:
@@ -361,3 +359,29 @@ def huff_allocation(edges: DataFrame, mills: DataFrame, cells: DataFrame, alpha:
     p = e.withColumn("p", F.col("e") / F.sum("e").over(w))
     on = [by, "cell"] if by in cells.columns else ["cell"]
     return p.join(cells, on).groupBy(by, "mill").agg(F.sum(F.col("p") * F.col("amount")).alias("amount"))
+
+
+def huff_grid(pairs: Callable[..., DataFrame], cells: DataFrame, betas: Sequence[float]) -> DataFrame:
+    """``huff_allocation`` for every value of ``betas`` at once: ``beta``, ``mill``, ``amount``.
+
+    ``pairs`` gives the edges ``cell``, ``mill``, ``km`` and ``pull`` (alpha * ln(capacity)) of cells with the named columns of theirs; ``cells``: ``cell``, ``amount`` and what
+    ``pairs`` needs.  The values are columns, so an edge is not repeated, and edges are made again for each of the three sums instead of sorted by cell.
+    """
+    s = [F.col("pull") - b * F.col("km") for b in betas]
+    top = pairs(cells).groupBy("cell").agg(*[F.max(x).alias(f"m{k}") for k, x in enumerate(s)])
+    e = [F.exp(x - F.col(f"m{k}")) for k, x in enumerate(s)]
+    with_top = cells.join(top, "cell")
+    total = pairs(with_top, *top.columns[1:]).groupBy("cell").agg(*[F.sum(x).alias(f"z{k}") for k, x in enumerate(e)])
+    # A cell's factor is amount / total, one column per value.
+    ready = with_top.join(total, "cell").withColumns({f"z{k}": F.col("amount") / F.col(f"z{k}") for k in range(len(betas))})
+    wide = pairs(ready, *top.columns[1:], *total.columns[1:]).groupBy("mill").agg(*[F.sum(x * F.col(f"z{k}")).alias(f"a{k}") for k, x in enumerate(e)])
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("beta"), F.col(f"a{k}").alias("amount")) for k, b in enumerate(betas)]))
+    return wide.select("mill", each.alias("_e")).select("_e.beta", "mill", "_e.amount")
+
+
+def may_go(route: Column, kind: Column, allowed: list[tuple[str, str]]) -> Column:
+    """Whether a residue of that route (blank or NULL: any) may go to that kind of hub."""
+    listed = F.lit(False)
+    for r, k in allowed:
+        listed = listed | ((route == r) & (kind == k))
+    return (F.coalesce(F.trim(route), F.lit("")) == "") | F.coalesce(listed, F.lit(False))

@@ -11,7 +11,7 @@ from sucrogas.functions import text
 from sucrogas.operators import economics, siting, spatial
 from sucrogas.operators.ranks import weighted_quantiles
 from sucrogas.plans import places
-from sucrogas.session import table
+from sucrogas.session import ensure_checkpoint_dir, table
 
 
 def _great_circle(a: list[tuple], b: list[tuple]) -> list[list[float | None]]:
@@ -59,14 +59,15 @@ def huff_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     All grid values are allocated in one job: the value takes the place of the year.
     """
-    e = spatial.pairs_within(places.customers(spark, sf_dir), places.suppliers(spark, sf_dir), "c_custkey", "s_suppkey", 100.0).select(F.col("c_custkey").alias("cell"), F.col("s_suppkey").alias("mill"), "km")
-    grid = F.explode(F.array(*[F.lit(b) for b in BETAS])).alias("beta")
-    mills = places.suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("mill"), F.lit(1.0).alias("capacity"), F.lit(True).alias("active"))
-    cells = places.customers(spark, sf_dir).select(F.col("c_custkey").alias("cell"), F.col("s").alias("amount"), F.lit(1).alias("year"))
-    every = siting.huff_allocation(e, mills.select("*", grid), cells, 1.0, "beta", 100.0, by="beta").checkpoint()
+    # The mills of a place count as one of that capacity; each has its share of the amount.
+    ensure_checkpoint_dir(spark)
+    mills = spatial.at_places(places.suppliers(spark, sf_dir), "s_suppkey").select("lat", "lon", F.col("s_suppkey").alias("mill"), "n", F.log("n").alias("pull"))
+    cells = spatial.at_places(places.customers(spark, sf_dir), "c_custkey", F.sum("s").alias("amount")).select("lat", "lon", F.col("c_custkey").alias("cell"), "amount")
+    every = siting.huff_grid(lambda some, *cols: spatial.pairs_within(some, mills, "cell", "mill", 100.0, cols, ["pull"]), cells, BETAS)
+    every = every.join(mills.select("mill", "n"), "mill").withColumn("amount", F.col("amount") / F.col("n")).checkpoint()
     true = every.where(F.col("beta") == 0.05).select("mill", F.col("amount").alias("obs")).where("obs > 0")
     m = every.join(true, "mill").where("amount > 0")
-    out = m.groupBy("beta").agg(F.round(-0.5 * F.sum(F.pow(F.log(F.col("amount") / F.col("obs")) / 0.2, 2)), 6).alias("log_posterior"))
+    out = m.groupBy("beta").agg(F.round(-0.5 * F.sum(F.col("n") * F.pow(F.log(F.col("amount") / F.col("obs")) / 0.2, 2)), 6).alias("log_posterior"))
     return out.withColumn("best", F.rank().over(Window.orderBy(F.col("log_posterior").desc())) == 1)
 
 

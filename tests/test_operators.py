@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sucrogas.operators import calibrate, economics, process, quality, sensitivity, siting, spatial, supply
 from sucrogas.operators.ranks import spread_rank, value_ranks, weighted_quantiles
-from sucrogas.plans import chain, extras, loading, places
+from sucrogas.plans import chain, extras, jobs, loading, places
 
 
 def test_reference_case(spark):
@@ -237,3 +237,27 @@ def test_bound_and_breakdown_by_places(spark, tmp_path, monkeypatch):
         if not r.withheld:
             assert all(r[f"v_{x.lower()}"] == pytest.approx(want[r.hub].get(x, 0.0), abs=1e-3) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
     assert len(paired) >= 4 and all(c <= 60 and hubs <= 15 for c, hubs in paired)
+
+
+def test_huff_posterior_by_places(spark, tmp_path, monkeypatch):
+    """Mills of one place share its amount: the posterior is that of all customers and suppliers, though edges join places only."""
+    customers, suppliers, km = repeated_places(spark, str(tmp_path))
+    paired = []
+    plain = spatial.pairs_within
+    monkeypatch.setattr(spatial, "pairs_within", lambda a, b, *rest: paired.append((a.count(), b.count())) or plain(a, b, *rest))
+
+    def amounts(beta):
+        out = dict.fromkeys(suppliers, 0.0)
+        for i, s, _ in customers:
+            e = {j: math.exp(-beta * km[i, j]) for j in suppliers if km[i, j] <= 100}
+            for j, x in e.items():
+                out[j] += s * x / sum(e.values())
+        return out
+
+    true = amounts(0.05)
+    got = {r.beta: r for r in extras.huff_posterior(spark, str(tmp_path)).collect()}
+    for beta in extras.BETAS:
+        now = amounts(beta)
+        want = -0.5 * sum((math.log(now[j] / true[j]) / 0.2) ** 2 for j in suppliers if true[j] > 0)
+        assert got[beta].log_posterior == pytest.approx(want, abs=1e-5) and got[beta].best == (beta == 0.05)
+    assert paired and all(c <= 60 and m <= 15 for c, m in paired)
