@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sucrogas.functions import text
@@ -38,15 +38,29 @@ def top_cells_per_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALLOWED = [("BUILDING", "k0"), ("BUILDING", "k1"), ("MACHINERY", "k2"), ("FURNITURE", "k0")]
 
 
+def _route() -> Column:
+    return F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "FURNITURE"), F.col("c_mktsegment")).otherwise("")
+
+
+def _kind() -> Column:
+    return F.concat(F.lit("k"), F.col("s_suppkey") % 3)
+
+
 def _allowed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = places.customers(spark, sf_dir).select(F.col("c_custkey").alias("i"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "FURNITURE"), F.col("c_mktsegment")).otherwise("").alias("route"))
-    kinds = places.suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("j"), F.concat(F.lit("k"), F.col("s_suppkey") % 3).alias("kind"))
+    routes = places.customers(spark, sf_dir).select(F.col("c_custkey").alias("i"), _route().alias("route"))
+    kinds = places.suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("j"), _kind().alias("kind"))
     return siting.allowed_pairs(places.edges(spark, sf_dir), routes, kinds, _ALLOWED)
 
 
 def allowed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of residues that may go to that kind of hub."""
-    return _allowed_edges(spark, sf_dir).select("i", "j", F.round("w", 8).alias("w"))
+    # Lists by place and route, and by place and kind: the rule is asked once for all pairs of two lists.
+    c = places.customers(spark, sf_dir).withColumn("route", _route())
+    s = places.suppliers(spark, sf_dir).withColumn("kind", _kind())
+    a, b = spatial.listed_at_places(c, "c_custkey", "is", ["route"]), spatial.listed_at_places(s, "s_suppkey", "js", ["kind"])
+    p = spatial.pairs_within(a, b, "c_custkey", "s_suppkey", 90.0, ["is", "route"], ["js", "kind"], siting.may_go(F.col("route"), F.col("kind"), _ALLOWED))
+    e = p.select("is", "js", siting.decay_weight(F.col("km"), 30.0, 90.0).alias("w")).where("w > 0")
+    return places.each_pair(e.withColumn("w", F.round("w", 8)))
 
 
 def hub_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,15 @@ def test_huff_posterior_by_places(spark, tmp_path, monkeypatch):
         want = -0.5 * sum((math.log(now[j] / true[j]) / 0.2) ** 2 for j in suppliers if true[j] > 0)
         assert got[beta].log_posterior == pytest.approx(want, abs=1e-5) and got[beta].best == (beta == 0.05)
     assert paired and all(c <= 60 and m <= 15 for c, m in paired)
+
+
+def test_allowed_pairs_by_places(spark, tmp_path, monkeypatch):
+    """The rule is asked for lists of one place and route or kind, before any pair is written out: no join on a customer or supplier is left."""
+    customers, suppliers, km = repeated_places(spark, str(tmp_path))
+    allowed = set(jobs._ALLOWED)
+    free = {"AUTOMOBILE", "HOUSEHOLD"}
+    want = sorted((i, j) for i, _, x in customers for j in suppliers if weight(km[i, j]) > 0 and (x in free or (x, f"k{j % 3}") in allowed))
+    out = jobs.allowed_pairs(spark, str(tmp_path))
+    assert sorted((r.i, r.j) for r in out.collect()) == want
+    assert all(r.w == pytest.approx(weight(km[r.i, r.j]), abs=1e-8) for r in out.collect())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
