@@ -385,3 +385,49 @@ def may_go(route: Column, kind: Column, allowed: list[tuple[str, str]]) -> Colum
     for r, k in allowed:
         listed = listed | ((route == r) & (kind == k))
     return (F.coalesce(F.trim(route), F.lit("")) == "") | F.coalesce(listed, F.lit(False))
+
+
+def coverage_by_route(pairs: Callable[..., DataFrame], sources: DataFrame, hubs: DataFrame, routes: list[str], allowed: list[tuple[str, str]], q_min: float, max_hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Greedy hubs, allocation and upper bound under the rule of ``may_go``, where edges are cheaper to make again than to keep.
+
+    ``sources``: ``i``, ``lat``, ``lon`` and for the k-th of ``routes`` supply ``s<k>`` and sources with supply ``n<k>``; ``hubs``: ``j``, ``lat``, ``lon``, ``kind``, of one place and kind the lowest
+    (others add nothing once it is open).  ``pairs`` gives the edges ``i``, ``j``, ``w`` > 0 of sources and hubs with the named columns of either.  A step pairs every place once and sums what each route would gain; the
+    driver sees one row per step.  Returns the hubs (``step``, ``hub``, ``supply``, ``sources``) and one row ``covered``, the upper bound.
+    """
+    spark = sources.sparkSession
+    ensure_checkpoint_dir(spark)
+    every = range(len(routes))
+    s, n, b = ([f"{x}{k}" for k in every] for x in "snb")
+    goes = [may_go(F.lit(r), F.col("kind"), allowed) for r in routes]
+    places = hubs.groupBy("lat", "lon").agg(F.min("j").alias("j"))
+    kinds = hubs.withColumnRenamed("j", "hub").join(places, ["lat", "lon"]).checkpoint()
+    places = kinds.select("lat", "lon", "j").distinct()
+    best = sources.withColumns({x: F.lit(0.0) for x in b}).checkpoint()
+    steps: list[tuple] = []
+    viable = None
+    while viable is None or len(steps) < max_hubs:
+        gains = pairs(best, places, [*s, *b]).groupBy("j").agg(*[F.sum(F.greatest(F.col("w") - F.col(b[k]), F.lit(0.0)) * F.col(s[k])).alias(f"t{k}") for k in every])
+        now = kinds.join(gains, "j").withColumn("g", sum((F.when(goes[k], F.col(f"t{k}")).otherwise(0.0) for k in every), F.lit(0.0))).checkpoint()
+        if viable is None:
+            viable = now.where((F.col("g") >= q_min) & (F.col("g") > 0))
+            if max_hubs < 1:
+                break
+        row = now.where(~F.col("hub").isin([x[1] for x in steps])).select("hub", "kind", F.round("g", 9).alias("g")).orderBy(F.col("g").desc(), "hub").limit(1).collect()
+        if not row or row[0]["g"] <= 0 or row[0]["g"] < q_min:
+            break
+        steps.append((len(steps) + 1, row[0]["hub"]))
+        one = kinds.where(F.col("hub") == row[0]["hub"]).select("lat", "lon", F.col("hub").alias("j"))
+        mine = pairs(sources, one, []).select("i", F.col("w").alias("_w"))
+        better = {b[k]: F.greatest(F.col(b[k]), F.when(may_go(F.lit(r), F.lit(row[0]["kind"]), allowed), F.coalesce("_w", F.lit(0.0))).otherwise(0.0)) for k, r in enumerate(routes)}
+        best = best.join(mine, "i", "left").withColumns(better).drop("_w").checkpoint()
+    hub_kind = dict(hubs.dtypes)["j"]
+    opened = spark.createDataFrame(steps, f"step int, hub {hub_kind}")
+    open_ = kinds.drop("j").join(F.broadcast(opened), "hub").withColumnRenamed("hub", "j").checkpoint()
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("r"), goes[k].alias("goes"), F.col(s[k]).alias("s"), F.col(n[k]).alias("n")) for k in every]))
+    reach = pairs(sources, open_, [*s, *n], ["step", "kind"]).select("i", "j", "w", "step", long.alias("_r")).where("_r.goes")
+    taken = reach.groupBy("i", "_r.r").agg(F.max_by(F.struct("j", "w", "_r.s", "_r.n"), F.struct("w", -F.col("step"))).alias("_b"))
+    per = taken.groupBy(F.col("_b.j").alias("hub")).agg(F.sum(F.col("_b.w") * F.col("_b.s")).alias("supply"), F.sum("_b.n").alias("sources"))
+    takes = viable.groupBy("lat", "lon", "j").agg(*[F.bool_or(goes[k]).alias(f"v{k}") for k in every])
+    top = pairs(sources, takes, s, [f"v{k}" for k in every]).groupBy("i").agg(*[F.max(F.when(F.col(f"v{k}"), F.col("w"))).alias(b[k]) for k in every], *[F.first(x).alias(x) for x in s])
+    bound = top.agg(F.sum(sum((F.coalesce(F.col(b[k]) * F.col(s[k]), F.lit(0.0)) for k in every), F.lit(0.0))).alias("covered"))
+    return opened.join(per, "hub", "left").na.fill(0, ["supply", "sources"]), bound

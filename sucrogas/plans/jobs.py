@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sucrogas.functions import text
 from sucrogas.operators import calibrate, siting, spatial
 from sucrogas.plans import places
-from sucrogas.session import ensure_checkpoint_dir, table
+from sucrogas.session import table
 
 _DRAWS = siting.weight_draws(["gas", "supply"], 40, 4.0, 3)
 _CRIT = {"gas": "lower", "supply": "higher"}
@@ -46,12 +46,6 @@ def _kind() -> Column:
     return F.concat(F.lit("k"), F.col("s_suppkey") % 3)
 
 
-def _allowed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = places.customers(spark, sf_dir).select(F.col("c_custkey").alias("i"), _route().alias("route"))
-    kinds = places.suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("j"), _kind().alias("kind"))
-    return siting.allowed_pairs(places.edges(spark, sf_dir), routes, kinds, _ALLOWED)
-
-
 def allowed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of residues that may go to that kind of hub."""
     # Lists by place and route, and by place and kind: the rule is asked once for all pairs of two lists.
@@ -65,16 +59,15 @@ def allowed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hub_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coverage job: hubs opened on the allowed pairs, every source allocated, supply per hub with the small-count rule, share of all supply and of the upper bound."""
-    ensure_checkpoint_dir(spark)
-    e = _allowed_edges(spark, sf_dir).checkpoint()
-    supply = places._supply(spark, sf_dir)
-    hubs = siting.greedy_coverage(e, supply, 3000.0, 8)
-    a = siting.allocate(e, hubs).join(supply, "i").withColumn("v", F.col("w") * F.col("s"))
-    per = a.groupBy("hub").agg(F.sum("v").alias("supply"), F.count_distinct(F.when(F.col("v") > 0, F.col("i"))).alias("sources"))
-    total = supply.agg(F.sum("s").alias("total"))
-    bound, _ = siting.upper_bound(e, supply, 3000.0)
-    t, b = total.first()["total"] or 0.0, bound.first()["covered"]
-    j = hubs.select("step", "hub").join(per, "hub", "left").na.fill(0, ["supply", "sources"])
+    c = places.customers(spark, sf_dir).withColumn("route", _route())
+    routes = ["", *sorted({r for r, _ in _ALLOWED})]
+    mine = [F.when(F.col("route") == r, F.col("s")) for r in routes]
+    parts = [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{k}") for k, x in enumerate(mine)] + [F.count(F.when(x > 0, 1)).alias(f"n{k}") for k, x in enumerate(mine)]
+    sources = spatial.at_places(c, "c_custkey", *parts).withColumn("i", F.col("c_custkey"))
+    hubs = spatial.at_places(places.suppliers(spark, sf_dir).withColumn("kind", _kind()), "s_suppkey", by=["kind"]).select("lat", "lon", "kind", F.col("s_suppkey").alias("j"))
+    j, bound = siting.coverage_by_route(places.between_places, sources, hubs, routes, _ALLOWED, 3000.0, 8)
+    total = places._supply(spark, sf_dir).agg(F.sum("s").alias("total"))
+    t, b = total.first()["total"] or 0.0, bound.first()["covered"] or 0.0
     out = j.select("step", "hub", F.round("supply", 3).alias("supply"), "sources", F.round(F.try_divide(F.col("supply"), F.lit(t)), 8).alias("share"), F.round(F.try_divide(F.col("supply"), F.lit(b)), 8).alias("share_of_bound"))
     return siting.withhold_small(out, "sources", ["supply", "share", "share_of_bound"], 3)
 

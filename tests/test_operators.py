@@ -273,3 +273,23 @@ def test_allowed_pairs_by_places(spark, tmp_path, monkeypatch):
     assert sorted((r.i, r.j) for r in out.collect()) == want
     assert all(r.w == pytest.approx(weight(km[r.i, r.j]), abs=1e-8) for r in out.collect())
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_hub_coverage_by_places(spark, tmp_path, monkeypatch):
+    """Steps, gains and shares are those of all allowed pairs, though every step pairs places only."""
+    customers, suppliers, km = repeated_places(spark, str(tmp_path))
+    paired = []
+    plain = places.between_places
+    monkeypatch.setattr(places, "between_places", lambda c, hubs, *cols: paired.append(c.count()) or plain(c, hubs, *cols))
+    go = lambda x, j: x in ("AUTOMOBILE", "HOUSEHOLD") or (x, f"k{j % 3}") in jobs._ALLOWED
+    w = np.array([[weight(km[i, j]) if go(x, j) else 0.0 for j in suppliers] for i, _, x in customers])
+    s = np.array([x for _, x, _ in customers])
+    order = np.argsort(suppliers)
+    hubs = [suppliers[order[k]] for k in naive_greedy(w[:, order], s, 3000.0, 8)]
+    rows = jobs.hub_coverage(spark, str(tmp_path)).orderBy("step").collect()
+    assert hubs and [r.hub for r in rows] == hubs
+    at = w[:, [suppliers.index(j) for j in hubs]]
+    won = np.where(at.max(axis=1) > 0, at.argmax(axis=1), -1)
+    for k, r in enumerate(rows):
+        assert r.sources == (won == k).sum() and (r.withheld or r.supply == pytest.approx((at[:, k] * s)[won == k].sum(), abs=2e-3))
+    assert paired and max(paired) <= 60
